@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,22 +54,22 @@ def ordering_hash(*cols: Column) -> Column:
     return F.md5(joined.cast("binary"))
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, out: str) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, value: Column, out: str, per_key: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Add `out`: the sum of `value` over the rows of the same keys that stand before this one by (bucket, *order).
 
     A key may hold any share of all rows: sums per (key, bucket) are aggregated map-side, prefixed over the few
     buckets, and joined back, so that each window holds one bucket of one key only. `bucket` must be a
-    non-null prefix of the order (e.g. the leading hex digits of an ordering hash).
+    non-null prefix of the order (e.g. the leading hex digits of an ordering hash). per_key, given (keys, total),
+    returns a table by keys whose other columns are added too; it rides on the same join.
     """
     b, v, before = (free_name(df, x) for x in ("bucket_", "value_", "before_"))
     rows = df.withColumns({b: bucket, v: value})
     sums = rows.groupBy(*keys, b).agg(F.sum(v).alias(v))
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, b, F.coalesce(F.sum(v).over(w), F.lit(0)).alias(before))
-    same = [rows[c].eqNullSafe(sums[c]) for c in (*keys, b)]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = rows.join(sums, cond, "left").select(*[rows[c] for c in rows.columns], sums[before])
+    side = sums.select(*[F.col(c).alias(f"{c}__") for c in (*keys, b)], F.coalesce(F.sum(v).over(w), F.lit(0)).alias(before))
+    if per_key:
+        more = per_key(sums.groupBy(*keys).agg(F.sum(v).alias("total")))
+        side = side.join(more.select(*[F.col(c).alias(f"{c}___") if c in keys else F.col(c) for c in more.columns]), [F.col(f"{k}__").eqNullSafe(F.col(f"{k}___")) for k in keys]).drop(*[f"{k}___" for k in keys])
+    joined = rows.join(side, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in (*keys, b)]).drop(*[f"{c}__" for c in (*keys, b)])
     local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(local), F.lit(0))).drop(b, v, before)
