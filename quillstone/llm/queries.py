@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import mixing, packing, simhash, toxicity
+from quillstone.llm import mixing, packing, secret_scan, simhash, toxicity, url_filter, warc
 from quillstone.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op4(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op7(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op9(table(spark, sf_dir, "pages"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_secrets": op4_secrets,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_urls": op9_urls,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op9_urls": url_filter.oracle_sql()}
