@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, free_name
+from quillstone.llm.common import cut
 from quillstone.llm.components import connected_components
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
@@ -95,15 +95,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id; of equal ones, any. Columns stay.
+    """One row of each group of near-duplicates: that with the smallest doc_id; of rows that share it, any. Columns stay.
 
-    Rows of a component that share its smallest id are counted before the choice, so no group meets in one task.
+    Rows without a doc_id can't be named: of those with equal texts one stays. The join and the choice use the same
+    key, so texts are shuffled once.
     """
-    key, group = free_name(docs, "row_"), free_name(docs, "group_")
-    found = near_duplicates(docs, text)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first[key]), "left_semi")
-    return kept.withColumn(group, F.xxhash64("doc_id")).drop(group).dropDuplicates(["doc_id"])
+    named = docs.where("doc_id is not null")
+    first = near_duplicates(named, text).where("doc_id = component_id").select("doc_id").distinct()
+    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null").dropDuplicates([text]))
 
 
 def op7(docs: DataFrame) -> DataFrame:
