@@ -1,0 +1,141 @@
+"""Readers of bars, events, datasets and the JSON payloads of public filing and price services."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillstone.functions.numbers import parse_instant
+from quillstone.operators import facts as C
+
+RECENT = "accessionNumber array<string>, filingDate array<string>, reportDate array<string>, acceptanceDateTime array<string>, form array<string>, primaryDocument array<string>, isXBRL array<int>, isInlineXBRL array<int>"
+SUBMISSIONS = f"cik string, name string, filings struct<recent: struct<{RECENT.replace(' array', ': array')}>>"
+FACT = "struct<start: string, end: string, val: string, accn: string, fy: int, fp: string, form: string, filed: string, frame: string>"
+COMPANY_FACTS = f"cik string, entityName string, facts map<string, map<string, struct<label: string, description: string, units: map<string, array<{FACT}>>>>>"
+
+
+def read_bars(spark: SparkSession, path: str) -> DataFrame:
+    """(ticker, date, adjusted_close) from Parquet or CSV with a header; fails on a close that isn't positive."""
+    raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).schema("ticker string, date string, adjusted_close double").csv(path)
+    close = F.col("adjusted_close").cast("double")
+    return raw.select(F.upper("ticker").alias("ticker"), F.to_date("date").alias("date"), F.when(close > 0, close).otherwise(F.raise_error(F.lit("adjusted_close must be positive"))).alias("adjusted_close"))
+
+
+def read_events(spark: SparkSession, path: str, feature: str) -> DataFrame:
+    """(ticker, accession, available_at, max_source_available_at, feature_value) from a panel file: Parquet, CSV or a JSON array; an empty feature is null."""
+    if path.endswith(".parquet"):
+        raw = spark.read.parquet(path)
+    elif path.endswith(".csv"):
+        raw = spark.read.option("header", True).csv(path)
+    else:
+        raw = spark.read.option("multiLine", True).json(path)
+    at = lambda c: parse_instant(F.col(c).cast("string"))
+    return raw.select(F.upper("ticker").alias("ticker"), F.col("accession_number").alias("accession"), at("available_at").alias("available_at"), at("max_source_available_at").alias("max_source_available_at"), F.nullif(F.col(feature).cast("string"), F.lit("")).cast("double").alias("feature_value"))
+
+
+def dataset_version(spark: SparkSession, path: str) -> DataFrame:
+    """(path, version): the first 16 hex digits of each file's SHA-256."""
+    return spark.read.format("binaryFile").load(path).select("path", F.substring(F.sha2("content", 256), 1, 16).alias("version"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; blank lines are skipped, a broken one fails the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines with columns in alphabetical order."""
+    df.select(*sorted(df.columns)).write.mode("overwrite").json(path)
+
+
+def recent_filings(submissions: DataFrame, forms: dict[str, int]) -> DataFrame:
+    """A row for each recent filing of the wanted forms, the first N of each form and company in source order.
+
+    submissions has SUBMISSIONS; parallel arrays are zipped; rows without accession or primary document go.
+    """
+    names = [f.split()[0] for f in RECENT.split(", ")]
+    zipped = F.posexplode(F.arrays_zip(*[F.col(f"filings.recent.{n}").alias(n) for n in names])).alias("pos", "f")
+    rows = submissions.select("cik", zipped).select("cik", "pos", "f.*")
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]), F.col("form"))
+    rows = rows.where(F.col("accessionNumber").isNotNull() & F.col("primaryDocument").isNotNull() & (F.col("primaryDocument") != "") & limit.isNotNull())
+    rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("cik", "form").orderBy("pos")))
+    return rows.where(F.col("n_") <= limit).drop("n_").withColumn("accepted_at", parse_instant(F.col("acceptanceDateTime")))
+
+
+def company_facts(payloads: DataFrame) -> DataFrame:
+    """The four levels of company facts flattened and typed: canonical metric, unit, period type, key. payloads has COMPANY_FACTS."""
+    rows = payloads.select("cik", F.explode("facts").alias("taxonomy", "concepts")).select("cik", "taxonomy", F.explode("concepts").alias("concept", "c"))
+    rows = rows.select("cik", "taxonomy", "concept", "c.label", F.explode("c.units").alias("raw_unit", "items")).select("cik", "taxonomy", "concept", "label", "raw_unit", F.posexplode("items").alias("pos", "i"))
+    day = lambda n: F.try_to_date(F.col(f"i.{n}")) if hasattr(F, "try_to_date") else F.to_date(f"i.{n}")
+    rows = rows.select("cik", "taxonomy", "concept", "label", C.canonical_unit(F.col("raw_unit")).alias("unit"), "pos", F.expr("try_cast(i.val AS decimal(24,6))").alias("value"), day("start").alias("period_start"), day("end").alias("period_end"), day("filed").alias("filed_at"), F.col("i.accn").alias("accession"), F.col("i.fy").alias("fiscal_year"), F.col("i.fp").alias("fiscal_period"), F.col("i.form").alias("form_type"), F.col("i.frame").alias("frame"))
+    rows = rows.where("value is not null and accession is not null")
+    key = F.sha2(F.to_json(F.struct("accession", "cik", "concept", "period_end", "period_start", "taxonomy", "unit"), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    rows = rows.withColumns({"fact_key": key, "canonical_metric": C.canonical_metric(F.col("taxonomy"), F.col("concept")), "period_type": F.when(F.col("period_start").isNull(), "instant").otherwise("duration"), "is_amendment": F.coalesce(F.endswith("form_type", F.lit("/A")), F.lit(False))})
+    rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("fact_key").orderBy(F.desc("pos")))).where("n_ = 1").drop("n_", "pos")  # the last duplicate wins
+    return C.restatement_flags(rows, ["cik", "taxonomy", "concept", "unit", "period_start", "period_end"], "filed_at", ["accession"], "value")
+
+
+def match_facts(facts: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts with their document's id and availability, one row with the number skipped)."""
+    d = documents.select(F.col("accession").alias("d_"), F.col("id").alias("document_id"), "available_at")
+    return facts.join(d, facts.accession == d.d_).drop("d_"), facts.join(d, facts.accession == d.d_, "left_anti").agg(F.count("*").alias("skipped"))
+
+
+def chart_bars(payloads: DataFrame, ticker: str = "ticker", payload: str = "payload") -> DataFrame:
+    """Bars of a chart payload: adjusted closes, or raw ones where those are missing; UTC dates; nulls and prices not above zero go."""
+    schema = "chart struct<result: array<struct<timestamp: array<bigint>, indicators: struct<adjclose: array<struct<adjclose: array<double>>>, quote: array<struct<close: array<double>>>>>>>"
+    r = F.from_json(payload, schema)["chart"]["result"]
+    first = payloads.select(F.upper(ticker).alias("ticker"), F.try_element_at(r, F.lit(1)).alias("r"))
+    closes = F.coalesce(F.try_element_at(F.col("r.indicators.adjclose.adjclose"), F.lit(1)), F.try_element_at(F.col("r.indicators.quote.close"), F.lit(1)))
+    rows = first.select("ticker", F.explode(F.arrays_zip(F.col("r.timestamp").alias("t"), closes.alias("c"))).alias("z"))
+    return rows.select("ticker", F.to_date(F.timestamp_seconds("z.t")).alias("date"), F.col("z.c").alias("adjusted_close")).where("adjusted_close > 0 and date is not null")
+
+
+def daily_price_bars(payloads: DataFrame, ticker: str = "ticker", payload: str = "payload") -> DataFrame:
+    """Bars of a JSON array of {date, adjClose}; dates are the first ten characters."""
+    rows = payloads.select(F.upper(ticker).alias("ticker"), F.explode(F.from_json(payload, "array<struct<date: string, adjClose: double>>")).alias("r"))
+    return rows.select("ticker", F.expr("try_cast(substring(r.date, 1, 10) AS date)").alias("date"), F.col("r.adjClose").alias("adjusted_close")).where("adjusted_close > 0 and date is not null")
+
+
+def covering_files(files: DataFrame, ticker: str, start: str, end: str, path: str = "path") -> DataFrame:
+    """Cached price files, named prefix_TICKER_start_end.json, whose span covers a request."""
+    part = lambda i: F.regexp_extract(path, r"_([A-Za-z0-9.\-]+)_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})\.json$", i)
+    return files.where((F.upper(part(1)) == ticker.upper()) & (part(2) <= start) & (part(3) >= end) & (part(2) != ""))
+
+
+def missing_tickers(wanted: DataFrame, bars: DataFrame) -> DataFrame:
+    return wanted.select(F.upper("ticker").alias("ticker")).distinct().join(bars.select("ticker").distinct(), "ticker", "left_anti")
+
+
+def changed_downloads(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """(path, sha256) of landed files whose content isn't known yet."""
+    landed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    return landed.join(known.select("sha256"), "sha256", "left_anti")
+
+
+def landing_path(root: str, cik: Column, accession: Column, name: Column) -> Column:
+    from quillstone.functions.text import cik10
+
+    return F.concat_ws("/", F.lit(root.rstrip("/")), cik10(cik), accession, name)
+
+
+def listed_companies(exchange: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(cik, ticker, tickers, name) by CIK: exchange rows (cik, ticker, name, exchange) without test issues, funds and fund-like names; the primary ticker is the smallest."""
+    flagged = symbols.where("is_test or is_etf").select(F.upper("symbol").alias("ticker"))
+    rows = exchange.withColumn("ticker", F.upper("ticker")).join(flagged, "ticker", "left_anti").where(~F.col("name").rlike(r"(?i)\b(etf|etn|fund|trust units?|ishares|spdr|proshares)\b"))
+    return rows.groupBy("cik").agg(F.min("ticker").alias("ticker"), F.array_sort(F.collect_set("ticker")).alias("tickers"), F.min_by("name", "ticker").alias("name"))
+
+
+def index_constituents(symbols: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(symbol, ticker): each index symbol's catalog ticker, as it is or with - for .; null if unresolved."""
+    c = catalog.select(F.explode("tickers").alias("t"), F.col("ticker").alias("primary"))
+    one, two = c.select(F.col("t").alias("t1"), F.col("primary").alias("p1")), c.select(F.col("t").alias("t2"), F.col("primary").alias("p2"))
+    rows = symbols.select(F.upper("symbol").alias("symbol"))
+    return rows.join(one, F.col("symbol") == F.col("t1"), "left").join(two, F.regexp_replace("symbol", r"\.", "-") == F.col("t2"), "left").select("symbol", F.coalesce("p1", "p2").alias("ticker"))
+
+
+def universe_slice(catalog: DataFrame, offset: int, limit: int) -> DataFrame:
+    if offset < 0 or limit < 1:
+        raise ValueError("offset is not negative, limit is positive")
+    return catalog.orderBy("ticker").offset(offset).limit(limit)
