@@ -63,13 +63,18 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     returns a table by keys whose other columns are added too; it rides on the same join.
     """
     b, v, before = (free_name(df, x) for x in ("bucket_", "value_", "before_"))
-    rows = df.withColumns({b: bucket, v: value})
-    sums = rows.groupBy(*keys, b).agg(F.sum(v).alias(v))
-    w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    side = sums.select(*[F.col(c).alias(f"{c}__") for c in (*keys, b)], F.coalesce(F.sum(v).over(w), F.lit(0)).alias(before))
+    # Keys as non-null pairs, so that the join and the windows share one partitioning and rows are shuffled once.
+    kinds = dict(df.dtypes)
+    parts = [c for i in range(len(keys)) for c in (free_name(df, f"key{i}_"), free_name(df, f"null{i}_"))]
+    made = [x for k in keys for x in (F.coalesce(F.col(k), F.lit("" if kinds[k] == "string" else 0).cast(kinds[k])), F.col(k).isNull())]
+    rows = df.withColumns({b: bucket, v: value} | dict(zip(parts, made, strict=True)))
+    sums = rows.groupBy(*parts, b).agg(F.sum(v).alias(v), *[F.first(k).alias(k) for k in keys])
+    w = Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    side = sums.select(*parts, b, F.coalesce(F.sum(v).over(w), F.lit(0)).alias(before))
     if per_key:
         more = per_key(sums.groupBy(*keys).agg(F.sum(v).alias("total")))
-        side = side.join(more.select(*[F.col(c).alias(f"{c}___") if c in keys else F.col(c) for c in more.columns]), [F.col(f"{k}__").eqNullSafe(F.col(f"{k}___")) for k in keys]).drop(*[f"{k}___" for k in keys])
-    joined = rows.join(side, [F.col(c).eqNullSafe(F.col(f"{c}__")) for c in (*keys, b)]).drop(*[f"{c}__" for c in (*keys, b)])
-    local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(local), F.lit(0))).drop(b, v, before)
+        more = more.withColumns(dict(zip(parts, made, strict=True))).drop(*keys)
+        side = side.join(more, parts)
+    joined = rows.join(side, [*parts, b])
+    local = Window.partitionBy(*parts, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(local), F.lit(0))).drop(b, v, before, *parts)
