@@ -97,7 +97,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 BARS = """
 priced AS (SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS date, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey),
 bars AS (SELECT ticker, date, sum(cents)::DOUBLE / count(*) AS adjusted_close FROM priced GROUP BY ticker, date UNION ALL SELECT 'SPY', date, sum(cents)::DOUBLE / count(*) FROM priced GROUP BY date),
-indexed AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS session FROM bars)"""
+indexed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS session FROM bars)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +112,15 @@ events_ AS (SELECT c_mktsegment AS ticker, o_orderkey AS accession, o_orderdate
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
 local AS (SELECT *, (available_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS at_ny FROM events_),
 targeted AS (SELECT *, CAST(at_ny AS DATE) + CASE WHEN CAST(at_ny AS TIME) >= TIME '16:00:00' THEN 1 ELSE 0 END AS target FROM local),
-placed AS (SELECT e.ticker, e.accession, e.available_at, e.feature_value, b.session, b.date AS session_date FROM targeted e ASOF JOIN (SELECT * FROM indexed WHERE ticker <> 'SPY') b ON e.ticker = b.ticker AND e.target <= b.date)"""
+placed AS MATERIALIZED (SELECT e.ticker, e.accession, e.available_at, e.feature_value, b.session, b.date AS session_date FROM targeted e ASOF JOIN (SELECT * FROM indexed WHERE ticker <> 'SPY') b ON e.ticker = b.ticker AND e.target <= b.date)"""
 
 RETURNS = """
 wins(win, s, e) AS (VALUES ('0:1', 0, 1), ('-1:1', -1, 1), ('0:5', 0, 5)),
-returns AS (SELECT p.accession, p.ticker, w.win AS "window", p.session, p.session_date, p.feature_value, b.adjusted_close / a.adjusted_close - 1 AS asset_return, y.adjusted_close / x.adjusted_close - 1 AS benchmark_return,
-    (b.adjusted_close / a.adjusted_close - 1) - (y.adjusted_close / x.adjusted_close - 1) AS abnormal_return
-  FROM placed p CROSS JOIN wins w JOIN indexed a ON a.ticker = p.ticker AND a.session = p.session + w.s JOIN indexed b ON b.ticker = p.ticker AND b.session = p.session + w.e
-  JOIN indexed x ON x.ticker = 'SPY' AND x.date = a.date JOIN indexed y ON y.ticker = 'SPY' AND y.date = b.date)"""
+legs AS MATERIALIZED (SELECT p.*, w.win, p.session + w.s AS i_s, p.session + w.e AS i_e FROM placed p CROSS JOIN wins w),
+beside AS MATERIALIZED (SELECT b.ticker, b.session, b.adjusted_close, s.adjusted_close AS spy FROM indexed b JOIN bars s ON s.ticker = 'SPY' AND s.date = b.date),
+returns AS MATERIALIZED (SELECT l.accession, l.ticker, l.win AS "window", l.session, l.session_date, l.feature_value, b.adjusted_close / a.adjusted_close - 1 AS asset_return, b.spy / a.spy - 1 AS benchmark_return,
+    (b.adjusted_close / a.adjusted_close - 1) - (b.spy / a.spy - 1) AS abnormal_return
+  FROM legs l JOIN beside a ON a.ticker = l.ticker AND a.session = l.i_s JOIN beside b ON b.ticker = l.ticker AND b.session = l.i_e)"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
