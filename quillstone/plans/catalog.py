@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import research, retrieval
+from quillstone.plans import audit, research, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.Q, **research.Q}
-ORACLES: dict[str, str] = {**retrieval.O, **research.O}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.Q, **research.Q, **audit.Q}
+ORACLES: dict[str, str] = {**retrieval.O, **research.O, **audit.O}

@@ -242,7 +242,7 @@ def fundamental_growth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("facts_with_narrative", r"""WITH n AS (SELECT doc_id, conv_text FROM (SELECT conv_id AS doc_id, text AS conv_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn, first(text) OVER (PARTITION BY conv_id, turn ORDER BY text) AS text FROM conversations WHERE len(list_filter(string_split_regex(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')) >= 5)) WHERE n = 1)
-SELECT l.doc_id, l.quality, md5(n.conv_text) AS narrative_md5 FROM labels l LEFT JOIN n USING (doc_id)""")
+SELECT l.doc_id, l.quality::BIGINT AS quality, md5(n.conv_text) AS narrative_md5 FROM labels l LEFT JOIN n USING (doc_id)""")
 def facts_with_narrative(spark: SparkSession, d: str) -> DataFrame:
     """Labels stand for facts, threads for documents, turns for chunks."""
     c = S.table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min(F.when(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) >= 5, F.col("text"))).alias("text")).where("text is not null")

@@ -129,7 +129,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACT_KEYS, FACT_TIE = ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber", "l_quantity", "value"]
-FACTS = "facts AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS filed_at, l_extendedprice AS value FROM lineitem)"
+FACTS = "facts AS (SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, CAST(l_shipdate AS DATE) AS filed_at, l_extendedprice AS value FROM lineitem)"
 
 #: Questions that occur in the invented prose.
 QUESTIONS = ((1, "the order of things"), (2, "there is more than this"), (3, "and to the one that is not"))
