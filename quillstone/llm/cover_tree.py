@@ -130,7 +130,7 @@ def traverse(xa: np.ndarray, ua: np.ndarray, pa: np.ndarray, xb: np.ndarray, ub:
     """
     ta, tb, far = Tree(ua, pa), Tree(ub, pb), reach(cosine)
     na, nb = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)
-    (fa, ea, ca, ra), (fb, eb, cb, rb) = ta.levels[0], tb.levels[0]
+    ca, ra, cb, rb = *ta.levels[0][2:], *tb.levels[0][2:]
     todo: list[tuple[int, np.ndarray, np.ndarray]] = []
     for at in range(0, len(ca), 1024):
         d = distances(ca[at : at + 1024], cb)
@@ -162,7 +162,6 @@ def traverse(xa: np.ndarray, ua: np.ndarray, pa: np.ndarray, xb: np.ndarray, ub:
             near = d <= ra2[k] + rb2[m] + far + SLACK
             if near.any():
                 todo.append((level + 1, k[near], m[near]))
-    del ea, eb
 
 
 def _link_group(cosine: float):
@@ -218,7 +217,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embe
     own. Every row is a vector of its own, so repeated rows link with each other. A row with a null key is compared but
     doesn't name a component that has others. No rows give no rows.
     """
-    spark = vectors.sparkSession
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     good = F.coalesce(F.col(vec).isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("key"), F.when(good, F.col(vec)).alias("vec")).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
@@ -233,10 +231,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embe
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             away = distances(unit(pdf["vec"])[1], pivots)
-            yield pdf.assign(cell=away.argmin(1).astype(np.int32), away=away.min(1).astype(float), all_away=list(away.astype(np.float32)))
+            yield pdf.assign(cell=away.argmin(1).astype(np.int32), away=away.min(1).astype(float))
 
     of_d = classes.where(F.size("vec") == d)
-    celled = cut(of_d.select("vec", "node", "copies").mapInPandas(deal, "vec array<float>, node long, copies long, cell int, away double, all_away array<float>" if dict(classes.dtypes)["vec"] == "array<float>" else "vec array<double>, node long, copies long, cell int, away double, all_away array<float>"), "cells")
+    celled_schema = T.StructType([*of_d.select("vec", "node", "copies").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
+    celled = cut(of_d.select("vec", "node", "copies").mapInPandas(deal, celled_schema), "cells")
     stats = {r["cell"]: (r["n"], r["r"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
     salts = np.array([math.ceil(stats[c][0] / block) if c in stats else 0 for c in range(len(pivots))])
     base = np.cumsum(salts) - salts
@@ -245,7 +244,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embe
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The block of each row, and the pairs of blocks in which it can have links."""
         for pdf in batches:
-            away, cell = np.stack(pdf["all_away"].to_list()) if len(pdf) else np.zeros((0, len(pivots))), pdf["cell"].to_numpy()
+            away, cell = distances(unit(pdf["vec"])[1], pivots) if len(pdf) else np.zeros((0, len(pivots))), pdf["cell"].to_numpy()
             salt = (pdf["node"].to_numpy().view(np.uint64) // np.uint64(7) % np.maximum(salts[cell], 1).astype(np.uint64)).astype(np.int64)
             near = (away <= radius[None] + far + SLACK) & (away - pdf["away"].to_numpy()[:, None] <= 2 * far + SLACK)
             codes, own = [], base[cell] + salt
@@ -271,7 +270,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embe
     named = groups.join(smallest, "component").join(counts, "node", "left").select(F.col("node").alias("node_"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.drop("vec").join(named, rows.node == named.node_, "left")
     component = F.coalesce("component_id", "key")
-    del spark
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
 
 

@@ -53,12 +53,13 @@ def company_aliases(companies: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.countDistinct("ticker").alias("owners"), F.min("ticker").alias("ticker")).where("owners = 1").select("alias", "ticker")
 
 
-def resolve_companies(questions: DataFrame, aliases: DataFrame, known: DataFrame, longest: int = 6) -> DataFrame:
+def resolve_companies(questions: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
     """(query_id, tickers): upper-case ticker words that are known, and aliases between token boundaries.
 
-    A question's runs of up to `longest` tokens are joined to the aliases by equality, so nothing is compared pair by pair;
-    aliases of more tokens are not looked for.
+    A question's runs of tokens, up to the longest alias's number, are joined to the aliases by equality, so nothing is
+    compared pair by pair. One number comes to the driver.
     """
+    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     toks = X.tokens(F.col("query"))
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(toks))), lambda i: i + n - 1 <= F.size(toks)), lambda i: F.array_join(F.slice(toks, i, n), " "))))
     by_name = questions.select("query_id", F.explode(F.array_distinct(grams)).alias("alias")).join(aliases, "alias").select("query_id", "ticker")

@@ -84,6 +84,54 @@ def contract(questions: DataFrame, splits: dict[str, int], categories: tuple[str
     return n.select(F.explode(F.array(*[F.struct(F.lit(a).alias("rule"), b.alias("ok"), c.alias("detail")) for a, b, c in rules])).alias("r")).select("r.*")
 
 
+def holding(docs: DataFrame, key: str, quotes: DataFrame, item: str, text: str = "text", quote: str = "quote", run: int = 5, most_short: int = 1_000) -> DataFrame:
+    """(key, item) of documents that hold a quote verbatim.
+
+    Whole words from inside a quote are whole words of a text that holds it. So runs of up to `run` inner words meet by
+    equality first, and the substring is verified after. Quotes without an inner word can't be looked up that way; they are
+    compared with every text, as a literal list of at most `most_short`.
+    """
+    w = F.filter(F.split(F.col(quote), r"\s+"), lambda x: x != "")
+    q = quotes.where(F.col(quote).isNotNull()).select(item, F.col(quote).alias("q_"), w.alias("w_")).withColumn("n_", F.least(F.lit(run), F.size("w_") - 2))
+    keyed = q.where("n_ >= 1").select(item, "q_", "n_", F.xxhash64(F.array_join(F.expr("slice(w_, 2, n_)"), " ")).alias("h_"))
+    lengths = [r["n_"] for r in keyed.select("n_").distinct().collect()]
+    d = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t_"), F.filter(F.split(text, r"\s+"), lambda x: x != "").alias("tw_"))
+    runs = F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tw_"))), lambda i: i + n - 1 <= F.size("tw_")), lambda i: F.struct(F.lit(n).alias("n_"), F.xxhash64(F.array_join(F.slice("tw_", i, n), " ")).alias("h_"))) for n in lengths or [run]])))
+    met = d.select(key, F.explode(runs).alias("r_")).select(key, "r_.*").join(keyed, ["n_", "h_"]).select(key, item, "q_").distinct()
+    long = met.join(d.select(key, "t_"), key).where(F.contains("t_", "q_")).select(key, item)
+    short = q.where("n_ < 1").select(item, "q_").limit(most_short + 1).collect()
+    if len(short) > most_short:
+        raise ValueError(f"more than {most_short} quotes without an inner word")
+    if not short:
+        return long
+    kind = dict(quotes.dtypes)[item]
+    listed = F.array(*[F.struct(F.lit(r[item]).cast(kind).alias(item), F.lit(r["q_"]).alias("q_")) for r in short])
+    return long.unionByName(d.select(key, F.explode(F.filter(listed, lambda s: F.contains(F.col("t_"), s["q_"]))).alias("s_")).select(key, f"s_.{item}"))
+
+
+def reground(references: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(question_id, accession, chunk_id, found): the first chunk by id of the accession that holds the quote, else its first chunk; null without chunks."""
+    rows = references.join(chunks.select(F.col("accession").alias("a_"), F.col("id").alias("c_"), F.col("text").alias("t_")), F.col("accession") == F.col("a_"), "left")
+    hit = F.contains(F.lower("t_"), F.lower("quote"))
+    out = rows.groupBy("question_id", "accession").agg(F.min(F.when(hit, F.col("c_"))).alias("hit_"), F.min("c_").alias("first_"))
+    return out.select("question_id", "accession", F.coalesce("hit_", "first_").alias("chunk_id"), F.col("hit_").isNotNull().alias("found"))
+
+
+def grounded_questions(chunks: DataFrame, templates: dict[str, str], wanted: dict[str, int], seed: int = 17) -> DataFrame:
+    """(question_id, category, question, accession, quote): for each category `wanted` questions from different accessions, chosen by a seeded hash.
+
+    chunks has id, accession, category, ticker and text; a template's {ticker} and {quote} are filled in.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string")).cast("binary"))
+    one = chunks.withColumn("n_", F.row_number().over(Window.partitionBy("category", "accession").orderBy(order, "id"))).where("n_ = 1")
+    most = F.try_element_at(F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv]), F.col("category"))
+    kept = one.withColumn("n_", F.row_number().over(Window.partitionBy("category").orderBy(order, "id"))).where(F.col("n_") <= most)
+    quote = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 200)
+    text = F.try_element_at(F.create_map(*[F.lit(x) for kv in templates.items() for x in kv]), F.col("category"))
+    asked = F.replace(F.replace(text, F.lit("{ticker}"), F.col("ticker")), F.lit("{quote}"), F.substring(quote, 1, 60))
+    return kept.select(question_id(F.col("category"), F.col("accession"), quote).alias("question_id"), "category", asked.alias("question"), "accession", quote.alias("quote"))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int, keys: list[str] | None = None) -> DataFrame:
     """n rows (of each key) in the order of a seeded hash: a random sample that reruns repeat."""
     order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)]

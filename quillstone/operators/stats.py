@@ -161,3 +161,10 @@ def bootstrap_spreads(buckets: DataFrame, windows: list[str], q: int, draws: int
         return pd.DataFrame(rows, columns=["window", "low", "high", "p"])
 
     return ends.groupBy("all_").applyInPandas(run, "window string, low double, high double, p double")
+
+
+def ewma(df: DataFrame, value: str, order: str, keys: list[str], weight: float = 0.6) -> DataFrame:
+    """(keys, ewma): the running mean that gives each new value `weight`, in order; a series of one key is short."""
+    series = F.array_sort(F.collect_list(F.struct(order, value)))
+    start = F.element_at(F.col("s_"), 1)[value].cast("double")
+    return df.groupBy(*keys).agg(series.alias("s_")).select(*keys, F.aggregate(F.slice("s_", 2, F.greatest(F.size("s_"), F.lit(1))), start, lambda a, x: (1 - weight) * a + weight * x[value]).alias("ewma"))

@@ -254,19 +254,9 @@ def benchmark_contract(spark: SparkSession, d: str) -> DataFrame:
 
 @query("evidence_quotes", "SELECT b.item_id, count(*) AS documents, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def evidence_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold a benchmark text verbatim.
-
-    Whole words from inside a quote are whole words of a text that holds it, so runs of five words meet by
-    equality first and the substring is verified after; quotes too short for that would be compared by their longest run.
-    """
-    run = 5
-    w = F.split("text", "[ \n\t\r\f]+")
-    quotes = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), w.alias("w"))
-    quotes = quotes.where(F.size("w") >= run + 2).select("item_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, run), " ")).alias("h"))
-    docs = S.table(spark, d, "documents").withColumn("w", w)
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - run + 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, run), " "))))).alias("h"))
-    met = grams.join(quotes, "h").select("doc_id", "item_id", "quote").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "quote"))
-    return met.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Documents that hold a benchmark text verbatim."""
+    hits = evals.holding(S.table(spark, d, "documents"), "doc_id", S.table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "item_id")
+    return hits.groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 @query("ann_vs_exact", None)

@@ -187,6 +187,19 @@ def test_metrics(spark):
     assert [r["label"] for r in evals.label_candidates(cand, refs).orderBy("rank").collect()] == ["r0", "unmatched:b:2"]
 
 
+def test_benchmark_builders(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "xalpha beta gammay"), (3, None)], "id int, text string")
+    quotes = spark.createDataFrame([(1, "alpha beta gamma"), (2, "gamma"), (3, "beta gamma"), (4, "absent words here")], "item int, quote string")
+    assert sorted((r["id"], r["item"]) for r in evals.holding(docs, "id", quotes, "item").collect()) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3)]
+    refs = spark.createDataFrame([(1, "a", "Beta"), (2, "a", "none"), (3, "z", "q")], "question_id int, accession string, quote string")
+    chunks = spark.createDataFrame([(5, "a", "c", "T", "alpha"), (6, "a", "c", "T", "the beta"), (7, "b", "c", "U", "other")], "id int, accession string, category string, ticker string, text string")
+    assert {r["question_id"]: (r["chunk_id"], r["found"]) for r in evals.reground(refs, chunks).collect()} == {1: (6, True), 2: (5, False), 3: (None, False)}
+    made = evals.grounded_questions(chunks, {"c": "What does {ticker} say about {quote}?"}, {"c": 5}).collect()
+    assert len(made) == 2 and len({r["question_id"] for r in made}) == 2 and all(len(r["question_id"]) == 12 for r in made)
+    series = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0)], "k string, at int, x double")
+    assert stats.ewma(series, "x", "at", ["k"]).first()["ewma"] == pytest.approx(16.0)
+
+
 def test_answers(spark):
     companies = spark.createDataFrame([("NVDA", "NVIDIA Corporation"), ("AAPL", "Apple Inc."), ("APLE", "Apple Hospitality REIT")], "ticker string, name string")
     aliases = answers.company_aliases(companies)
