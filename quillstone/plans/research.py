@@ -181,6 +181,12 @@ def panel_signals(spark: SparkSession, d: str) -> DataFrame:
     return _panel(spark, d).select("id", "company", cut6(F.col("similarity")).alias("disclosure_similarity"), (F.col("risk_added") - F.col("risk_removed")).alias("risk_expansion"), delay_days(F.col("available_at"), F.col("period_end")).alias("filing_lateness"))
 
 
+@query("panel_leakage_check", f"WITH {_PANEL} SELECT count(*) AS n_rows, count(*) FILTER (WHERE max_source_available_at::TIMESTAMP > available_at::TIMESTAMP) AS n_leaks FROM panel")
+def panel_leakage_check(spark: SparkSession, d: str) -> DataFrame:
+    late = F.col("max_source_available_at") > F.col("available_at")
+    return _panel(spark, d).agg(F.count("*").alias("n_rows"), F.count(F.when(late, 1)).alias("n_leaks"))
+
+
 @query("corpus_snapshot", f"WITH {S.FILINGS}, p AS (SELECT available_at, id, accession || ':' || md5(text) AS entry FROM filings WHERE NOT is_amendment AND available_at <= DATE '{AS_OF}' ORDER BY available_at, id LIMIT 500) SELECT sha256(string_agg(entry, '|' ORDER BY available_at, id))[1:16] AS snapshot_id FROM p")
 def corpus_snapshot(spark: SparkSession, d: str) -> DataFrame:
     rows = asof.amendment_policy(asof.visible(S.filings(spark, d), AS_OF), "exclude").orderBy("available_at", "id").limit(500)
