@@ -187,6 +187,30 @@ def test_demand_time_inverts_the_integral(spark):
         assert all((1 + s) * r["t"] - s * r["t"] ** 2 == pytest.approx(r["id"] / 10) for r in t)
 
 
+def test_training_order_follows_the_schedules(spark):
+    """Sources a, b and c (falling, rising and flat): each document stands where bisection of its source's integral puts it, in every pass."""
+    rng = np.random.default_rng(7)
+    rows = [(i, "w " * int(rng.integers(1, 40)), "abc"[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(df).toPandas()
+    slopes = dict(zip("abc", mixing.SLOPES, strict=True))
+
+    def demanded_at(share, s):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            t = (low + high) / 2
+            low, high = (t, high) if (1 + s) * t - s * t * t < share else (low, t)
+        return low
+
+    want = []
+    for r in mixed.itertuples():
+        for n in range(int((r.taken + r.size / 2) // max(r.size, 1)) if r.taken else 0):
+            want.append((demanded_at(min(1.0, (n * r.source_size + r.start + r.size / 2) / r.target), slopes[r.source]), r.doc_id))
+    at = sorted(t for t, _ in want)
+    assert min(b - a for a, b in zip(at, at[1:], strict=False)) > 1e-12
+    assert [r["doc_id"] for r in mixing.training_order(df).collect()] == [d for _, d in sorted(want)]
+
+
 # --- op4 ---
 
 def brute_base(text):
