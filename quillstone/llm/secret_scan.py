@@ -47,6 +47,27 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *[T.Str
 Span = tuple[int, int, int, int]  # start, place of its kind in KINDS, end, start of the secret itself
 
 
+def without_copies(text: str, a: int, b: int) -> tuple[str, str]:
+    """What stands up to AROUND characters before and after text[a:b], with whatever it shares with text[a:b] blanked.
+
+    Shared is every run of LEAST_CANDIDATE characters that is in text[a:b] too; runs that begin or end outside the
+    surroundings count, so that the rest of a copy at their edge goes as well.
+    """
+    n, s = LEAST_CANDIDATE, text[a:b]
+    known = {s[i : i + n] for i in range(len(s) - n + 1)}
+
+    def blanked(low: int, high: int, first: int, last: int) -> str:
+        kept = list(text[low:high])
+        for i in range(first, last - n + 1):
+            if text[i : i + n] in known:
+                x, y = max(i, low) - low, min(i + n, high) - low
+                kept[x:y] = " " * (y - x)
+        return "".join(kept)
+
+    low, high = max(0, a - AROUND), min(len(text), b + AROUND)
+    return blanked(low, a, max(0, low - n + 1), a), blanked(b, high, b, min(len(text), high + n - 1))
+
+
 class Scanner:
     """Finds the spans of one text after another; one per task."""
 
@@ -65,7 +86,10 @@ class Scanner:
         return sorted(out)
 
     def novel(self, text: str, base: list[Span]) -> list[Span]:
-        """Candidates that no base span touches, in sensitive context, with letters and digits, that don't compress."""
+        """Candidates that no base span touches, in sensitive context, with letters and digits, that don't compress.
+
+        Each occurrence is measured against surroundings without its copies: a secret that is repeated is found at each place.
+        """
         if not _SENSITIVE.search(text):
             return []
         starts = np.array([s[0] for s in base])
@@ -79,7 +103,8 @@ class Scanner:
             s = m.group()
             if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or not _SENSITIVE.search(text, max(0, a - REACH), a):
                 continue
-            if self.novelty(text[max(0, a - AROUND) : a], s, text[b : b + AROUND]) >= NOVELTY:
+            before, after = without_copies(text, a, b)
+            if self.novelty(before, s, after) >= NOVELTY:
                 out.append((a, 3, b, a))
         return out
 

@@ -250,6 +250,24 @@ def test_novelty_separates_random_from_known():
     assert s.novelty("key: ", "zQ8vN2kLx9PfW4mTb7Yc1RdHs6Ug3", "") > secret_scan.NOVELTY > s.novelty("key: ", "AbstractBeanFactoryConfigurationException", "")
 
 
+def test_repeated_secrets_are_found_at_each_place(spark):
+    a, b = "zQ8vN2kLx9PfW4mTb7Yc1RdHs6UgJ3eK", "Hq3Zt8Vb1Nc6Mx4Lp9Rw2Ys7Kd5Jf0Ga"
+    line = f"Authorization header: Bearer {a}\n"
+    texts = [
+        line * 2, line * 5, f"Bearer {b} then authorization Bearer {a}, again Bearer {a} and Bearer {b}",
+        f"{line}{'filler words here ' * 13}{line}",  # the second copy is cut by the edge of the surroundings
+        f"credential is x={a}\ncredential is other_name={a}\n",  # two candidates that hold the same secret
+        "the signature of AbstractBeanFactoryConfigurationException2\n" * 3,
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.op4(docs_of(spark, texts)).collect()}
+    places = lambda t, *secrets: ",".join(f"novel:{i}:{j}" for i, j in sorted(m.span() for s in secrets for m in re.finditer(s, t)))
+    for i, secrets in enumerate([(a,), (a,), (a, b), (a,), (f"x={a}", f"other_name={a}")]):
+        assert got[i] == places(texts[i], *secrets)
+    assert got[5] == ""
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs_of(spark, texts)).collect()}
+    assert not any(s in t for t in out.values() if t for s in (a, b)) and out[0].count("[NOVEL REMOVED]") == 2
+
+
 # --- op6, op8 ---
 
 def reference_ids(texts):
