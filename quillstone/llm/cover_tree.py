@@ -209,49 +209,74 @@ def _link_group(cosine: float):
     return run
 
 
+def _pivots(classes: DataFrame, sizes: dict[int, int], block: int) -> dict[int, np.ndarray]:
+    """The pivots of each dimension in `sizes` (dimension: its classes). They decide how much is pruned, never what is linked.
+
+    A dimension that fits a block needs one, which may be any unit vector. The others' are chosen from a sample by hash,
+    which they share by their numbers of classes, but with as many vectors as they have pivots at least.
+    """
+    wanted = {d: min(MAX_PIVOTS, math.ceil(n / block)) for d, n in sorted(sizes.items())}
+    pivots = {d: np.eye(1, d, dtype=np.float32) for d in wanted}
+    large = {d: sizes[d] for d, count in wanted.items() if count > 1}
+    if large:
+        total = sum(large.values())
+        quota = [(d, max(PIVOT_SAMPLE * n // total, wanted[d]) / n) for d, n in large.items()]
+        hashed = F.xxhash64(F.lit(7), F.col("vec"))
+        drawn = classes.withColumn("d", F.size("vec")).join(F.broadcast(classes.sparkSession.createDataFrame(quota, "d int, part double")), "d")
+        sample = drawn.where(F.pmod(hashed, F.lit(1 << 20)) < F.ceil(F.col("part") * (1 << 20))).select("d", "vec").orderBy("d", hashed, "vec").collect()
+        found: dict[int, list[list[float]]] = {}
+        for r in sample:
+            found.setdefault(r["d"], []).append(r["vec"])
+        pivots |= {d: choose_pivots(unit(pd.Series(v))[1], wanted[d]) for d, v in found.items()}
+    return pivots
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embedding", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """key, n_links, component_id, kept for every row of vectors.
 
     Equal vectors are one class before pairs are sought, whatever their number. Vectors that are null, empty, zero or hold a
-    null or non-finite component link with nothing and are their own component; so are vectors of a dimension of their
-    own. Every row is a vector of its own, so repeated rows link with each other. A row with a null key is compared but
+    null or non-finite component link with nothing and are their own component. Vectors of different dimensions don't link;
+    those of each dimension are compared with each other. Every row is a vector of its own, so repeated rows link with each other. A row with a null key is compared but
     doesn't name a component that has others. No rows give no rows.
     """
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     good = F.coalesce(F.col(vec).isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("key"), F.when(good, F.col(vec)).alias("vec")).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
     classes = cut(rows.where("vec is not null").groupBy("vec").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.min("node").alias("node")), "classes")
-    total = classes.count()
-    sample = classes.select("vec", F.size("vec").alias("d")).orderBy(F.xxhash64(F.lit(7), F.col("vec")), "vec").limit(PIVOT_SAMPLE).collect()
-    dims = sorted({r["d"] for r in sample}) or [1]
-    d = max(dims, key=lambda n: sum(r["d"] == n for r in sample))
-    pivots = choose_pivots(unit(pd.Series([r["vec"] for r in sample if r["d"] == d]))[1], min(MAX_PIVOTS, math.ceil(total / block))) if sample else np.zeros((1, 1), np.float32)
+    sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect()}
+    pivots = _pivots(classes, sizes, block)
+    bounds = np.concatenate([[0], np.cumsum([len(p) for p in pivots.values()])]).astype(np.int64)
+    cells_of = dict(zip(pivots, zip(bounds, bounds[1:], strict=False), strict=True))  # the cells of each dimension are consecutive
     far = reach(cosine)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            away = distances(unit(pdf["vec"])[1], pivots)
-            yield pdf.assign(cell=away.argmin(1).astype(np.int32), away=away.min(1).astype(float))
+            for d, part in pdf.groupby(pdf["vec"].map(len)):
+                away = distances(unit(part["vec"])[1], pivots[d])
+                yield part.assign(cell=(cells_of[d][0] + away.argmin(1)).astype(np.int32), away=away.min(1).astype(float))
 
-    of_d = classes.where(F.size("vec") == d)
+    # a class that is alone in its dimension has nothing to be compared with
+    of_d = classes.join(F.broadcast(classes.sparkSession.createDataFrame([(d,) for d in sizes], "d_ int")), F.size("vec") == F.col("d_"), "left_semi")
     celled_schema = T.StructType([*of_d.select("vec", "node", "copies").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
     celled = cut(of_d.select("vec", "node", "copies").mapInPandas(deal, celled_schema), "cells")
     stats = {r["cell"]: (r["n"], r["r"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
-    salts = np.array([math.ceil(stats[c][0] / block) if c in stats else 0 for c in range(len(pivots))])
+    salts = np.array([math.ceil(stats[c][0] / block) if c in stats else 0 for c in range(bounds[-1])], np.int64)
     base = np.cumsum(salts) - salts
-    radius = np.array([stats[c][1] if c in stats else -np.inf for c in range(len(pivots))])
+    radius = np.array([stats[c][1] if c in stats else -np.inf for c in range(bounds[-1])])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The block of each row, and the pairs of blocks in which it can have links."""
         for pdf in batches:
-            away, cell = distances(unit(pdf["vec"])[1], pivots) if len(pdf) else np.zeros((0, len(pivots))), pdf["cell"].to_numpy()
-            salt = (pdf["node"].to_numpy().view(np.uint64) // np.uint64(7) % np.maximum(salts[cell], 1).astype(np.uint64)).astype(np.int64)
-            near = (away <= radius[None] + far + SLACK) & (away - pdf["away"].to_numpy()[:, None] <= 2 * far + SLACK)
-            codes, own = [], base[cell] + salt
-            for row, o in zip(near, own, strict=True):
-                partners = np.concatenate([base[c] + np.arange(salts[c]) for c in np.flatnonzero(row)])
-                codes.append((np.minimum(partners, o) << 32) | np.maximum(partners, o))
-            yield pd.DataFrame({"vec": pdf["vec"], "node": pdf["node"], "copies": pdf["copies"], "block": own, "codes": codes})
+            for d, part in pdf.groupby(pdf["vec"].map(len)):
+                c0, c1 = cells_of[d]
+                away, cell = distances(unit(part["vec"])[1], pivots[d]), part["cell"].to_numpy()
+                salt = (part["node"].to_numpy().view(np.uint64) // np.uint64(7) % np.maximum(salts[cell], 1).astype(np.uint64)).astype(np.int64)
+                near = (away <= radius[None, c0:c1] + far + SLACK) & (away - part["away"].to_numpy()[:, None] <= 2 * far + SLACK)
+                codes, own = [], base[cell] + salt
+                for row, o in zip(near, own, strict=True):
+                    partners = np.concatenate([base[c] + np.arange(salts[c]) for c in c0 + np.flatnonzero(row)])
+                    codes.append((np.minimum(partners, o) << 32) | np.maximum(partners, o))
+                yield pd.DataFrame({"vec": part["vec"], "node": part["node"], "copies": part["copies"], "block": own, "codes": codes})
 
     kind = celled.schema["vec"].dataType
     routed_schema = T.StructType([T.StructField("vec", kind), T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("block", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])

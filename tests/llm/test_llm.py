@@ -119,6 +119,26 @@ def test_cover_tree_is_exact(spark, block):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(len(x), len(x) + 5))
 
 
+@pytest.mark.parametrize("block", [4096, 24])
+def test_cover_tree_links_within_each_dimension(spark, block):
+    """Dimensions 16 and 9 near equal, few vectors of 3, one of 5 twice; against brute force."""
+    rng = np.random.default_rng(8)
+    x = [rng.standard_normal(d) for d in [16, 9] * 150 + [3] * 12 + [5]]
+    for i in range(40, 80):
+        x[i] = (x[40] if len(x[i]) == 16 else x[41]) + 0.05 * rng.standard_normal(len(x[i]))
+    for i in range(302, 306):
+        x[i] = x[301] * (i - 300) + 0.01
+    x = [v.astype(np.float32) for v in [*x, x[-1]]]
+    hit = np.array([[a is not b and len(a) == len(b) and float(a.astype(float) @ b.astype(float)) >= cover_tree.COSINE * float(np.linalg.norm(a.astype(float)) * np.linalg.norm(b.astype(float))) for b in x] for a in x])
+    np.fill_diagonal(hit, False)
+    hit[-1, -2] = hit[-2, -1] = True
+    label = components.min_labels(*np.nonzero(hit), len(x))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_duplicates(df, block=block).collect()}
+    assert got == {i: (hit[i].sum(), label[i]) for i in range(len(x))}
+    assert min(hit[i].sum() for i in (40, 41, 301)) >= 3
+
+
 def test_cover_tree_edges(spark):
     schema = "vec_id long, embedding array<float>"
     assert cover_tree.near_duplicates(spark.createDataFrame([], schema)).count() == 0
