@@ -8,6 +8,7 @@ a batch is encoded once, and ids are gathered by word.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,16 @@ import tiktoken
 
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
-#: Text bytes that are encoded at a time, and words that a task remembers.
-CHUNK_BYTES, REMEMBERED = 8 << 20, 300_000
+#: Text bytes that are encoded at a time, words that a task remembers, and the most bytes of one of them.
+CHUNK_BYTES, REMEMBERED, REMEMBERED_BYTES = 8 << 20, 300_000, 64
 #: Texts that can't be cut at single spaces: a space at an end or beside other white space, or the special token.
 _ODD = r"^ | $| [\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}] |<\|endoftext\|>"
 
+# The characters that the tokenizer's pattern takes for white space.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that are cut out before the pattern is applied, which would keep a stack frame for each of their characters.
+_LONG_SPACE = re.compile(rf"(?<![{_SPACE}])[{_SPACE}]{{1000,}}")
+
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     import public_tokenizers
@@ -46,6 +52,27 @@ class Encoder:
         self.byte_lengths[END_OF_TEXT_ID] = len(END_OF_TEXT)
 
     def encode(self, text: str) -> np.ndarray:
+        """The ids of a text of any length.
+
+        The pattern makes one piece of a run of white space, without its last character if a word follows, which the
+        word's own piece begins with or which is a piece by itself. So a long run is a cut: what stands before it, the run's piece and
+        what follows are encoded each.
+        """
+        if not _LONG_SPACE.search(text):
+            return self._encode(text)
+        out = []
+        for i, segment in enumerate(text.split(END_OF_TEXT)):
+            if i:
+                out.append(np.array([END_OF_TEXT_ID], np.uint32))
+            at = 0
+            for m in _LONG_SPACE.finditer(segment):
+                end = m.end() - (m.end() < len(segment))
+                out += [self._encode(segment[at : m.start()]), np.array(self.core._core_bpe.encode_single_piece(segment[m.start() : end].encode()), np.uint32)]
+                at = end
+            out.append(self._encode(segment[at:]))
+        return np.concatenate(out)
+
+    def _encode(self, text: str) -> np.ndarray:
         return self.core.encode_to_numpy(text, allowed_special="all", disallowed_special=())
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +88,12 @@ class Encoder:
         begin[new], length[new] = len(self.known_ids) + begins[:-1], np.diff(begins)
         every = np.concatenate([self.known_ids, ids])
         if len(self.known) < REMEMBERED and len(new):
-            self.known = pa.concat_arrays([self.known, missing])
-            self.known_ids = every
-            self.known_begins, self.known_lengths = np.concatenate([self.known_begins, begin[new]]), np.concatenate([self.known_lengths, length[new]])
+            short = np.flatnonzero(np.asarray(pc.binary_length(missing)) <= REMEMBERED_BYTES)
+            own = np.repeat(begin[new[short]] - (np.cumsum(length[new[short]]) - length[new[short]]), length[new[short]]) + np.arange(int(length[new[short]].sum()))
+            self.known = pa.concat_arrays([self.known, missing.take(pa.array(short))])
+            self.known_begins = np.concatenate([self.known_begins, len(self.known_ids) + np.cumsum(length[new[short]]) - length[new[short]]])
+            self.known_lengths = np.concatenate([self.known_lengths, length[new[short]]])
+            self.known_ids = np.concatenate([self.known_ids, every[own]])
         return every, begin, length
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
