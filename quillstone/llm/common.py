@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,19 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary one in local mode, as in tests; on a cluster, whose machines share no such folder, an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillstone-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made, made.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation of what came before."""
+    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation of what came before.
+
+    What nobody removed before with drop_cut() is removed when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(made)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,8 +53,8 @@ def drop_cut(df: DataFrame) -> None:
     """Remove the files of a DataFrame that cut() returned, once nothing reads it any more."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        made, fs = _hadoop_path(spark, file)
+        fs.delete(made.getParent(), True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -48,6 +65,33 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def file_ranks(df: DataFrame, out: str) -> tuple[DataFrame, int]:
+    """(df with `out`, number of rows): `out` is the number of rows before this one, in the order of files and of rows in them.
+
+    Files that Spark wrote are ordered by the number of their part, so that a table that was written sorted is ranked as it was
+    sorted. Nothing is shuffled: rows are counted by file, which is one row a file for the driver, as in its own file listing.
+    A df that isn't read from Parquet files is written first. Columns that df has keep their names; `out` is replaced.
+    """
+    df = df.drop(out)
+    try:
+        hidden = df.metadataColumn("_metadata")
+        df.select(hidden["file_path"], hidden["row_index"])
+    except AnalysisException:
+        df = cut(df, "ranked")
+        hidden = df.metadataColumn("_metadata")
+    path, row, key, before = (free_name(df, x) for x in ("path_", "row_", "file_", "before_"))
+    files = df.select(hidden["file_path"].alias(path)).groupBy(path).count().collect()
+    part = re.compile(r"part-(\d+)[^/]*$")
+    files.sort(key=lambda r: (int(m[1]) if (m := part.search(r[0])) else -1, r[0]))
+    offsets, total = [], 0
+    for r in files:
+        offsets.append((r[0], total))
+        total += r[1]
+    side = df.sparkSession.createDataFrame(offsets, f"{key} string, {before} long")
+    rows = df.select("*", hidden["file_path"].alias(path), hidden["row_index"].alias(row)).join(F.broadcast(side), F.col(path) == F.col(key))
+    return rows.withColumn(out, F.col(before) + F.col(row)).drop(path, row, key, before), total
+
+
 def ordering_hash(*cols: Column) -> Column:
     """A hash for reproducible pseudo-random order: 64 bits of MD5, so that another SQL engine computes the same."""
     joined = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols])
