@@ -1,28 +1,31 @@
 """Packing tokenised documents into fixed windows by non-negative least squares over length combinations.
 
-Documents are cut into whole windows and a rest. Lengths, rounded up to units, make a small histogram; shallow combinations
-of lengths that fill a window exactly are enumerated, and how often each is used is solved against the histogram by
-non-negative least squares and rounded down; what is left over is packed greedily, still on the histogram. Pieces then take
-the slots of their length by rank, which is a distributed prefix count.
+Documents are cut into whole windows and a rest. Whole windows are sequences as they stand. The rests are packed range by range of
+positions, so that sequences keep the documents' order: lengths, rounded up to units, make a small histogram; shallow
+combinations of lengths that fill a window exactly are enumerated, and how often each is used is solved against the histogram
+by non-negative least squares and rounded down; what is left over is packed greedily, still on the histogram. Pieces
+then take the slots of their length by rank. A document has one rest at most, so a range is bounded by its number of documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillstone.llm.common import cut, free_name, ordering_hash, prefix_sums
+from quillstone.llm.common import cut, file_ranks
 from quillstone.llm.tokens import Encoder, chunks
 
 WINDOW, UNITS, DEPTH, END_ID = 1024, 128, 3, 0
-#: Leading hex digits of the ordering hash by which the pieces of one length are dealt to buckets.
-BUCKET_DIGITS = 2
+#: Documents of a range whose rests are packed together: a 64th of all, but within these bounds.
+RANGES, LEAST_RANGE, MOST_RANGE = 64, 512, 16384
+#: Sequence ids that belong to one position: its whole windows come first, the last is that of the sequence whose first rest is its.
+SPREAD = 1 << 24
 
 PIECE_FIELDS = "start long, length long, doc_tokens long, ids binary"
 
@@ -63,6 +66,7 @@ def tokenize_pieces(docs: DataFrame, window: int = WINDOW, text: str = "text", k
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """argmin |a x - b| over x >= 0, by the active-set method of Lawson and Hanson on the normal equations."""
     gram, at_b, n = a.T @ a, a.T @ b, a.shape[1]
+    gram[np.diag_indices(n)] += 1e-9  # combinations may depend on each other
     x, passive = np.zeros(n), np.zeros(n, bool)
     tolerance = 1e-9 * max(1.0, np.abs(at_b).max(initial=0))
     for _ in range(rounds or 3 * a.shape[0]):
@@ -74,7 +78,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
         passive[j] = True
         while True:
             at = np.flatnonzero(passive)
-            s = np.linalg.lstsq(gram[np.ix_(at, at)], at_b[at], rcond=None)[0]
+            s = np.linalg.solve(gram[np.ix_(at, at)], at_b[at])
             if (s > 0).all():
                 x[:] = 0
                 x[at] = s
@@ -90,6 +94,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
+@cache
 def combinations(units: int = UNITS, depth: int = DEPTH) -> np.ndarray:
     """A column for each way to fill `units` exactly with at most `depth` lengths; row u - 1 counts length u."""
     found = [(units,)] + [(i, units - i) for i in range(1, units // 2 + 1)]
@@ -142,32 +147,56 @@ def slots(planned: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int
     return out
 
 
-def pack_pieces(pieces: DataFrame, window: int = WINDOW, units: int = UNITS, depth: int = DEPTH) -> DataFrame:
-    """pieces with sequence_id and offset.
+def pack_rests(length: np.ndarray, position: np.ndarray, window: int = WINDOW, units: int = UNITS, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence_id, offset) of the rests of one range: lengths under the window, and their documents' positions, all different.
 
-    pieces has doc_id, start, length (1 to `window`) and any other columns, and should be cheap to read twice. Only a
-    histogram of `units` counts comes to the driver, and the table of slots, bounded by units and depth, is
-    broadcast. A length may belong to any share of all rows. No rows give no rows; equal rows get slots of their own.
+    Of the pieces of a length those with smaller positions take the slots that come first; in a sequence, pieces stand by position.
     """
-    spark = pieces.sparkSession
-    unit, key, rank = (free_name(pieces, x) for x in ("unit_", "order_", "rank_"))
-    size = window // units
-    rows = pieces.withColumn(unit, F.ceil(F.col("length") / size).cast("int"))
-    counts = np.zeros(units, np.int64)
-    for r in rows.groupBy(unit).agg(F.count("*").alias("n")).collect():
-        counts[r[unit] - 1] = r["n"]
-    table = spark.createDataFrame(slots(plan(counts, units, depth)), "u_ int, from_ long, to_ long, sequence_ long, uses_ long")
-    rows = rows.withColumn(key, ordering_hash(F.lit("pack"), F.col("doc_id"), F.col("start")))
-    rows = prefix_sums(rows, [unit], [F.col(key), F.asc_nulls_last("doc_id"), F.asc("start")], F.substring(key, 1, BUCKET_DIGITS), F.lit(1).cast("long"), rank)
-    placed = rows.join(F.broadcast(table), (F.col(unit) == F.col("u_")) & (F.col(rank) >= F.col("from_")) & (F.col(rank) < F.col("to_")))
-    placed = placed.withColumn("sequence_id", F.col("sequence_") + F.expr(f"({rank} - from_) div uses_"))
-    before = Window.partitionBy("sequence_id").orderBy(F.desc(unit), F.asc(rank)).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).select(*pieces.columns, "sequence_id", "offset")
+    unit = -(-length // (window // units))
+    order = np.lexsort((position, unit))
+    counts = np.bincount(unit - 1, minlength=units)
+    rank = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
+    table = np.array(sorted(slots(plan(counts, units, depth))), np.int64)
+    most = len(unit) + 1
+    at = np.searchsorted(table[:, 0] * most + table[:, 1], unit[order] * most + rank, "right") - 1
+    local = np.empty(len(unit), np.int64)
+    local[order] = table[at, 3] + (rank - table[at, 1]) // table[at, 4]
+    order = np.lexsort((position, local))
+    first = np.flatnonzero(np.concatenate([[True], np.diff(local[order]) > 0]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    before = np.cumsum(length[order]) - length[order]
+    sequence, offset = np.empty(len(unit), np.int64), np.empty(len(unit), np.int64)
+    sequence[order] = position[order][first][of] * SPREAD + SPREAD - 1
+    offset[order] = before - before[first][of]
+    return sequence, offset
+
+
+def pack_pieces(pieces: DataFrame, documents: int, window: int = WINDOW, units: int = UNITS, depth: int = DEPTH) -> DataFrame:
+    """pieces with sequence_id and offset; ordered by sequence_id, sequences follow the documents' positions.
+
+    pieces has position (a number of its document under `documents`, which no other document has), start, length (1 to
+    `window`; all of a document's pieces but the last have `window`), and any other columns, and should be cheap to read twice.
+    Whole windows move nowhere; the rests are shuffled once, by range. No rows give no rows. Equal documents have
+    positions of their own. Columns named sequence_id or offset are replaced.
+    """
+    pieces = pieces.drop("sequence_id", "offset")
+    schema = pieces.schema.add("sequence_id", "long", False).add("offset", "long", False)
+    size = min(MOST_RANGE, max(LEAST_RANGE, documents // RANGES))
+
+    def pack(rests: pa.Table) -> pa.Table:
+        sequence, offset = pack_rests(rests["length"].to_numpy(), rests["position"].to_numpy(), window, units, depth)
+        return rests.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    whole = pieces.where(F.col("length") == window)
+    whole = whole.withColumn("sequence_id", F.col("position") * SPREAD + F.expr(f"start div {window}")).withColumn("offset", F.lit(0).cast("long"))
+    rests = pieces.where(F.col("length") < window).groupBy(F.expr(f"position div {size}"))
+    return whole.unionByName(rests.applyInArrow(pack, schema))
 
 
 def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids, sequence_id, offset for every piece of every document."""
-    return pack_pieces(cut(tokenize_pieces(docs, window), "pieces"), window)
+    """doc_id, position, start, length, doc_tokens, ids, sequence_id, offset for every piece of every document."""
+    ranked, documents = file_ranks(docs, "position")
+    return pack_pieces(cut(tokenize_pieces(ranked, window, keep=("doc_id", "position")), "pieces"), documents, window)
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = END_ID) -> DataFrame:
@@ -182,11 +211,16 @@ def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = END_ID) ->
     return rows.select("sequence_id", "used", padded.alias("padded"), F.unhex(F.concat(F.array_join(F.transform("p", lambda x: x["ids"]), ""), pad)).alias("ids"))
 
 
-def digested_pieces(docs: DataFrame) -> DataFrame:
-    """Pieces with the CRC-32 of their ids in place of the ids, written once."""
-    return cut(tokenize_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+def pack_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, position for every piece, in the order of docs' files.
+
+    position is the document's place in that order; only the CRC-32 of a piece's ids is kept. An empty table has no pieces.
+    """
+    ranked, documents = file_ranks(docs, "position")
+    pieces = cut(tokenize_pieces(ranked, keep=("doc_id", "position")).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return pack_pieces(pieces, documents).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "position")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack_pieces(digested_pieces(docs)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """Pieces of all documents, as pack_digests() says."""
+    return pack_digests(docs)
