@@ -1,8 +1,13 @@
-"""SimHash near-duplicates: fingerprints that differ in few bits, found by meeting in the middle of Hamming balls."""
+"""SimHash near-duplicates: fingerprints that differ in few bits, found by meeting in the middle of Hamming balls.
+
+Every fingerprint emits all words within half the radius of it, but for one block of bits at a time; words are shuffled,
+and fingerprints that meet at a word are verified.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,11 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import cut
-from quillstone.llm.components import connected_components
+from quillstone.llm.components import STAR, connected_components, star_forest
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
-#: Fingerprints are joined half by half: two that differ in at most RADIUS bits differ in at most RADIUS // 2 in a half.
-HALF_BITS = 32
+#: Fingerprints have BLOCKS blocks. Two that differ in up to RADIUS bits differ in one less at most without some block.
+BLOCKS, BLOCK_BITS = 4, 16
+#: Links that a task gathers before it contracts them.
+MOST_LINKS = 1 << 20
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -51,31 +58,69 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", words
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def ball(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(half, variant, fp): for each half of fp, every 32-bit word within radius // 2 bits of it; null-free and JVM-side."""
+def signed(word: int) -> int:
+    return word - (1 << 64) if word >> 63 else word
+
+
+def variants(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(variant, fp): for each block, fp without it (its bits hold the block's number) and all words within half the radius of that."""
     if radius not in (1, 2, 3):
-        raise ValueError("radius is 1, 2 or 3: halves differ in one bit at most then")
-    flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(HALF_BITS - 1)), lambda i: F.expr("1L") * F.pow(F.lit(2.0), i).cast("long")))
-    if radius == 1:
-        flips = F.array(F.lit(0).cast("long"))
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), low.alias("word")), F.struct(F.lit(1).alias("half"), high.alias("word"))))
-    return fps.select("fp", halves.alias("h")).select("fp", F.col("h.half").alias("half"), F.col("h.word").alias("word"), F.explode(flips).alias("flip")).select("half", F.col("word").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
+        raise ValueError("radius is 1, 2 or 3: without some block two fingerprints differ in two bits at most then")
+    words = []
+    for block in range(BLOCKS):
+        own = ((1 << BLOCK_BITS) - 1) << BLOCK_BITS * block
+        flips = [0] + [1 << i for i in range(64) if not own >> i & 1] * (radius > 1)
+        words += [F.col("fp").bitwiseAND(F.lit(signed(~own & (1 << 64) - 1))).bitwiseXOR(F.lit(signed(block << BLOCK_BITS * block ^ x))) for x in flips]
+    return fps.select(F.explode(F.array(*words)).alias("variant"), "fp")
+
+
+def colliding(variant: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of fingerprints that meet at a variant and differ in 1 to `radius` bits; rows are sorted by variant."""
+    first = np.flatnonzero(np.concatenate([[True], variant[1:] != variant[:-1]])) if len(variant) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(variant)))
+    many = np.repeat(size > 1, size)
+    after = (np.repeat(first + size, size) - np.arange(len(variant)))[many]
+    fp, k = fp[many], 1
+    at = np.flatnonzero(after > k)
+    while len(at):
+        apart = np.bitwise_count((fp[at] ^ fp[at + k]).view(np.uint64))
+        hit = at[(apart > 0) & (apart <= radius)]
+        yield fp[hit], fp[hit + k]
+        k += 1
+        at = at[after[at] > k]
+
+
+def _meet(radius: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v, f, found, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        for pdf in chain(batches, [None]):
+            if pdf is not None:
+                v, f = np.concatenate([v, pdf["variant"].to_numpy("int64")]), np.concatenate([f, pdf["fp"].to_numpy("int64")])
+            done = len(v) if pdf is None else int(np.searchsorted(v, v[-1])) if len(v) else 0  # the last variant may go on
+            for a, b in colliding(v[:done], f[:done], radius):
+                found.append((a, b))
+                size += len(a)
+                if size > MOST_LINKS:
+                    found = [star_forest(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                    size = len(found[0][0])
+            v, f = v[done:], f[done:]
+        if found:
+            a, b = star_forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return run
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), a < b as signed longs: every pair of distinct fingerprints within `radius` bits; fps has distinct `fp`.
+    """(a, b): a forest over the distinct fingerprints `fp` that connects what pairs within `radius` bits connect.
 
-    If two words differ in up to 3 bits, one half differs in at most 1: there, the variants that one fingerprint
-    emits within half the radius hold the other's own half. So all variants of all fingerprints meet the halves
-    themselves, and each meeting is verified on all 64 bits inside the join. Few distinct fingerprints share
-    a half by chance, equal ones were merged before, and a frequent half is split by AQE.
+    If two words differ in up to 3 bits, some block holds one of them at least, and the rest differs in at most 2. There
+    the two balls of half the radius share a word: all variants of all fingerprints are shuffled and sorted, those that meet
+    at a variant are compared on all 64 bits, and a task sends on what connects its links, never its pairs. At a variant
+    meet 49 * 2^16 fingerprints at most, and by chance almost none.
     """
-    variants = ball(fps, radius)
-    own = fps.select(F.col("fp").alias("other"), F.explode(F.array(F.struct(F.lit(0).alias("half"), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).alias("variant")), F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("fp", 32).alias("variant")))).alias("o")).select("other", "o.*")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius
-    met = variants.join(own, ["half", "variant"]).where((F.col("fp") != F.col("other")) & near)
-    return met.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    met = variants(fps, radius).repartition("variant").sortWithinPartitions("variant")
+    return met.mapInPandas(_meet(radius), STAR)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -391,7 +391,7 @@ def test_simhash_against_brute_force(spark):
     assert simhash.op7(empty(spark)).count() == 0
 
 
-def test_ball_join_finds_every_pair(spark):
+def test_meetings_find_every_pair(spark):
     rng = np.random.default_rng(5)
     centre = int(rng.integers(1 << 62))
     near = {centre}
@@ -401,10 +401,17 @@ def test_ball_join_finds_every_pair(spark):
             for b in rng.choice(64, k, replace=False):
                 f ^= 1 << int(b)
             near.add(f)
-    signed = [f - (1 << 64) if f >> 63 else f for f in near]
-    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
-    got = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
-    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    fps = [simhash.signed(f) for f in near] + [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 200)]
+    for radius in (1, 2, 3):
+        want = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and bin((a ^ b) & (1 << 64) - 1).count("1") <= radius}
+        df = spark.createDataFrame([(f,) for f in fps], "fp long")
+        rows = simhash.variants(df, radius).orderBy("variant").toPandas()
+        met = [(int(a), int(b)) for x in simhash.colliding(rows.variant.to_numpy(), rows.fp.to_numpy(), radius) for a, b in zip(*x, strict=True)]
+        assert {(min(p), max(p)) for p in met} == want
+        a, b = (np.array(x) for x in zip(*want, strict=True))
+        got = simhash.links(df, radius).toPandas()
+        merge = lambda a, b: sorted(zip(*components.star_forest(np.array(a), np.array(b)), strict=True))
+        assert merge(got.a, got.b) == merge(a, b) and len(got) <= len(fps) * 4
     assert simhash.fingerprint("A b C") == brute_fingerprint("a B c")
 
 
