@@ -1,18 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, report) by a lexicon of stems; three small transducers
-mark hits that are negated, reported or aimed at somebody; their composition runs over each clause, and a
-document's score is a logistic function of the weights of its marked hits. The grammar is fixed; insult stems are
-a short seed list plus stems learned from labelled rows; the weights of the marks are fitted on the same rows.
+Words become symbols by a lexicon of stems, whole words and phrases. Weighted transducers read them: one finds phrases, one
+insults (more after an intensifier), one threats (a verb of harm counts little without an intention before it), and three
+scale hits that are negated, reported or aimed at somebody. Their composition runs over each clause; weights multiply along
+the path of a hit, and the hits of a clause add up to its score. A document's probability is a logistic function
+of its worst clause and of all its clauses. The grammar is fixed; stems are a short seed list plus those that labelled
+rows support, and the logistic function is fitted on the same rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -22,27 +24,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut, free_name, ordering_hash
+from quillstone.llm.common import cut, drop_cut, free_name, ordering_hash
 
-# Seed words of the lexicon; a word that starts with one of them has the symbol.
+# Seed stems; a word that starts with one of them has the symbol.
 INSULTS = "idiot moron stupid imbecile scum scumbag loser pathetic worthless disgusting trash clown dumb dumbass bastard retard filthy vermin".split()
-THREATS = "kill murder strangle stab destroy burn shoot hurt beat hunt".split()
+HARMS = "kill murder strangle stab destroy burn shoot hurt beat hunt".split()
+# Phrases that are a hit as a whole.
+PHRASES = {
+    "piece of shit": "insult", "piece of crap": "insult", "piece of garbage": "insult", "waste of space": "insult", "waste of oxygen": "insult", "shut up": "insult",
+    "go to hell": "threat", "burn in hell": "threat", "drop dead": "threat", "watch your back": "threat",
+}
 # Whole words with the other symbols.
 TARGETS = "you your yours yourself u they them he she him her his these those people everyone du dich ihr tu toi vous usted tú vosotros".split()
 NEGATIONS = "not no never none without isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais nunca jamás sin".split()
 REPORTS = "said says say claimed claims called wrote writes reported reports quoted quotes according alleged alleges sagte sagt dit écrit dijo dice".split()
+INTENSIFIERS = "such total complete utter absolute absolutely so very really fucking bloody damn total völlig tellement tan muy".split()
+INTENTIONS = "will would shall should must gonna going wanna want hope wish deserve deserves i'll we'll werde werden sollte vais voy".split()
 
 HITS = ("insult", "threat")
-#: Tokens over which a negation or a target reaches.
-NEGATION_SPAN, TARGET_SPAN = 3, 4
-#: Marks in the order in which the transducers write them.
-MARKS = tuple(k + n + r + t for k in HITS for n in ("", "-") for r in ("", '"') for t in ("", "@"))
-#: Least letters of a learned stem; most letters that are tried; evidence (G statistic) and precision it must have.
-STEM_LETTERS, MOST_LETTERS, LEAST_G, LEAST_PRECISION = 4, 8, 24.0, 0.6
-#: Documented bounds: labelled rows for fitting, and learned stems.
-MAX_LABELLED, MAX_STEMS = 20_000, 2_000
-#: Most words of one document that speak for a stem; min-hashes by which copies of a labelled document are found.
-WORDS_A_DOC, MIN_HASHES = 3, 4
+SYMBOLS = ("other", "target", "negation", "report", "quote", "intensifier", "intention", "harm", *HITS)
+#: Tokens over which a negation, an aim, an intensifier and an intention reach.
+NEGATION_SPAN, TARGET_SPAN, INTENSIFIER_SPAN, INTENTION_SPAN = 3, 4, 2, 3
+#: Factors of hits that are negated, reported, aimed, intensified; of harm with and without an intention; weights of seeds and phrases.
+NEGATED, REPORTED, AIMED, INTENSIFIED, INTENDED, UNINTENDED, SEED, PHRASE = 0.2, 0.4, 1.3, 1.5, 1.5, 0.3, 2.0, 3.0
+#: Least letters of a learned stem; most letters that are tried; evidence (G statistic), rows and precision it must have.
+STEM_LETTERS, MOST_LETTERS, LEAST_G, LEAST_ROWS, LEAST_PRECISION = 4, 8, 24.0, 4, 0.6
+#: Documented bound: labelled rows for fitting.
+MAX_LABELLED = 20_000
+#: Min-hashes by which copies of a labelled document are found.
+MIN_HASHES = 4
 
 _CLAUSE = re.compile(r"[.!?;:\n\r]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
@@ -50,111 +60,158 @@ _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer over symbols: arcs[(state, symbol)] = (next state, symbol written); others loop to `rest`."""
+    """A deterministic weighted transducer: arcs[(state, symbol)] = (next state, symbol written, weight).
+
+    A symbol without an arc takes the state's arc for "*", or stays; it is written as it is, with weight 1.
+    """
 
     start: str
-    arcs: dict[tuple[str, str], tuple[str, str]] = field(hash=False)
+    arcs: dict[tuple[str, str], tuple[str, str, float]] = field(hash=False)
 
-    def step(self, state: str, symbol: str) -> tuple[str, str]:
-        return self.arcs.get((state, symbol)) or self.arcs[(state, "*")][0:1] + (symbol,)
+    def step(self, state: str, symbol: str) -> tuple[str, str, float]:
+        got = self.arcs.get((state, symbol))
+        return got if got else (self.arcs.get((state, "*"), (state, "", 1.0))[0], symbol, 1.0)
 
 
-def window_marker(trigger: str, span: int, mark: str, reads: tuple[str, ...]) -> Transducer:
-    """Marks the symbols in `reads` that follow `trigger` within `span` tokens."""
-    arcs: dict[tuple[str, str], tuple[str, str]] = {}
+def reaching(trigger: str, span: int, reads: dict[str, tuple[str, float]], alone: dict[str, tuple[str, float]] | None = None) -> Transducer:
+    """Within `span` tokens after `trigger` the symbols in `reads` are written as (symbol, weight) says; elsewhere as `alone` says."""
+    arcs: dict[tuple[str, str], tuple[str, str, float]] = {}
     for left in range(span + 1):
-        arcs[str(left), "*"] = (str(max(0, left - 1)), "")
-        arcs[str(left), trigger] = (str(span), trigger)
-        for s in reads if left else ():
-            arcs[str(left), s] = (str(left - 1), s + mark)
+        arcs[str(left), "*"] = (str(max(0, left - 1)), "", 1.0)
+        for s, (out, w) in (reads if left else alone or {}).items():
+            arcs[str(left), s] = (str(max(0, left - 1)), out, w)
+        arcs[str(left), trigger] = (str(span), trigger, 1.0)
     return Transducer("0", arcs)
 
 
-def report_marker(reads: tuple[str, ...]) -> Transducer:
-    """Marks hits after a verb of saying, to the clause's end, and hits between quotation marks."""
-    arcs = {("plain", "*"): ("plain", ""), ("said", "*"): ("said", ""), ("quote", "*"): ("quote", "")}
-    arcs |= {("plain", "report"): ("said", "report"), ("plain", "quote"): ("quote", "quote"), ("said", "quote"): ("quote", "quote"), ("quote", "quote"): ("plain", "quote")}
-    for s in reads:
-        arcs["said", s] = ("said", s + '"')
-        arcs["quote", s] = ("quote", s + '"')
+def reporting(factor: float = REPORTED) -> Transducer:
+    """Scales hits after a verb of saying, to the clause's end, and hits between quotation marks."""
+    arcs = {("plain", "report"): ("said", "report", 1.0), ("plain", "quote"): ("quote", "quote", 1.0), ("said", "quote"): ("quote", "quote", 1.0), ("quote", "quote"): ("plain", "quote", 1.0)}
+    for s in HITS:
+        arcs["said", s] = ("said", s, factor)
+        arcs["quote", s] = ("quote", s, factor)
     return Transducer("plain", arcs)
 
 
-def compose(first: Transducer, second: Transducer, symbols: tuple[str, ...]) -> Transducer:
-    """The transducer that hands what `first` writes to `second`, over the reachable pairs of states."""
-    start = f"{first.start}|{second.start}"
-    arcs, todo, seen = {}, [(first.start, second.start)], {(first.start, second.start)}
+def phrasing(phrases: dict[str, str], base: dict[str, str]) -> Transducer:
+    """Reads words of phrases as symbols of their own; writes the hit at a phrase's last word, else what the word is by itself (`base`).
+
+    The states are the prefixes of phrases; a word that doesn't go on goes to the longest prefix that ends in it.
+    """
+    whole = {tuple(p.split()): k for p, k in phrases.items()}
+    prefixes = {p[:i] for p in whole for i in range(len(p))}
+    arcs: dict[tuple[str, str], tuple[str, str, float]] = {}
+    for at in prefixes:
+        arcs[" ".join(at), "*"] = ("", "", 1.0)
+        for word in {w for p in whole for w in p}:
+            ends = [(*at[i:], word) for i in range(len(at) + 1)]
+            hit = next((whole[e] for e in ends if e in whole), None)
+            to = next((e for e in ends if e in prefixes), ())
+            arcs[" ".join(at), f"word {word}"] = ("", hit, PHRASE) if hit else (" ".join(to), base.get(word, "other"), 1.0)
+    return Transducer("", arcs)
+
+
+def compose(first: Transducer, second: Transducer, symbols: Iterable[str]) -> Transducer:
+    """The transducer that hands what `first` writes to `second`, weights multiplied, over the reachable pairs of states."""
+    symbols, start = tuple(symbols), (first.start, second.start)
+    arcs, todo, seen = {}, [start], {start}
     while todo:
         a, b = todo.pop()
         for s in symbols:
-            a2, mid = first.step(a, s)
-            b2, out = second.step(b, mid)
-            arcs[f"{a}|{b}", s] = (f"{a2}|{b2}", out)
+            a2, mid, w = first.step(a, s)
+            b2, out, v = second.step(b, mid)
+            arcs[f"{a}|{b}", s] = (f"{a2}|{b2}", out, w * v)
             if (a2, b2) not in seen:
                 seen.add((a2, b2))
                 todo.append((a2, b2))
-    return Transducer(start, arcs)
+    return Transducer("|".join(start), arcs)
+
+
+def kinds_of_words() -> dict[str, str]:
+    """Whole words to symbols."""
+    return {w: k for k, ws in (("intensifier", INTENSIFIERS), ("intention", INTENTIONS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("quote", '"“”«»')) for w in ws}
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then target."""
-    symbols = ("other", "target", "negation", "report", "quote", *HITS)
-    negated = tuple(k + n for k in HITS for n in ("", "-"))
-    reported = tuple(k + r for k in negated for r in ("", '"'))
-    both = compose(window_marker("negation", NEGATION_SPAN, "-", HITS), report_marker(negated), symbols)
-    return compose(both, window_marker("target", TARGET_SPAN, "@", reported), symbols)
+@cache
+def grammar(base: tuple[tuple[str, str], ...]) -> tuple[Transducer, Transducer]:
+    """(the composition that runs forwards, the aim that runs both ways over what it writes); base: words of phrases and their own symbols."""
+    base = dict(base)
+    keep = {k: (k, 1.0) for k in HITS}
+    scaled = lambda x: {k: (k, x) for k in HITS}
+    chain = [
+        phrasing(PHRASES, base),
+        reaching("intensifier", INTENSIFIER_SPAN, {"insult": ("insult", INTENSIFIED)}),
+        reaching("intention", INTENTION_SPAN, keep | {"harm": ("threat", INTENDED)}, {"harm": ("threat", UNINTENDED)}),
+        reaching("negation", NEGATION_SPAN, scaled(NEGATED)),
+        reporting(),
+    ]
+    aim = reaching("target", TARGET_SPAN, scaled(AIMED))
+    symbols = (*SYMBOLS, *(f"word {w}" for w in base))
+    return reduce(lambda a, b: compose(a, b, symbols), chain), aim
 
 
 @dataclass
 class Model:
-    """stems: insult and threat stems with weights; weights: of the marks, with the intercept last."""
+    """stems: insult and harm stems with weights; weights: of the worst clause, of all clauses, and the intercept."""
 
     stems: dict[str, tuple[str, float]]
     weights: list[float]
 
 
 class Scorer:
-    """Runs the grammar of a model over texts. Built once per task."""
+    """Runs the grammar over texts. Built once per task."""
 
     def __init__(self, stems: dict[str, tuple[str, float]]):
         self.stems, self.lengths = stems, sorted({len(s) for s in stems}, reverse=True)
-        self.words = {w: (k, 0.0) for k, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("quote", '"“”«»')) for w in ws}
-        self.found = re.compile("|".join(sorted(map(re.escape, stems), key=len, reverse=True)) or r"(?!)")
-        self.machine, self.index, self.known = grammar(), {m: i for i, m in enumerate(MARKS)}, {}
+        self.words = kinds_of_words()
+        self.in_phrases = {w: self.lexical(w)[0] for p in PHRASES for w in p.split()}
+        self.found = re.compile("|".join(map(re.escape, sorted({*stems, *last_words()}, key=len, reverse=True))))
+        (self.machine, self.aim), self.known = grammar(tuple(self.in_phrases.items())), {}
+
+    def lexical(self, word: str) -> tuple[str, float]:
+        return next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), None) or (self.words.get(word, "other"), 1.0)
 
     def symbol(self, word: str) -> tuple[str, float]:
         got = self.known.get(word)
         if got is None:
-            got = next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), None) or self.words.get(word, ("other", 0.0))
+            kind, weight = self.lexical(word)
+            got = (f"word {word}" if word in self.in_phrases else kind, weight)
             if len(self.known) < 200_000:
                 self.known[word] = got
         return got
 
-    def features(self, text: str) -> np.ndarray | None:
-        """For each mark the summed weight of its clauses' hits, damped; None if no stem occurs."""
+    def clause(self, words: list[str]) -> float:
+        """The sum over a clause's hits of their stems' weights times the weights along their paths."""
+        state, written = self.machine.start, []
+        for w in words:
+            symbol, weight = self.symbol(w)
+            state, out, factor = self.machine.step(state, symbol)
+            written.append((out, weight * factor))
+        if not any(s in HITS for s, _ in written):
+            return 0.0
+        aimed = np.zeros(len(written), bool)
+        for places in (range(len(written)), range(len(written) - 1, -1, -1)):  # somebody may be named before or after
+            state = self.aim.start
+            for i in places:
+                state, _, factor = self.aim.step(state, written[i][0])
+                aimed[i] |= factor != 1
+        return sum(w * (AIMED if aimed[i] else 1.0) for i, (s, w) in enumerate(written) if s in HITS)
+
+    def features(self, text: str) -> tuple[float, float] | None:
+        """Of the worst clause and of all clauses, damped; None without a hit."""
         text = text.lower()
         if not self.found.search(text):
             return None
-        out, any_hit = np.zeros(len(MARKS)), False
-        for clause in _CLAUSE.split(text):
-            if not self.found.search(clause):
-                continue
-            state, hits = self.machine.start, []
-            for word in _WORD.findall(clause):
-                symbol, weight = self.symbol(word)
-                state, written = self.machine.step(state, symbol)
-                if weight:
-                    hits.append((written, weight))
-            if hits and any(self.symbol(w)[0] == "target" for w in _WORD.findall(clause)):  # a target behind the hit counts too
-                hits = [(m if m.endswith("@") else m + "@", w) for m, w in hits]
-            for m, w in hits:
-                out[self.index[m]] += w
-                any_hit = True
-        return np.log1p(out) if any_hit else None
+        scores = [s for c in _CLAUSE.split(text) if self.found.search(c) and (s := self.clause(_WORD.findall(c)))]
+        return (math.log1p(max(scores)), math.log1p(sum(scores))) if scores else None
+
+
+def last_words() -> list[str]:
+    return [p.rsplit(" ", 1)[1] for p in PHRASES]
 
 
 def _lower_stems(stems: dict[str, tuple[str, float]]) -> str:
-    return "(?i)" + "|".join(re.escape(s) for s in sorted(stems)) if stems else ""
+    return "(?i)" + "|".join(re.escape(s) for s in sorted({*stems, *last_words()}))
 
 
 def _may_match(texts: pa.Array, pattern: str) -> np.ndarray:
@@ -164,27 +221,37 @@ def _may_match(texts: pa.Array, pattern: str) -> np.ndarray:
 def learn_stems(sample: DataFrame, text: str, label: str) -> dict[str, tuple[str, float]]:
     """Seed stems and those that labelled rows support.
 
-    Counts, for each prefix of a word, the distinct words of toxic and of other documents that begin with it, up to
-    WORDS_A_DOC a document (summed in each partition before the shuffle), and keeps prefixes whose G statistic and
-    precision pass. A stem's weight is its smoothed log odds.
+    Counts, for each prefix of a word, the toxic and the other documents in which a word begins with it (summed in each
+    partition before the shuffle), and keeps prefixes whose G statistic, rows and precision pass, but for those of which a better
+    one is a prefix or begins with them. A stem's weight is its smoothed log odds; it is a verb of harm if in at least half of its
+    toxic documents an intention stands close before it, and an insult otherwise.
     """
-    stems = {w: (k, 2.0) for k, ws in (("insult", INSULTS), ("threat", THREATS)) for w in ws}
+    stems = {w: (k, SEED) for k, ws in (("insult", INSULTS), ("harm", HARMS)) for w in ws}
     totals = sample.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
     p, n = int(totals["p"] or 0), int(totals["n"])
     if not 0 < p < n:
         return stems
+    intentions = frozenset(INTENTIONS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
 
         def flush():
-            return pd.DataFrame({"stem": list(seen), "pos": [v[1] for v in seen.values()], "neg": [v[0] for v in seen.values()]})
+            return pd.DataFrame({"stem": list(seen), "neg": [v[0] for v in seen.values()], "pos": [v[1] for v in seen.values()], "meant": [v[2] for v in seen.values()]})
 
         for pdf in batches:
             for t, y in zip(pdf[text], pdf[label], strict=True):
-                words = {w for w in _WORD.findall(t.lower()) if len(w) >= STEM_LETTERS and not w[0].isdigit()} if t else ()
-                for stem, times in Counter(w[:i] for w in words for i in range(STEM_LETTERS, min(len(w), MOST_LETTERS) + 1)).items():
-                    seen.setdefault(stem, [0, 0])[int(y)] += min(times, WORDS_A_DOC)
+                words = _WORD.findall(t.lower()) if t else []
+                of: dict[str, bool] = {}
+                for i, w in enumerate(words):
+                    if len(w) >= STEM_LETTERS and not w[0].isdigit():
+                        meant = not intentions.isdisjoint(words[max(0, i - INTENTION_SPAN) : i])
+                        for k in range(STEM_LETTERS, min(len(w), MOST_LETTERS) + 1):
+                            of[w[:k]] = of.get(w[:k], False) or meant
+                for stem, meant in of.items():
+                    c = seen.setdefault(stem, [0, 0, 0])
+                    c[int(y)] += 1
+                    c[2] += int(y) and int(meant)
             if len(seen) > 500_000:
                 yield flush()
                 seen.clear()
@@ -192,18 +259,17 @@ def learn_stems(sample: DataFrame, text: str, label: str) -> dict[str, tuple[str
 
     base, g = p / n, F.col("pos") + F.col("neg")
     part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (g * F.lit(q)))).otherwise(0.0)
-    counts = sample.mapInPandas(count, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    kept = counts.where((F.col("pos") >= 4) & (F.col("pos") / g >= max(LEAST_PRECISION, base))).withColumn("g", 2 * (part("pos", base) + part("neg", 1 - base))).where(F.col("g") >= LEAST_G)
-    for r in kept.orderBy(F.desc("g"), F.desc(F.length("stem")), "stem").limit(20 * MAX_STEMS).collect():
-        s = r["stem"]
-        if any(s[:i] in stems for i in range(1, len(s))) or any(x.startswith(s) for x in stems):
-            if s in stems:
-                stems[s] = (stems[s][0], math.log((r["pos"] + 0.5) / (r["neg"] + 0.5) * (n - p) / p))
-            continue
-        stems[s] = ("insult", math.log((r["pos"] + 0.5) / (r["neg"] + 0.5) * (n - p) / p))
-        if len(stems) >= MAX_STEMS:
-            break
-    return {s: (k, max(0.25, w)) for s, (k, w) in stems.items()}
+    counts = sample.mapInPandas(count, "stem string, neg long, pos long, meant long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "meant")])
+    kept = counts.where((F.col("pos") >= LEAST_ROWS) & (F.col("pos") / g >= max(LEAST_PRECISION, base))).withColumn("g", 2 * (part("pos", base) + part("neg", 1 - base))).where(F.col("g") >= LEAST_G)
+    shorter = {s[:i] for s in stems for i in range(1, len(s))}
+    for r in kept.orderBy(F.desc("g"), F.desc(F.length("stem")), "stem").collect():  # at most as many as the sample's words support
+        s, weight = r["stem"], max(0.25, math.log((r["pos"] + 0.5) / (r["neg"] + 0.5) * (n - p) / p))
+        if s in stems:
+            stems[s] = (stems[s][0], weight)
+        elif s not in shorter and not any(s[:i] in stems for i in range(1, len(s))):
+            stems[s] = ("harm" if 2 * r["meant"] >= r["pos"] else "insult", weight)
+            shorter |= {s[:i] for i in range(1, len(s))}
+    return stems
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> list[float]:
@@ -219,9 +285,19 @@ def fit_weights(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> list[float]:
     return w.tolist()
 
 
-def default_weights() -> list[float]:
-    """For a corpus without usable labels: plain hits count most, negated and reported ones less."""
-    return [1.5 * (0.2 if "-" in m else 1) * (0.4 if '"' in m else 1) * (1.3 if "@" in m else 1) for m in MARKS] + [-3.0]
+#: For a corpus without usable labels: one plain seed insult is short of 0.5, an aimed one or two reach it.
+DEFAULT_WEIGHTS = (1.5, 1.0, -3.0)
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights of both features, none negative: a worse clause never makes a document better."""
+    order = np.lexsort((y, *x.T))  # rows come in any order; sums of floats shall not
+    x, y = x[order], y[order]
+    both = fit_weights(x, y)
+    if min(both[:-1]) >= 0:
+        return both
+    worst, every = fit_weights(x[:, :1], y), fit_weights(x[:, 1:], y)
+    return [0.0, *every] if both[0] < both[1] else [worst[0], 0.0, worst[1]]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -252,29 +328,32 @@ def distinct_texts(sample: DataFrame) -> DataFrame:
                 least[at] = ((h[:, None] * mixers) ^ (h[:, None] >> np.uint64(29))).min(0).view(np.int64)
             yield pdf[["text", "toxic"]].assign(**{f"m{i}": least[:, i] for i in range(MIN_HASHES)})
 
-    out = sample.mapInPandas(sketch, "text string, toxic int, " + ", ".join(f"m{i} long" for i in range(MIN_HASHES)))
-    for i in range(MIN_HASHES):
-        out = out.dropDuplicates([f"m{i}", "toxic"])
+    hashes = [f"m{i}" for i in range(MIN_HASHES)]
+    out = sample.mapInPandas(sketch, "text string, toxic int, " + ", ".join(f"{m} long" for m in hashes))
+    for m in hashes:  # the smallest row by a total order stays, however rows are dealt
+        rest = [x for x in hashes if x != m]
+        least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", *rest)).alias("r")
+        out = out.groupBy(m, "toxic").agg(least).select("r.text", "toxic", m, *[f"r.{x}" for x in rest])
     return out.select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Learn stems and weights. At most max_labelled rows of a few numbers come to the driver."""
+    """Learn stems and weights; equal for equal rows, however they are dealt. At most max_labelled rows of a few numbers come to the driver."""
     sample = cut(distinct_texts(training_rows(docs, labels, max_labelled)), "labelled")
     stems = learn_stems(sample, "text", "toxic")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(stems)
         for pdf in batches:
-            rows = [scorer.features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"x": [None if r is None else r.tolist() for r in rows], "toxic": pdf["toxic"].astype("int64")})
+            rows = np.array([scorer.features(t) or (0.0, 0.0) for t in pdf["text"]]).reshape(-1, 2)
+            yield pd.DataFrame({"worst": rows[:, 0], "every": rows[:, 1], "toxic": pdf["toxic"].astype("int64")})
 
-    rows = sample.mapInPandas(measure, "x array<double>, toxic long").collect()
+    rows = sample.mapInPandas(measure, "worst double, every double, toxic long").collect()
+    drop_cut(sample)
     y = np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):
-        return Model(stems, default_weights())
-    x = np.array([r["x"] or [0.0] * len(MARKS) for r in rows])
-    return Model(stems, fit_weights(x, y))
+        return Model(stems, list(DEFAULT_WEIGHTS))
+    return Model(stems, fitted(np.array([(r["worst"], r["every"]) for r in rows]), y))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -295,7 +374,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             for i in np.flatnonzero(_may_match(texts, pattern)):
                 x = scorer.features(texts[int(i)].as_py())
                 if x is not None:
-                    out_col[i] = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(x @ weights[:-1] + weights[-1])))))
+                    out_col[i] = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(np.dot(x, weights[:-1]) + weights[-1])))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out_col)], names=[*batch.schema.names, out])
 
     return docs.drop(out).mapInArrow(run, schema)
@@ -308,7 +387,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op1(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document."""
+    """doc_id, held_out, score, predicted for every document; a row with a null doc_id isn't held out."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

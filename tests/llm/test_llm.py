@@ -58,12 +58,65 @@ def test_components_match_union_find(spark):
 
 # --- op1 ---
 
-def test_grammar_marks_clauses():
-    s = toxicity.Scorer({"idiot": ("insult", 1.0), "kill": ("threat", 1.0)})
-    hit = lambda t: {toxicity.MARKS[i] for i in np.flatnonzero(s.features(t))}
-    assert hit("an idiot spoke") == {"insult"} and hit("you idiots!") == {"insult@"} and hit("he is not an idiot") == {"insult-@"}
-    assert hit('somebody said idiot') == {'insult"'} and hit("not now. idiot") == {"insult"} and hit("I kill time") == {"threat"}
+def brute_clause(s, words):
+    """Every rule of the grammar read off the words, without an automaton."""
+    kinds, i = [], 0
+    ends = {}
+    for p, k in toxicity.PHRASES.items():
+        p = p.split()
+        for at in range(len(words) - len(p) + 1):
+            if words[at : at + len(p)] == p:
+                ends[at + len(p) - 1] = k
+    base = []
+    for i, w in enumerate(words):
+        kind = next((k for k, ws in (("insult", toxicity.INSULTS), ("harm", toxicity.HARMS)) for x in ws if w.startswith(x)), None) or toxicity.kinds_of_words().get(w, "other")
+        kinds.append((ends[i], toxicity.PHRASE) if i in ends else (kind, toxicity.SEED if kind in ("insult", "harm") else 1.0))
+    base = [k for k, _ in kinds]
+    before = lambda i, k, n: k in base[max(0, i - n) : i]
+    total, quoted, said = 0.0, False, False
+    for i, (k, w) in enumerate(kinds):
+        if k == "quote":
+            quoted, said = not quoted, False
+        said = (said or k == "report") and not quoted
+        if k not in ("insult", "threat", "harm"):
+            continue
+        w *= toxicity.INTENSIFIED if k == "insult" and before(i, "intensifier", toxicity.INTENSIFIER_SPAN) else 1
+        w *= (toxicity.INTENDED if before(i, "intention", toxicity.INTENTION_SPAN) else toxicity.UNINTENDED) if k == "harm" else 1
+        w *= toxicity.NEGATED if before(i, "negation", toxicity.NEGATION_SPAN) else 1
+        w *= toxicity.REPORTED if quoted or said else 1
+        w *= toxicity.AIMED if "target" in base[max(0, i - toxicity.TARGET_SPAN) : i + toxicity.TARGET_SPAN + 1] else 1
+        total += w
+    return total
+
+
+def test_grammar_against_brute_force():
+    s = toxicity.Scorer({w: (k, toxicity.SEED) for k, ws in (("insult", toxicity.INSULTS), ("harm", toxicity.HARMS)) for w in ws})
+    rng = np.random.default_rng(6)
+    words = ["idiots", "stupid", "kill", "hurting", "you", "they", "not", "never", "said", '"', "will", "such", "word", "thing", "a", "piece", "of", "shit", "crap", "burn", "in", "hell", "go", "to", "drop", "dead"]
+    for _ in range(4000):
+        clause = [words[i] for i in rng.integers(0, len(words), rng.integers(1, 14))]
+        assert s.clause(clause) == pytest.approx(brute_clause(s, clause)), clause
     assert s.features("nothing here") is None and s.features("") is None
+    one = lambda t: s.clause(toxicity._WORD.findall(t.lower()))
+    assert one("you are a total idiot") > one("an idiot spoke") > one("somebody said idiot") > one("he is not an idiot he") > 0
+    assert one("I will kill you") > 4 * one("I kill time") > 0
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    """Near copies with different words: whichever copy stood for the others changed what was learned."""
+    rng = np.random.default_rng(9)
+    filler = [f"w{i:03d}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(240):
+        base = " ".join(filler[j] for j in np.random.default_rng(i // 4).integers(0, 300, 30))
+        toxic = (i // 4) % 3 == 0
+        rows.append((i, f"{base} {'zorgling you idiot. grumbit will smash you' if toxic else 'calm words'} {filler[rng.integers(300)]}"))
+        labels.append((i, 0, int(toxic)))
+    docs, said = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    score = lambda n: {r["doc_id"]: r["score"] for r in toxicity.op1(docs.repartition(n), said).collect()}
+    assert score(3) == score(11)
+    model = toxicity.fit(docs, said)
+    assert any("zorgling".startswith(x) and k == "insult" for x, (k, _) in model.stems.items()) and ("smash", "harm") in {(x, k) for x, (k, _) in model.stems.items()} | {("smash", k) for x, (k, _) in model.stems.items() if "smash".startswith(x)}
 
 
 @needs_tables
