@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillstone.llm.common import cut, drop_cut, free_name, ordering_hash
 
@@ -51,8 +52,8 @@ NEGATED, REPORTED, AIMED, INTENSIFIED, INTENDED, UNINTENDED, SEED, PHRASE = 0.2,
 STEM_LETTERS, MOST_LETTERS, LEAST_G, LEAST_ROWS, LEAST_PRECISION = 4, 8, 24.0, 4, 0.6
 #: Documented bound: labelled rows for fitting.
 MAX_LABELLED = 20_000
-#: Min-hashes by which copies of a labelled document are found.
-MIN_HASHES = 4
+#: Copies of a labelled document: words of a shingle, bands and min-hashes of a band (at a similarity of 0.8, one in 3,500 is missed).
+SHINGLE_WORDS, BANDS, BAND_HASHES = 5, 8, 2
 
 _CLAUSE = re.compile(r"[.!?;:\n\r]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[\"“”«»]")
@@ -165,7 +166,7 @@ class Scorer:
         self.stems, self.lengths = stems, sorted({len(s) for s in stems}, reverse=True)
         self.words = kinds_of_words()
         self.in_phrases = {w: self.lexical(w)[0] for p in PHRASES for w in p.split()}
-        self.found = re.compile("|".join(map(re.escape, sorted({*stems, *last_words()}, key=len, reverse=True))))
+        self.found = re.compile(worth(stems))
         (self.machine, self.aim), self.known = grammar(tuple(self.in_phrases.items())), {}
 
     def lexical(self, word: str) -> tuple[str, float]:
@@ -206,66 +207,66 @@ class Scorer:
         return (math.log1p(max(scores)), math.log1p(sum(scores))) if scores else None
 
 
-def last_words() -> list[str]:
-    return [p.rsplit(" ", 1)[1] for p in PHRASES]
-
-
-def _lower_stems(stems: dict[str, tuple[str, float]]) -> str:
-    return "(?i)" + "|".join(re.escape(s) for s in sorted({*stems, *last_words()}))
+def worth(stems: dict[str, tuple[str, float]]) -> str:
+    """A pattern of what a text with a hit holds: a stem or a phrase."""
+    return "|".join([*map(re.escape, sorted(stems)), *(r"[\W_]+".join(p.split()) for p in PHRASES)])
 
 
 def _may_match(texts: pa.Array, pattern: str) -> np.ndarray:
-    return np.asarray(pc.fill_null(pc.match_substring_regex(texts, pattern), False)) if pattern else np.zeros(len(texts), bool)
+    return np.asarray(pc.fill_null(pc.match_substring_regex(texts, f"(?i){pattern}"), False))
 
 
 def learn_stems(sample: DataFrame, text: str, label: str) -> dict[str, tuple[str, float]]:
     """Seed stems and those that labelled rows support.
 
     Counts, for each prefix of a word, the toxic and the other documents in which a word begins with it (summed in each
-    partition before the shuffle), and keeps prefixes whose G statistic, rows and precision pass, but for those of which a better
-    one is a prefix or begins with them. A stem's weight is its smoothed log odds; it is a verb of harm if in at least half of its
-    toxic documents an intention stands close before it, and an insult otherwise.
+    partition before the shuffle), over all rows and over those that no seed stem explains, as a word that only stands
+    beside seeds is no evidence. Prefixes whose G statistic, rows and precision pass on the latter are kept, but for those of which
+    a better one is a prefix or begins with them. A stem's weight is its smoothed log odds; it is a verb of harm if in at
+    least half of its toxic documents an intention stands close before it, and an insult otherwise.
     """
     stems = {w: (k, SEED) for k, ws in (("insult", INSULTS), ("harm", HARMS)) for w in ws}
-    totals = sample.agg(F.sum(label).alias("p"), F.count("*").alias("n")).first()
-    p, n = int(totals["p"] or 0), int(totals["n"])
+    plain = ~F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(stems) + ")")
+    sample = sample.withColumn("plain", plain.cast("int"))
+    totals = sample.agg(F.sum(label).alias("p"), F.count("*").alias("n"), F.sum(F.col(label) * F.col("plain")).alias("pp"), F.sum("plain").alias("pn")).first()
+    p, n, pp, pn = (int(x or 0) for x in totals)
     if not 0 < p < n:
         return stems
-    intentions = frozenset(INTENTIONS)
+    intentions, counted = frozenset(INTENTIONS), ("neg", "pos", "plain_neg", "plain_pos", "meant")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, list[int]] = {}
 
         def flush():
-            return pd.DataFrame({"stem": list(seen), "neg": [v[0] for v in seen.values()], "pos": [v[1] for v in seen.values()], "meant": [v[2] for v in seen.values()]})
+            return pd.DataFrame({"stem": list(seen)} | {c: [v[i] for v in seen.values()] for i, c in enumerate(counted)})
 
         for pdf in batches:
-            for t, y in zip(pdf[text], pdf[label], strict=True):
+            for t, y, alone in zip(pdf[text], pdf[label], pdf["plain"], strict=True):
                 words = _WORD.findall(t.lower()) if t else []
-                of: dict[str, bool] = {}
-                for i, w in enumerate(words):
-                    if len(w) >= STEM_LETTERS and not w[0].isdigit():
-                        meant = not intentions.isdisjoint(words[max(0, i - INTENTION_SPAN) : i])
-                        for k in range(STEM_LETTERS, min(len(w), MOST_LETTERS) + 1):
-                            of[w[:k]] = of.get(w[:k], False) or meant
-                for stem, meant in of.items():
-                    c = seen.setdefault(stem, [0, 0, 0])
+                meant = {x for i, w in enumerate(words) if w in intentions for x in words[i + 1 : i + 1 + INTENTION_SPAN]}
+                stems_of = lambda words: {w[:k] for w in words if len(w) >= STEM_LETTERS and not w[0].isdigit() for k in range(STEM_LETTERS, min(len(w), MOST_LETTERS) + 1)}
+                for stem in stems_of(set(words)):
+                    c = seen.setdefault(stem, [0] * len(counted))
                     c[int(y)] += 1
-                    c[2] += int(y) and int(meant)
+                    c[2 + int(y)] += int(alone)
+                for stem in stems_of(meant) if y else ():
+                    seen[stem][4] += 1
             if len(seen) > 500_000:
                 yield flush()
                 seen.clear()
         yield flush()
 
-    base, g = p / n, F.col("pos") + F.col("neg")
-    part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (g * F.lit(q)))).otherwise(0.0)
-    counts = sample.mapInPandas(count, "stem string, neg long, pos long, meant long").groupBy("stem").agg(*[F.sum(c).alias(c) for c in ("neg", "pos", "meant")])
-    kept = counts.where((F.col("pos") >= LEAST_ROWS) & (F.col("pos") / g >= max(LEAST_PRECISION, base))).withColumn("g", 2 * (part("pos", base) + part("neg", 1 - base))).where(F.col("g") >= LEAST_G)
+    base, g = F.lit(pp / max(1, pn)), F.col("plain_pos") + F.col("plain_neg")
+    part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (g * q))).otherwise(0.0)
+    counts = sample.mapInPandas(count, "stem string, " + ", ".join(f"{c} long" for c in counted)).groupBy("stem").agg(*[F.sum(c).alias(c) for c in counted])
+    counts = counts.withColumn("g", 2 * (part("plain_pos", base) + part("plain_neg", 1 - base)))
+    new = (F.col("plain_pos") >= LEAST_ROWS) & (F.col("plain_pos") / g >= F.greatest(F.lit(LEAST_PRECISION), base)) & (F.col("g") >= LEAST_G)
+    kept = counts.where(new | F.col("stem").isin(list(stems)))
     shorter = {s[:i] for s in stems for i in range(1, len(s))}
     for r in kept.orderBy(F.desc("g"), F.desc(F.length("stem")), "stem").collect():  # at most as many as the sample's words support
         s, weight = r["stem"], max(0.25, math.log((r["pos"] + 0.5) / (r["neg"] + 0.5) * (n - p) / p))
         if s in stems:
-            stems[s] = (stems[s][0], weight)
+            stems[s] = (stems[s][0], weight) if r["pos"] >= LEAST_ROWS else stems[s]
         elif s not in shorter and not any(s[:i] in stems for i in range(1, len(s))):
             stems[s] = ("harm" if 2 * r["meant"] >= r["pos"] else "insult", weight)
             shorter |= {s[:i] for i in range(1, len(s))}
@@ -315,26 +316,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 def distinct_texts(sample: DataFrame) -> DataFrame:
     """The sample without copies: else the words of one toxic text that has many near copies look like evidence.
 
-    Rows that agree in one of MIN_HASHES min-hashes of word pairs, and in their label, leave one.
+    Rows with equal labels that agree in a band of min-hashes of word shingles are neighbours; a row that has a neighbour with
+    a smaller hash of its text goes. So something of every group stays, the same however rows are dealt.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mixers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93][:MIN_HASHES], np.uint64)
+        mixers = np.random.default_rng(17).integers(0, 1 << 63, (2, BANDS * BAND_HASHES), np.uint64)
         for pdf in batches:
-            least = np.empty((len(pdf), MIN_HASHES), np.int64)
-            for at, text in enumerate(pdf["text"]):
-                w = text.encode("utf-8", "surrogatepass").lower().split() or [b""]
-                h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w[i : i + 2])) for i in range(max(1, len(w) - 1))), np.uint64)
-                least[at] = ((h[:, None] * mixers) ^ (h[:, None] >> np.uint64(29))).min(0).view(np.int64)
-            yield pdf[["text", "toxic"]].assign(**{f"m{i}": least[:, i] for i in range(MIN_HASHES)})
-
-    hashes = [f"m{i}" for i in range(MIN_HASHES)]
-    out = sample.mapInPandas(sketch, "text string, toxic int, " + ", ".join(f"{m} long" for m in hashes))
-    for m in hashes:  # the smallest row by a total order stays, however rows are dealt
-        rest = [x for x in hashes if x != m]
-        least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", *rest)).alias("r")
-        out = out.groupBy(m, "toxic").agg(least).select("r.text", "toxic", m, *[f"r.{x}" for x in rest])
-    return out.select("text", "toxic")
+            bands = []
+            for text in pdf["text"]:
+                w = text.encode("utf-8", "surrogatepass").lower().split()
+                h = np.fromiter({xxhash.xxh64_intdigest(b" ".join(w[i : i + SHINGLE_WORDS])) for i in range(max(1, len(w) - SHINGLE_WORDS + 1))}, np.uint64)
+                least = np.array([((h ^ x) * (y | np.uint64(1))).min() for x, y in mixers.T]).reshape(BANDS, BAND_HASHES)
+                bands.append([xxhash.xxh64_intdigest(b.tobytes()) >> 1 for b in least])
+            yield pdf[["text", "toxic"]].assign(h=[xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 for t in pdf["text"]], m=bands)
+
+    rows = cut(sample.mapInPandas(sketch, "text string, toxic int, h long, m array<long>"), "sketches")
+    near = rows.select("h", "toxic", F.posexplode("m").alias("i", "v"))
+    later = near.withColumn("least", F.min("h").over(Window.partitionBy("i", "v", "toxic"))).where("h > least").select("h", "toxic").distinct()
+    return rows.join(later, ["h", "toxic"], "left_anti").dropDuplicates(["h", "toxic"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
@@ -363,7 +363,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
     a column already named `out` is replaced.
     """
     schema = docs.drop(out).schema.add(out, "double", False)
-    weights, pattern = np.array(model.weights), _lower_stems(model.stems)
+    weights, pattern = np.array(model.weights), worth(model.stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.stems)

@@ -110,7 +110,7 @@ def test_toxicity_does_not_depend_on_partitions(spark):
     for i in range(240):
         base = " ".join(filler[j] for j in np.random.default_rng(i // 4).integers(0, 300, 30))
         toxic = (i // 4) % 3 == 0
-        rows.append((i, f"{base} {'zorgling you idiot. grumbit will smash you' if toxic else 'calm words'} {filler[rng.integers(300)]}"))
+        rows.append((i, f"{base} {'zorgling you. grumbit will smash you' if toxic else 'calm words'} {filler[rng.integers(300)]}"))
         labels.append((i, 0, int(toxic)))
     docs, said = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     score = lambda n: {r["doc_id"]: r["score"] for r in toxicity.op1(docs.repartition(n), said).collect()}
