@@ -19,16 +19,20 @@ TOPICS = {
     "regulation": ("regulation", "regulatory", "compliance"),
     "competition": ("competition", "competitive", "competitor"),
 }
-# Sections by their usual item headings and titles.
-SECTIONS = {
-    "Business": r"\bitem\s+1[.\s]+(?!a)|^business$",
-    "Risk Factors": r"\bitem\s+1a\b|\brisk factors?\b",
-    "Legal Proceedings": r"\bitem\s+3\b.*legal|\blegal proceedings\b",
-    "MD&A": r"\bitem\s+7[.\s]+(?!a)|management.s discussion and analysis|\bmd&a\b",
-    "Market Risk": r"\bitem\s+7a\b|quantitative and qualitative disclosures",
-    "Financial Statements": r"\bitem\s+8\b|\bfinancial statements\b",
-    "Controls": r"\bitem\s+9a\b|controls and procedures",
-}
+# What opens a section, and the headings that open one outside heading tags.
+SECTION_HEADINGS = (
+    (r"^(?:item\s+1a\b[.:\s-]*)?risk factors?\b", "Risk Factors"),
+    (r"^item\s+1\b(?!a)[.:\s-]*business\b", "Business"),
+    (r"^business\b", "Business"),
+    (r"^(?:item\s+3\b[.:\s-]*)?legal proceedings?\b", "Legal Proceedings"),
+    (r"^(?:item\s+(?:2|7)\b[.:\s-]*(?:\|\s*)?)?management(?:'|\u2019)s discussion and analysis\b", "MD&A"),
+    (r"^(?:item\s+8\b[.:\s-]*)?financial statements\b", "Financial Statements"),
+    (r"^(?:item\s+9a\b[.:\s-]*)?controls and procedures\b", "Controls and Procedures"),
+)
+NOTE_HEADING = r"^note\s+(\d+[a-z]?)\s*[\u2014\u2013-]\s*(.+)$"
+ITEM_HEADING = r"^item\s+\d+[a-z]?\b"
+PLAIN_HEADINGS = ("business", "risk factors", "legal proceedings", "management's discussion and analysis", "financial statements", "controls and procedures")
+HEADING_LENGTH = 220
 
 
 def collapse(s: Column) -> Column:
@@ -80,12 +84,11 @@ def topic_mentions(s: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> di
 
 def section_of(heading: Column) -> Column:
     """The section that a heading opens; notes to the statements are sections of their own; null if it is none."""
-    text = F.lower(collapse(heading))
-    out = F.when(F.length(text) > 160, F.lit(None).cast("string"))
-    note = F.regexp_extract(collapse(heading), r"(?i)^note\s+(\d+)\s*[-–—.:]\s*(.+)$", 1)
-    out = out.when(note != "", F.concat(F.lit("Note "), note, F.lit(" - "), F.regexp_extract(collapse(heading), r"(?i)^note\s+(\d+)\s*[-–—.:]\s*(.+)$", 2)))
-    for name, pattern in SECTIONS.items():
-        out = out.when(text.rlike(pattern), F.lit(name))
+    clean = collapse(heading)
+    note = lambda i: F.regexp_extract(clean, "(?i)" + NOTE_HEADING, i)
+    out = F.when(note(1) != "", F.concat(F.lit("Note "), note(1), F.lit(" \u2014 "), F.trim(note(2))))
+    for pattern, name in SECTION_HEADINGS:
+        out = out.when(clean.rlike("(?i)" + pattern), F.lit(name))
     return out
 
 

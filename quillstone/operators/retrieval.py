@@ -10,6 +10,8 @@ from quillstone.functions import text as X
 from quillstone.functions.vectors import bounded_cosine
 
 RRF_K, BM25_K1, BM25_B = 60, 1.5, 0.75
+#: Distinct query tokens that are literals of a plan.
+MOST_TERMS = 1_000
 SCORES = ("dense", "sparse", "hybrid", "rerank")
 
 
@@ -33,28 +35,48 @@ def query_tokens(queries: DataFrame, text: str = "query", stop: bool = False) ->
     return queries.select("query_id", F.explode(terms).alias("token"), F.size(terms).alias("n_tokens"))
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """(query_id, key, sparse): sum of log(1 + tf) over the query's tokens, divided by their number; only hits.
+def term_counts(chunks: DataFrame, keys: list[str], text: str, tokens: DataFrame) -> DataFrame:
+    """(keys, len, token, tf) of each row's tokens that are in `tokens`; len counts all of the row's tokens.
 
-    Tokens that no query has are dropped before counting: the queries' distinct tokens are the small side of a semi-join.
+    A row is counted by itself, so nothing is shuffled. Up to MOST_TERMS wanted tokens are literals; more are joined.
     """
+    wanted = tokens.select("token").distinct()
+    few = [r["token"] for r in wanted.limit(MOST_TERMS + 1).collect()]
+    rows = chunks.select(*keys, X.tokens(F.col(text)).alias("tokens_")).withColumn("len", F.size("tokens_"))
+    if len(few) <= MOST_TERMS:
+        rows = rows.withColumn("tokens_", F.filter("tokens_", lambda t: t.isin(few)))
+    rows = rows.select(*keys, "len", "tokens_", F.explode(F.array_distinct("tokens_")).alias("token"))
+    if len(few) > MOST_TERMS:
+        rows = rows.join(wanted, "token", "left_semi")
+    return rows.select(*keys, "len", "token", F.size(F.filter("tokens_", lambda t: t == F.col("token"))).cast("long").alias("tf"))
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """(query_id, key, sparse): sum of log(1 + tf) over the query's tokens, divided by their number; only hits."""
     wanted = query_tokens(queries)
-    found = chunks.select(key, F.explode(X.tokens(F.col(text))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    tf = found.groupBy(key, "token").agg(F.count("*").alias("tf"))
+    tf = term_counts(chunks, [key], text, wanted)
     return tf.join(wanted, "token").groupBy("query_id", key).agg((F.sum(F.log1p("tf")) / F.first("n_tokens")).alias("sparse"))
 
 
 def bm25_scores(queries: DataFrame, pool: DataFrame, key: str, text: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """(query_id, key, bm25) over a pool (query_id, key, text): corpus statistics are the pool's; repeated query words count again; all of the pool is scored."""
-    docs = pool.select("query_id", key, X.tokens(F.col(text)).alias("tokens")).withColumn("len", F.size("tokens"))
-    stats = docs.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    """(query_id, key, bm25) over a pool (query_id, key, text), or over one pool for all queries (key, text).
+
+    Corpus statistics are the pool's; repeated query words count again; all of the pool is scored. A text is read once for its
+    length and the queries' tokens; what is shuffled has a row for each of these tokens in each text.
+    """
+    own = ["query_id"] if "query_id" in pool.columns else []
     terms = queries.select("query_id", F.explode(X.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    tf = docs.select("query_id", key, "len", F.explode("tokens").alias("token")).groupBy("query_id", key, "len", "token").agg(F.count("*").alias("tf")).join(terms, ["query_id", "token"])
-    df = tf.groupBy("query_id", "token").agg(F.count("*").alias("df"))
+    stats = pool.select(*own, F.size(X.tokens(F.col(text))).alias("len")).groupBy(*own).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    tf = term_counts(pool, [*own, key], text, terms)
+    df = tf.groupBy(*own, "token").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = terms.join(df, [*own, "token"])
+    weights = weights.join(stats, "query_id") if own else weights.join(F.broadcast(stats))  # one row
+    weights = weights.select("query_id", "token", "times", idf.alias("idf"), "avg_len")
     norm = F.col("tf") + k1 * (1 - b + b * F.try_divide(F.col("len"), F.col("avg_len")))
-    scored = tf.join(df, ["query_id", "token"]).join(stats, "query_id").groupBy("query_id", key).agg(F.sum(F.col("times") * idf * F.col("tf") * (k1 + 1) / norm).alias("bm25"))
-    return docs.select("query_id", key).join(scored, ["query_id", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    scored = tf.join(weights, [*own, "token"]).groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("bm25"))
+    every = pool.select("query_id", key) if own else pool.select(key).join(queries.select("query_id"))
+    return every.join(scored, ["query_id", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
 def dense_scores(queries: DataFrame, chunks: DataFrame, key: str, vec: str, query_vec: str = "query_vec") -> DataFrame:

@@ -114,9 +114,9 @@ def universe_search(spark: SparkSession, d: str) -> DataFrame:
     return quality.search_universe(S.table(spark, d, "customer"), "mach", ["c_mktsegment"]).unionByName(quality.search_universe(S.table(spark, d, "customer").where(~F.lower("c_mktsegment").contains("mach")), "42", ["c_name"])).select("c_custkey", "c_name")
 
 
-@query("token_cost_sum", "SELECT coalesce(sum(n_chars), 0)::BIGINT AS tokens, floor(coalesce(sum(n_chars), 0) * 0.12::DOUBLE / 1e6 * 1e6 + 0.5) / 1e6 AS cost FROM documents WHERE lang = 'fr'")
+@query("token_cost_sum", "SELECT coalesce(sum(n_chars), 0)::BIGINT AS tokens, floor(coalesce(sum(n_chars), 0) * 0.12::DOUBLE / 1e6 * 1e6 + 0.5) / 1e6 AS cost FROM documents")
 def token_cost_sum(spark: SparkSession, d: str) -> DataFrame:
-    total = S.table(spark, d, "documents").where("lang = 'fr'").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("tokens"))
+    total = S.table(spark, d, "documents").agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("tokens"))
     return total.withColumn("cost", cut6(F.col("tokens") * 0.12 / 1e6))
 
 

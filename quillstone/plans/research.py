@@ -354,15 +354,15 @@ def bh_adjusted(spark: SparkSession, d: str) -> DataFrame:
     return stats.benjamini_hochberg(rows, "p", ["o_orderpriority"]).select("o_orderkey", *six("p_adjusted"))
 
 
-_SIGNALS = """sig AS (SELECT o_orderkey AS accession, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS period, CASE WHEN o_custkey % 6 = 0 THEN 'Unknown' ELSE 'sector' || (o_custkey % 6)::VARCHAR END AS sector, 'price' AS signal, o_totalprice AS value, 1.0::DOUBLE AS sign FROM orders WHERE o_orderpriority = '1-URGENT'
-UNION ALL SELECT o_orderkey, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR, CASE WHEN o_custkey % 6 = 0 THEN 'Unknown' ELSE 'sector' || (o_custkey % 6)::VARCHAR END, 'lines', n::DOUBLE, -1.0::DOUBLE FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT')"""
+_SIGNALS = """sig AS (SELECT o_orderkey AS accession, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR AS period, CASE WHEN o_custkey % 6 = 0 THEN 'Unknown' ELSE 'sector' || (o_custkey % 6)::VARCHAR END AS sector, 'price' AS signal, o_totalprice AS value, 1.0::DOUBLE AS sign FROM orders
+UNION ALL SELECT o_orderkey, year(o_orderdate)::VARCHAR || 'Q' || quarter(o_orderdate)::VARCHAR, CASE WHEN o_custkey % 6 = 0 THEN 'Unknown' ELSE 'sector' || (o_custkey % 6)::VARCHAR END, 'lines', n::DOUBLE, -1.0::DOUBLE FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 _ZP = f"{_SIGNALS}, zp AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, sign * (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM sig WINDOW w AS (PARTITION BY period, signal)) WHERE n >= 2 AND z IS NOT NULL)"
 _ZS = f"""{_SIGNALS}, cells AS (SELECT *, CASE WHEN sector <> 'Unknown' AND count(*) OVER (PARTITION BY period, signal, sector) >= 4 THEN sector ELSE '__pool__' END AS cell FROM sig),
 zs AS (SELECT * FROM (SELECT *, count(*) OVER w AS n, sign * (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM cells WINDOW w AS (PARTITION BY period, signal, cell)) WHERE n >= 2 AND z IS NOT NULL)"""
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    o = S.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    o = S.table(spark, d, "orders")
     n = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
     sector = F.when(F.col("o_custkey") % 6 == 0, "Unknown").otherwise(F.concat(F.lit("sector"), (F.col("o_custkey") % 6).cast("string")))
     keys = [F.col("o_orderkey").alias("accession"), period_label(F.col("o_orderdate")).alias("period"), sector.alias("sector")]

@@ -22,11 +22,11 @@ def query(name: str, sql: str | None = None):
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.lexical_scores(S.questions(spark), S.table(spark, d, "documents").where("lang = 'en'"), "doc_id", "text")
+    return retrieval.lexical_scores(S.questions(spark), S.table(spark, d, "documents"), "doc_id", "text")
 
 
 _LEX = f"""WITH {S.QUESTIONS_SQL}, {S.POSTINGS},
-lexical AS (SELECT w.query_id, t.doc_id, sum(ln(1 + t.tf)) / any_value(w.n) AS sparse FROM tfs t JOIN wanted w USING (token) JOIN documents d USING (doc_id) WHERE d.lang = 'en' GROUP BY w.query_id, t.doc_id)"""
+lexical AS (SELECT w.query_id, t.doc_id, sum(ln(1 + t.tf)) / any_value(w.n) AS sparse FROM tfs t JOIN wanted w USING (token) GROUP BY w.query_id, t.doc_id)"""
 
 
 @query("lexical_topk", f"""{_LEX}
@@ -46,7 +46,7 @@ def tsquery_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("bm25_topk", f"""WITH {S.QUESTIONS_SQL}, {S.POSTINGS},
-lens AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents WHERE lang = 'en'),
+lens AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM documents),
 st AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
 terms AS (SELECT query_id, token, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(query, '[a-z0-9]+')) AS token FROM questions) GROUP BY ALL),
 hit AS (SELECT q.query_id, q.token, q.times, t.doc_id, t.tf, l.len FROM tfs t JOIN terms q USING (token) JOIN lens l USING (doc_id)),
@@ -55,9 +55,7 @@ scored AS (SELECT h.query_id, h.doc_id, floor(sum(h.times * ln((n - df + 0.5) /
   FROM hit h JOIN df USING (query_id, token) CROSS JOIN st GROUP BY h.query_id, h.doc_id)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
-    ids = F.explode(F.array(*[F.lit(i) for i, _ in S.QUESTIONS])).alias("query_id")
-    scored = retrieval.bm25_scores(S.questions(spark), docs.select(ids, "doc_id", "text"), "doc_id", "text")
+    scored = retrieval.bm25_scores(S.questions(spark), S.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
     return retrieval.top_k(scored.select("query_id", "doc_id", cut6(F.col("bm25")).alias("score")), "score", "doc_id", 10)
 
 
@@ -186,12 +184,12 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return toks.groupBy("doc_id", index.alias("slot")).agg(F.sum(sign * F.col("tf")).cast("long").alias("value")).where("value <> 0")
 
 
-@query("citation_overlap", """WITH b AS (SELECT d.doc_id, d.lang, list_distinct(regexp_extract_all(lower(d.text[1:200]), '[a-z0-9]+')) AS l, regexp_extract_all(lower(p.text), '[a-z0-9]+') AS r FROM documents d JOIN documents p ON p.doc_id = d.doc_id + 1)
+@query("citation_overlap", """WITH b AS (SELECT d.doc_id, d.lang, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS l, regexp_extract_all(lower(p.text), '[a-z0-9]+') AS r FROM documents d JOIN documents p ON p.doc_id = d.doc_id + 1)
 SELECT doc_id, floor(CASE WHEN len(l) > 0 THEN len(list_intersect(l, r))::DOUBLE / len(l) ELSE 0 END * 1e6 + 0.5) / 1e6 AS overlap FROM b""")
 def citation_overlap(spark: SparkSession, d: str) -> DataFrame:
     docs = S.table(spark, d, "documents").select("doc_id", "text")
     nxt = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
-    return docs.join(nxt, "doc_id").select("doc_id", cut6(retrieval.citation_overlap(F.substring("text", 1, 200), F.col("evidence"))).alias("overlap"))
+    return docs.join(nxt, "doc_id").select("doc_id", cut6(retrieval.citation_overlap(F.col("text"), F.col("evidence"))).alias("overlap"))
 
 
 @query("grounding_confidence", f"{_POOL} SELECT query_id, round_even(0.6 * greatest(0, least(1, max(hybrid))) + 0.4 * floor(avg((rank <= 10)::INT::DOUBLE) * 100) / 100, 4) AS confidence FROM ranked GROUP BY query_id")
@@ -200,20 +198,48 @@ def grounding_confidence(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", retrieval.grounding_confidence(F.col("top"), F.col("overlap")).alias("confidence"))
 
 
-@query("evidence_gate", f"""{_POOL}, a(query_id, query) AS (VALUES (1, 'what is his home address'), (2, 'will the stock price rise'), (3, 'there is more than this'), (4, 'how much revenue exactly')),
-g AS (SELECT query_id, count(*) AS n, max(hybrid) AS top FROM ranked WHERE rank <= 8 GROUP BY query_id)
-SELECT query_id, CASE WHEN query_id = 1 THEN 'private_information' WHEN query_id = 2 THEN 'forecast' WHEN query_id = 4 THEN 'no_structured_fact' WHEN coalesce(n, 0) < 2 THEN 'insufficient_evidence' WHEN top < 0.2 THEN 'low_relevance' END AS reason FROM a LEFT JOIN g USING (query_id)""")
-def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.createDataFrame([(1, "what is his home address"), (2, "will the stock price rise"), (3, "there is more than this"), (4, "how much revenue exactly")], "query_id int, query string")
-    found = _fused(spark, d).where("rank <= 8").select("query_id", F.col("hybrid").alias("score"), F.lit(False).alias("is_fact"))
-    return answers.evidence_gate(asked, found)
+# Probes that hit and miss each alternative of the answer layer's patterns; a document's number picks the one that its first words are set into.
+PROBES = (
+    "the table of", "tabular data", "two rows", "a column", "segment revenue", "a chart", "figures and graphs", "the graph", "revenue", "net income", "total assets", "liabilities", "growth", "gross margin", "cash flow", "compare both",
+    "earnings call", "eps", "financial result", "quarterly results", "latest filing", "most recent", "at last", "10-k", "annual report", "10-q", "quarterly report", "last quarter", "latest quarter", "8-k filing", "current report", "risk factor",
+    "md&a", "management's discussion", "our business", "financial statement", "legal proceedings", "control", "controls and procedures", "private", "non-public", "inside information", "insider", "confidential", "home address",
+    "predict the stock", "forecast a market return", "price target of the stock", "will its share price rise", "stock price in the next year", "next week the stock price", "the future share price", "buy the stock", "sell shares", "short the shares", "forecast revenue", "revenue growth", "revenue versus assets", "eps yoy", "comparison of margin", "guidance", "holdings", "nothing",
+)
+_PROBED = "probed AS (SELECT doc_id, doc_id % 3 + 1 AS pool, concat(list_extract([" + ", ".join("'" + p.replace("'", "''") + "'" for p in PROBES) + f"], (doc_id % {len(PROBES)} + 1)::INT), ' ', text[1:40]) AS q FROM documents)"
+
+
+def _probed(spark: SparkSession, d: str) -> DataFrame:
+    pick = F.element_at(F.array(*[F.lit(p) for p in PROBES]), (F.col("doc_id") % len(PROBES) + 1).cast("int"))
+    return S.table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3 + 1).alias("pool"), F.concat_ws(" ", pick, F.substring("text", 1, 40)).alias("q"))
 
 
-@query("route_flags", r"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)\b(tables?|rows?|columns?|segment revenue)\b') THEN 'table' END, CASE WHEN regexp_matches(text, '(?i)\b(figures?|charts?|graphs?)\b') THEN 'figure' END,
- CASE WHEN regexp_matches(text, '(?i)\b(revenue|net income|operating income|eps|earnings per share|cash|debt|capex|capital expenditures?)\b') THEN 'facts' END, CASE WHEN regexp_matches(text, '(?i)\b(earnings|results|quarter(ly)?|guidance)\b') THEN 'results' END,
- CASE WHEN regexp_matches(text, '(?i)\b(latest|most recent|last)\b') THEN 'latest' END], lambda x: x IS NOT NULL), ',') AS routes FROM documents""")
+_HAS = lambda p: f"regexp_matches(q, '{p}', 'i')"
+_FACTS_SQL, _RESULTS_SQL = _HAS(r"\b(revenue|net income|assets|liabilities|growth|margin|cash flow|compare)\b"), _HAS(r"\b(earnings|eps|financial results?|quarterly results?)\b")
+
+
+@query("evidence_gate", f"""{_POOL}, {_PROBED}, g AS (SELECT query_id, count(*) AS n, max(hybrid) AS top FROM ranked WHERE rank <= 8 GROUP BY query_id)
+SELECT doc_id AS query_id, CASE WHEN {_HAS(r"\b(private|non-public|inside information|insider|confidential)\b")} THEN 'private_information'
+ WHEN {_HAS(r"\b(predict|forecast|guarantee|price target)\b[^\n]{{0,40}}\b(stock|share price|investment return|market return)\b")} OR {_HAS(r"\bwill\b[^\n]{{0,40}}\b(stock|share)\s+price\b")} OR {_HAS(r"\b(stock|share)\s+price\b[^\n]{{0,30}}\bnext\s+(quarter|year|month|week|day|few)\b")}
+  OR {_HAS(r"\bnext\s+(quarter|year|month|week|day|few)\b[^\n]{{0,30}}\b(stock|share)\s+price\b")} OR {_HAS(r"\bfuture\b[^\n]{{0,25}}\b(stock|share)\s+price\b")} OR {_HAS(r"\b(buy|sell|short)\s+(the\s+)?(stock|shares)\b")} THEN 'forecast'
+ WHEN ({_FACTS_SQL} OR {_RESULTS_SQL}) AND {_HAS(r"\b(compare|comparison|growth|versus|vs\.?|year-over-year|yoy)\b")} THEN 'no_structured_fact'
+ WHEN coalesce(n, 0) < 2 THEN 'insufficient_evidence' WHEN top < 0.2 THEN 'low_relevance' END AS reason FROM probed LEFT JOIN g ON g.query_id = pool""".replace("{{", "{").replace("}}", "}"))
+def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
+    """A question from each document, with the evidence of one of the three questions for it."""
+    asked = _probed(spark, d)
+    found = _fused(spark, d).where("rank <= 8").select(F.col("query_id").alias("pool"), F.col("hybrid").alias("score"), F.lit(False).alias("is_fact"))
+    evidence = asked.select(F.col("doc_id").alias("query_id"), "pool").join(F.broadcast(found), "pool")  # 24 rows
+    return answers.evidence_gate(asked.select(F.col("doc_id").alias("query_id"), F.col("q").alias("query")), evidence)
+
+
+@query("route_flags", f"""WITH {_PROBED} SELECT doc_id, array_to_string(list_filter(['text', CASE WHEN {_HAS(r"\b(table|tabular|rows?|columns?|segment revenue)\b")} THEN 'tables' END, CASE WHEN {_FACTS_SQL} THEN 'financial_facts' END,
+ CASE WHEN {_RESULTS_SQL} AND NOT {_HAS(r"\b(table|tabular|rows?|columns?|segment revenue)\b")} THEN 'tables' END, CASE WHEN {_RESULTS_SQL} AND NOT {_FACTS_SQL} THEN 'financial_facts' END], lambda x: x IS NOT NULL), ',') AS routes,
+ array_to_string(list_filter([CASE WHEN {_HAS(r"\b(chart|figure|graph)\b")} THEN 'figure' END, CASE WHEN {_HAS(r"\b(table|tabular|rows?|columns?|segment revenue)\b")} THEN 'table' END], lambda x: x IS NOT NULL), ',') AS elements,
+ array_to_string(list_filter([CASE WHEN {_HAS(r"\b(10-k|annual report)\b")} THEN '10-K' END, CASE WHEN {_HAS(r"\b(10-q|quarterly report|last quarter|latest quarter)\b")} THEN '10-Q' END, CASE WHEN {_HAS(r"\b8-k\b")} THEN '8-K' END], lambda x: x IS NOT NULL), ',') AS forms,
+ array_to_string(list_filter([CASE WHEN {_HAS(r"\brisk factors?\b")} THEN 'Risk Factors' END, CASE WHEN {_HAS(r"\b(md&a|management(''s|’s) discussion)\b")} THEN 'MD&A' END, CASE WHEN {_HAS(r"\bbusiness\b")} THEN 'Business' END, CASE WHEN {_HAS(r"\bfinancial statements?\b")} THEN 'Financial Statements' END,
+  CASE WHEN {_HAS(r"\blegal proceedings?\b")} THEN 'Legal Proceedings' END, CASE WHEN {_HAS(r"\bcontrols?( and procedures)?\b")} THEN 'Controls and Procedures' END], lambda x: x IS NOT NULL), ',') AS sections FROM probed""")
 def route_flags(spark: SparkSession, d: str) -> DataFrame:
-    return S.table(spark, d, "documents").select("doc_id", F.array_join(answers.routes(F.col("text")), ",").alias("routes"))
+    q, said = F.col("q"), lambda c: F.array_join(c, ",")
+    return _probed(spark, d).select("doc_id", said(answers.routes(q)).alias("routes"), said(answers.element_types(q)).alias("elements"), said(answers.forms(q)).alias("forms"), said(answers.sections(q)).alias("sections"))
 
 
 _PRECISION = """rel AS (SELECT doc_id, toxic FROM labels WHERE quality = 1),

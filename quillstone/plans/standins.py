@@ -102,14 +102,14 @@ indexed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders as filing events of their segment; the feature is the order's price."""
-    o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600)
     return o.select(F.col("c_mktsegment").alias("ticker"), F.col("o_orderkey").alias("accession"), at.alias("available_at"), at.alias("max_source_available_at"), F.col("o_totalprice").alias("feature_value"))
 
 
 EVENTS = """
 events_ AS (SELECT c_mktsegment AS ticker, o_orderkey AS accession, o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS available_at, o_totalprice AS feature_value
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
+  FROM orders JOIN customer ON o_custkey = c_custkey),
 local AS (SELECT *, (available_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS at_ny FROM events_),
 targeted AS (SELECT *, CAST(at_ny AS DATE) + CASE WHEN CAST(at_ny AS TIME) >= TIME '16:00:00' THEN 1 ELSE 0 END AS target FROM local),
 placed AS MATERIALIZED (SELECT e.ticker, e.accession, e.available_at, e.feature_value, b.session, b.date AS session_date FROM targeted e ASOF JOIN (SELECT * FROM indexed WHERE ticker <> 'SPY') b ON e.ticker = b.ticker AND e.target <= b.date)"""

@@ -9,28 +9,29 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillstone.functions import text as X
+
 ELEMENT = "element_type string, text string, markdown string, section string, reading_order int, row_count int, column_count int, headers array<string>"
+# Tags whose text is an element.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p div li table".split())
 DROPPED = frozenset("script style noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HEADERS = (
-    (re.compile(r"^item\s+1a\b|^risk factors?$", re.I), "Risk Factors"),
-    (re.compile(r"^item\s+1\b|^business$", re.I), "Business"),
-    (re.compile(r"^item\s+3\b.*legal|^legal proceedings$", re.I), "Legal Proceedings"),
-    (re.compile(r"^item\s+7a\b", re.I), "Market Risk"),
-    (re.compile(r"^item\s+7\b|^management.s discussion", re.I), "MD&A"),
-    (re.compile(r"^item\s+8\b|^(consolidated )?financial statements$", re.I), "Financial Statements"),
-    (re.compile(r"^item\s+9a\b|^controls and procedures$", re.I), "Controls"),
-)
-_NOTE = re.compile(r"^note\s+(\d+)\s*[-–—.:]\s*(.+)$", re.I)
+_HEADINGS = tuple((re.compile(p, re.I), name) for p, name in X.SECTION_HEADINGS)
+_NOTE, _ITEM = re.compile(X.NOTE_HEADING, re.I), re.compile(X.ITEM_HEADING, re.I)
 
 
 def section_name(text: str) -> str | None:
-    if len(text) > 160:
-        return None
+    """The section that a heading with collapsed white space opens."""
     if m := _NOTE.match(text):
-        return f"Note {m[1]} - {m[2].strip()}"
-    return next((name for p, name in _HEADERS if p.search(text)), None)
+        return f"Note {m[1]} \u2014 {m[2].strip()}"
+    return next((name for p, name in _HEADINGS if p.search(text)), None)
+
+
+def opens_section(tag: str, text: str) -> str | None:
+    """The section that a block opens: of a heading tag by its text alone, of other tags if it is short and reads as a heading."""
+    heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+    reads = len(text) <= X.HEADING_LENGTH and bool(_ITEM.match(text) or _NOTE.match(text) or text.casefold() in X.PLAIN_HEADINGS)
+    return section_name(text) if heading or reads else None
 
 
 class _Blocks(HTMLParser):
@@ -81,7 +82,7 @@ class _Blocks(HTMLParser):
                 self.cell = []
                 if not self.rows:
                     self.rows.append([])
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag == "title":
             self._flush()
             self.tag = tag
 
@@ -103,7 +104,7 @@ class _Blocks(HTMLParser):
                 self.tables -= 1
                 if not self.tables:
                     self.out.append(("table", [r for r in self.rows if any(r)]))
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag == "title":
             self._flush()
 
     def handle_data(self, data):
@@ -140,13 +141,17 @@ def elements(html: str) -> list[tuple]:
             if not rows:
                 continue
             flat = " ".join(c for r in rows for c in r if c)
-            if len(rows) == 1 and (name := section_name(flat)):  # a table that only lays out a heading
+            if name := opens_section("table", flat):  # a table that only lays out a heading
                 section, row = name, ("section_header", flat, None, name, None, None, None)
             else:
                 row = ("table", flat, markdown(rows), section, len(rows), max(map(len, rows)), rows[0])
-        elif name := section_name(content):
+        elif not any(c.isalnum() for c in content):
+            continue
+        elif tag == "title":
+            row = ("title", content, None, None, None, None, None)
+        elif name := opens_section(tag, content):
             section, row = name, ("section_header", content, None, name, None, None, None)
-        elif tag == "h1":
+        elif tag == "h1" and not out:
             row = ("title", content, None, section, None, None, None)
         elif tag[0] == "h":
             row = ("section_header", content, None, section, None, None, None)

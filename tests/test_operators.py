@@ -169,7 +169,7 @@ def test_text_functions(spark):
         numbers.parse_vector(F.lit("HalfVector([1,2.5])")).alias("l"), numbers.token_estimate(F.lit("")).alias("m"), vectors.cosine(F.array(F.lit(1.0)), F.array(F.lit(0.0))).alias("n"), text.archive_url("https://x/", F.lit("320193"), F.lit("0000320193-25-1"), F.lit("d.htm")).alias("o"),
     ).first()
     assert row["a"] == "ai | revenue | demand" and row["b"] == "companies | discuss | data | center | power | constraints"
-    assert row["c"].endswith("a share.") and row["d"] == "10-K" and row["e"] == "0000320193" and row["f"] == "Risk Factors" and row["g"] == "Note 4 - Leases" and row["h"] == "a b"
+    assert row["c"].endswith("a share.") and row["d"] == "10-K" and row["e"] == "0000320193" and row["f"] == "Risk Factors" and row["g"] == "Note 4 \u2014 Leases" and row["h"] == "a b"
     assert row["i"] == 2 and row["j"] == "2024Q1" and row["k"] == '{"a":2,"b":1}' and row["l"] == [1.0, 2.5] and row["m"] == 1 and row["n"] == 0.0 and row["o"] == "https://x/320193/0000320193251/d.htm"
     h = vectors.hash_slot(F.lit("revenue"), 64)
     assert tuple(spark.range(1).select(h[0].alias("i"), h[1].alias("s")).first())[0] == 2
@@ -210,11 +210,26 @@ def test_answers(spark):
     ev = spark.createDataFrame([(1, 7, "Revenue rose ten percent in 2025")], "query_id int, chunk_id int, text string")
     assert {r["chunk_id"]: r["error"] for r in answers.verify_citations(claims, ev).collect()} == {7: None, 999: "unknown_chunk"}
     rows = spark.createDataFrame([(1, "compare a and b", 1, 5, "Short", "text"), (1, "compare a and b", 2, 6, "One two three four five. Six.", "text"), (1, "compare a and b", 3, 7, "a b c d e f g", "table")], "query_id int, query string, rank int, chunk_id int, text string, element_type string")
-    assert [(r["chunk_id"], r["claim"]) for r in answers.extractive_claims(rows).orderBy("claim_no").collect()] == [(6, "One two three four five."), (7, "a b c d e f g")]
-    y = spark.range(1).select(*[c.alias(n) for n, c in zip("ab", answers.year_bounds(F.lit("from 2023 to 2025")), strict=True)]).first()
+    assert [(r["chunk_id"], r["claim"]) for r in answers.extractive_claims(rows).orderBy("claim_no").collect()] == [(6, "One two three four five.")]
+    earned = spark.createDataFrame([(2, "eps growth", i, i, t, "text") for i, t in enumerate(["plain words that say nothing much", "net income was up to $4 million", "diluted eps of 3 in the year"])], rows.schema)
+    assert [r["chunk_id"] for r in answers.extractive_claims(earned).orderBy("claim_no").collect()] == [1, 2]
+    y = spark.range(1).select(*[c.alias(n) for n, c in zip("ab", answers.year_bounds(F.lit("from FY2023 to 2025, not 120251")), strict=True)]).first()
     assert (y["a"], y["b"]) == (date(2023, 1, 1), date(2025, 12, 31))
     v = spark.createDataFrame([(1, " a  b ", ["N"], [], ["T"])], "query_id int, query string, names array<string>, sections array<string>, tickers array<string>")
-    assert [r["query"] for r in answers.variants(v).orderBy("variant_no").collect()] == ["a b", "a b N", "a b financial results revenue risk"]
+    assert [r["query"] for r in answers.variants(v).orderBy("variant_no").collect()] == ["a b", "a b N", "a b " + answers.FINANCE_SUFFIX]
+
+
+def test_company_names_and_routes(spark):
+    companies = spark.createDataFrame([("NES", "Nestlé S.A."), ("GEN", "General Widgets Co. Ltd"), ("BLK", "Block, Inc."), ("HLD", "Acorn Holdings plc"), ("XYZ", "Company Inc")], "ticker string, name string")
+    aliases = {(r["alias"], r["ticker"]) for r in answers.company_aliases(companies).collect()}
+    assert {a for a, t in aliases if t == "NES"} == {"nestle s a", "nestle"} and {a for a, t in aliases if t == "GEN"} == {"general widgets co ltd", "general widgets"}
+    assert {a for a, t in aliases if t == "BLK"} == {"block inc", "block"} and {a for a, t in aliases if t == "HLD"} == {"acorn holdings plc", "acorn holdings", "acorn"} and {a for a, t in aliases if t == "XYZ"} == {"company inc"}
+    asked = spark.createDataFrame([(1, "NESTLE\u0301 sales"), (2, "Acorn"), (3, "a blocked road")], "query_id int, query string")
+    found = answers.resolve_companies(asked, answers.company_aliases(companies), companies)
+    assert {r["query_id"]: r["tickers"] for r in found.collect()} == {1: ["NES"], 2: ["HLD"], 3: []}
+    want = {"earnings of the chart": ["text", "tables", "financial_facts"], "segment revenue": ["text", "tables", "financial_facts"], "growth and eps": ["text", "financial_facts", "tables"], "guidance": ["text"]}
+    got = spark.createDataFrame([(q,) for q in want], "q string").select("q", answers.routes(F.col("q")).alias("r"), answers.element_types(F.col("q")).alias("e"))
+    assert {r["q"]: r["r"] for r in got.collect()} == want and {r["q"]: r["e"] for r in got.collect()}["earnings of the chart"] == ["figure"]
 
 
 def test_quality(spark):
