@@ -1,10 +1,11 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs under cosine similarity.
 
-Vectors are put on the unit sphere, where cosine c is Euclidean distance sqrt(2 - 2 c). The top level of the tree is a
-bounded number of pivots, to whose cells all vectors are dealt; below, each block of a cell has nested nets with
-halving radii. Pairs of cells, blocks and nodes are dropped when their centres are further apart than their covering radii and
-the threshold, and accepted whole when they are so near that every pair inside is linked; what remains is
-compared in double precision.
+Vectors are put on the unit sphere, where cosine c is Euclidean distance sqrt(2 - 2 c). The tree has two parts. Above, the
+vectors of a dimension are dealt to pivots, and cells that are still too large to pivots of their own, so that its depth grows
+with the table; each node has a covering radius. Rows travel down this tree and are copied only to the cells in which a
+link is possible. Below, the rows of a block have nested nets with halving radii. Pairs of nodes are dropped when their centres are
+further apart than their covering radii and the threshold, and accepted whole when they are so near that every pair inside
+is linked; what remains is compared in double precision.
 """
 
 from __future__ import annotations
@@ -18,20 +19,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, drop_cut
 from quillstone.llm.components import connected_components, star_forest
 
-#: Least cosine of a link; radii of the nested nets; rows of a block; most pivots; vectors from which they are chosen.
-COSINE, RADII, BLOCK, MAX_PIVOTS, PIVOT_SAMPLE = 0.95, (0.8, 0.4, 0.2, 0.1, 0.05), 4096, 256, 4096
-#: Slack of the bounds for single precision.
-SLACK = 2e-3
+#: Least cosine of a link; radii of the nested nets of a block; bytes of a block's vectors in single precision.
+COSINE, RADII, BLOCK_BYTES = 0.95, (0.8, 0.4, 0.2, 0.1, 0.05), 4 << 20
+#: Most pivots of a node; vectors sampled for each pivot; levels above the blocks (cells that are too large after the last are dealt by hash).
+FANOUT, SAMPLED, MAX_LEVELS = 64, 32, 4
 CHUNK = 1 << 18
+NET_BATCH = 256
 
 
 def reach(cosine: float) -> float:
     return math.sqrt(2 - 2 * cosine)
 
 
+def slack(d: int) -> float:
+    """What bounds allow for single precision: a dot product of unit vectors errs by up to about d / 2^24, a distance by the root of four times that."""
+    return math.sqrt(4 * (d + 8) / (1 << 24))
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Between all rows of a and of b, on the unit sphere."""
     return np.sqrt(np.maximum(0, 2 - 2 * (a @ b.T)))
@@ -54,29 +61,86 @@ def choose_pivots(x: np.ndarray, count: int) -> np.ndarray:
     return x[at]
 
 
-def net(x: np.ndarray, radius: float) -> np.ndarray:
-    """For each row the row of its net node: nodes are more than `radius` apart, and each row is within it of its node."""
-    near = distances(x, x) <= radius
-    own = np.arange(len(x))
-    crowded = np.flatnonzero(near.sum(1) > 1)
-    free = np.zeros(len(x), bool)
-    free[crowded] = True
-    for i in crowded:
-        if free[i]:
-            mine = near[i] & free
-            own[mine] = i
-            free &= ~mine
+class Upper:
+    """The tree above the blocks of one dimension: split[node] = (pivots, first child); children are numbered in a row."""
+
+    def __init__(self, root: int):
+        self.root, self.split, self.radius = root, {}, {}
+
+    def descend(self, x: np.ndarray) -> tuple[list[list[int]], list[list[float]]]:
+        """For each row the nodes on its way down, the nearest pivot's each time, and its distances from them."""
+        node = np.full(len(x), self.root)
+        paths, away = [[self.root] for _ in x], [[2.0] for _ in x]
+        todo = np.arange(len(x))
+        while len(todo := todo[np.isin(node[todo], list(self.split))]):
+            for n in np.unique(node[todo]).tolist():
+                rows = todo[node[todo] == n]
+                pivots, first = self.split[n]
+                d = distances(x[rows], pivots)
+                best = d.argmin(1)
+                for r, k, a in zip(rows.tolist(), best.tolist(), d[np.arange(len(rows)), best].tolist(), strict=True):
+                    paths[r].append(first + k)
+                    away[r].append(a)
+                node[rows] = first + best
+        return paths, away
+
+    def reachable(self, x: np.ndarray, far: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf): the leaves whose rows can be within `far` of each row.
+
+        A child is out of reach if its covering radius ends before, or if the plane between its pivot and the nearest pivot is
+        too far: its rows are on the other side of that plane.
+        """
+        extra, out_r, out_n = slack(x.shape[1]), [], []
+        todo = [(self.root, np.arange(len(x)))]
+        while todo:
+            n, rows = todo.pop()
+            if n not in self.split:
+                out_r.append(rows)
+                out_n.append(np.full(len(rows), n))
+                continue
+            pivots, first = self.split[n]
+            d = distances(x[rows], pivots)
+            best = d.argmin(1)
+            radii = np.array([self.radius.get(first + k, -9.0) for k in range(len(pivots))])
+            apart = distances(pivots, pivots)[best]
+            near = (d <= radii + far + extra) & (d**2 - d.min(1)[:, None] ** 2 <= 2 * (apart + extra) * (far + extra) + 2 * extra**2)
+            todo += [(first + k, rows[near[:, k]]) for k in range(len(pivots)) if near[:, k].any()]
+        return np.concatenate(out_r), np.concatenate(out_n)
+
+
+def cover(x: np.ndarray, radius: float) -> np.ndarray:
+    """For each row the row of its node: nodes are more than `radius` apart, and each row is within it of its node. The first row is a node."""
+    own = np.full(len(x), -1)
+    least = np.float32(1 - radius**2 / 2)
+    free = np.arange(len(x))
+    while len(free):
+        some = free[:NET_BATCH]
+        near = x[some] @ x[free].T >= least
+        for k, i in enumerate(some.tolist()):
+            if own[i] < 0:
+                mine = free[near[k]]
+                own[mine[own[mine] < 0]] = i
+                own[i] = i
+        free = free[own[free] < 0]
     return own
 
 
 def build_paths(x: np.ndarray, radii: tuple[float, ...] = RADII) -> np.ndarray:
-    """(rows, levels): the node of each row at each level, coarsest first. Nets are nested: a level's nodes are chosen among the finer level's."""
-    paths = np.empty((len(x), len(radii)), np.int32)
-    own = np.arange(len(x))
-    for level in range(len(radii) - 1, -1, -1):
-        nodes = np.unique(own)
-        own = nodes[net(x[nodes], radii[level])][np.searchsorted(nodes, own)]
-        paths[:, level] = own
+    """(rows, levels): the node of each row at each level, coarsest first. A node is a node of every finer level, too."""
+    paths = np.tile(np.arange(len(x), dtype=np.int32)[:, None], (1, len(radii)))
+    cells = [np.arange(len(x))]
+    for level, radius in enumerate(radii):
+        finer = []
+        for cell in cells:
+            own = cover(x[cell], radius)
+            paths[cell, level] = cell[own]
+            order = np.argsort(own, kind="stable")
+            cuts = np.flatnonzero(np.diff(own[order])) + 1
+            for group in np.split(order, cuts):
+                if len(group) > 1:
+                    head = own[group[0]]
+                    finer.append(cell[np.concatenate([[head], group[group != head]])])
+        cells = finer
     return paths
 
 
@@ -132,11 +196,18 @@ def traverse(xa: np.ndarray, ua: np.ndarray, pa: np.ndarray, xb: np.ndarray, ub:
     na, nb = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)
     ca, ra, cb, rb = *ta.levels[0][2:], *tb.levels[0][2:]
     todo: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(ca), 1024):
-        d = distances(ca[at : at + 1024], cb)
-        i, j = np.nonzero(d <= ra[at : at + 1024, None] + rb[None] + far + SLACK)
-        if len(i):
-            todo.append((0, i + at, j))
+    extra = slack(ua.shape[1])
+    single = rb == 0
+    for part in (np.flatnonzero(single), np.flatnonzero(~single)):  # most nodes of scattered vectors have no radius, and a narrow bound
+        widest = rb[part].max(initial=0)
+        for at in range(0, len(ca) if len(part) else 0, 512):
+            bound = np.minimum(2, ra[at : at + 512] + widest + far + extra)
+            i, j = np.nonzero(ca[at : at + 512] @ cb[part].T >= (1 - bound**2 / 2 - extra**2)[:, None].astype(np.float32))
+            i, j = i + at, part[j]
+            d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", ca[i], cb[j])))
+            keep = d <= ra[i] + rb[j] + far + extra
+            if keep.any():
+                todo.append((0, i[keep], j[keep]))
     last = len(ta.levels) - 1
     while todo:
         level, i, j = todo.pop()
@@ -149,17 +220,17 @@ def traverse(xa: np.ndarray, ua: np.ndarray, pa: np.ndarray, xb: np.ndarray, ub:
                 yield i[hit], i[hit] + 1, j[hit], j[hit] + 1
             continue
         d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", ca[i], cb[j])))
-        whole = d + ra[i] + rb[j] <= far - SLACK
+        whole = d + ra[i] + rb[j] <= far - extra
         if whole.any():
             yield fa[i[whole]], ea[i[whole]], fb[j[whole]], eb[j[whole]]
-        keep = ~whole & (d <= ra[i] + rb[j] + far + SLACK)
+        keep = ~whole & (d <= ra[i] + rb[j] + far + extra)
         i, j = i[keep], j[keep]
         (a0, a1), (b0, b1) = ta.children(level), tb.children(level)
         for k, m in _expand(a0[i], a1[i], b0[j], b1[j]):
             ca2, ra2 = ta.levels[level + 1][2:]
             cb2, rb2 = tb.levels[level + 1][2:]
             d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", ca2[k], cb2[m])))
-            near = d <= ra2[k] + rb2[m] + far + SLACK
+            near = d <= ra2[k] + rb2[m] + far + extra
             if near.any():
                 todo.append((level + 1, k[near], m[near]))
 
@@ -209,84 +280,102 @@ def _link_group(cosine: float):
     return run
 
 
-def _pivots(classes: DataFrame, sizes: dict[int, int], block: int) -> dict[int, np.ndarray]:
-    """The pivots of each dimension in `sizes` (dimension: its classes). They decide how much is pruned, never what is linked.
+def block_rows(d: int, block: int | None = None) -> int:
+    return block or max(256, BLOCK_BYTES // (4 * d))
 
-    A dimension that fits a block needs one, which may be any unit vector. The others' are chosen from a sample by hash,
-    which they share by their numbers of classes, but with as many vectors as they have pivots at least.
-    """
-    wanted = {d: min(MAX_PIVOTS, math.ceil(n / block)) for d, n in sorted(sizes.items())}
-    pivots = {d: np.eye(1, d, dtype=np.float32) for d in wanted}
-    large = {d: sizes[d] for d, count in wanted.items() if count > 1}
-    if large:
-        total = sum(large.values())
-        quota = [(d, max(PIVOT_SAMPLE * n // total, wanted[d]) / n) for d, n in large.items()]
-        hashed = F.xxhash64(F.lit(7), F.col("vec"))
-        drawn = classes.withColumn("d", F.size("vec")).join(F.broadcast(classes.sparkSession.createDataFrame(quota, "d int, part double")), "d")
-        sample = drawn.where(F.pmod(hashed, F.lit(1 << 20)) < F.ceil(F.col("part") * (1 << 20))).select("d", "vec").orderBy("d", hashed, "vec").collect()
-        found: dict[int, list[list[float]]] = {}
-        for r in sample:
-            found.setdefault(r["d"], []).append(r["vec"])
-        pivots |= {d: choose_pivots(unit(pd.Series(v))[1], wanted[d]) for d, v in found.items()}
-    return pivots
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embedding", key: str = "vec_id", block: int = BLOCK) -> DataFrame:
+
+def _split(tree: Upper, sizes: dict[int, int], sample: dict[int, list[list[float]]], rows: int, free: int) -> int:
+    """Give the nodes with a sample pivots of their own, one for each block's rows; the next free number."""
+    for n, vectors in sorted(sample.items()):
+        pivots = choose_pivots(unit(pd.Series(vectors))[1], min(FANOUT, math.ceil(sizes[n] / rows)))
+        if len(pivots) > 1:
+            tree.split[n] = (pivots, free)
+            free += len(pivots)
+    return free
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, vec: str = "embedding", key: str = "vec_id", block: int | None = None) -> DataFrame:
     """key, n_links, component_id, kept for every row of vectors.
 
     Equal vectors are one class before pairs are sought, whatever their number. Vectors that are null, empty, zero or hold a
     null or non-finite component link with nothing and are their own component. Vectors of different dimensions don't link;
     those of each dimension are compared with each other. Every row is a vector of its own, so repeated rows link with each other. A row with a null key is compared but
-    doesn't name a component that has others. No rows give no rows.
+    doesn't name a component that has others. No rows give no rows. The tree above the blocks, its sample (SAMPLED vectors for each
+    cell, from which pivots are chosen; they decide how much is pruned, never what is linked) and its statistics are the driver's: a
+    few vectors and numbers for every block of rows. `block` sets the rows of a block, for tests.
     """
+    spark = vectors.sparkSession
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     good = F.coalesce(F.col(vec).isNotNull() & ~bad & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("key"), F.when(good, F.col(vec)).alias("vec")).withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
     classes = cut(rows.where("vec is not null").groupBy("vec").agg(F.min("key").alias("first"), F.count("*").alias("copies"), F.min("node").alias("node")), "classes")
     sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).where("n > 1").collect()}
-    pivots = _pivots(classes, sizes, block)
-    bounds = np.concatenate([[0], np.cumsum([len(p) for p in pivots.values()])]).astype(np.int64)
-    cells_of = dict(zip(pivots, zip(bounds, bounds[1:], strict=False), strict=True))  # the cells of each dimension are consecutive
-    far = reach(cosine)
+    trees = {d: Upper(i) for i, d in enumerate(sorted(sizes))}
+    # a class that is alone in its dimension has nothing to be compared with
+    of_d = classes.join(F.broadcast(spark.createDataFrame([(d,) for d in sizes], "d_ int")), F.size("vec") == F.col("d_"), "left_semi").select("vec", "node", "copies")
+    free, far = len(trees), reach(cosine)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for d, part in pdf.groupby(pdf["vec"].map(len)):
-                away = distances(unit(part["vec"])[1], pivots[d])
-                yield part.assign(cell=(cells_of[d][0] + away.argmin(1)).astype(np.int32), away=away.min(1).astype(float))
-
-    # a class that is alone in its dimension has nothing to be compared with
-    of_d = classes.join(F.broadcast(classes.sparkSession.createDataFrame([(d,) for d in sizes], "d_ int")), F.size("vec") == F.col("d_"), "left_semi")
-    celled_schema = T.StructType([*of_d.select("vec", "node", "copies").schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType())])
-    celled = cut(of_d.select("vec", "node", "copies").mapInPandas(deal, celled_schema), "cells")
-    stats = {r["cell"]: (r["n"], r["r"]) for r in celled.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
-    salts = np.array([math.ceil(stats[c][0] / block) if c in stats else 0 for c in range(bounds[-1])], np.int64)
+                paths, away = trees[d].descend(unit(part["vec"])[1])
+                yield part.assign(path=paths, away=away)
+
+    dealt_schema = T.StructType([*of_d.schema.fields, T.StructField("path", T.ArrayType(T.LongType())), T.StructField("away", T.ArrayType(T.DoubleType()))])
+    dealt = cut(of_d.mapInPandas(deal, dealt_schema), "cells") if sizes else of_d.withColumns({"path": F.array().cast("array<bigint>"), "away": F.array().cast("array<double>")})
+    for level in range(MAX_LEVELS + 1):
+        at = dealt.select(F.size("vec").alias("d"), F.explode(F.arrays_zip("path", "away")).alias("p"))
+        stats = at.groupBy("d", F.col("p.path").alias("cell")).agg(F.count("*").alias("n"), F.max("p.away").alias("r")).collect()  # a row for each node
+        for r in stats:
+            trees[r["d"]].radius[r["cell"]] = r["r"]
+        count = {r["cell"]: r["n"] for r in stats}
+        large = [(r["cell"], min(1.0, SAMPLED * min(FANOUT, math.ceil(r["n"] / block_rows(r["d"], block))) / r["n"])) for r in stats if r["cell"] not in trees[r["d"]].split and r["n"] > 1.5 * block_rows(r["d"], block)]
+        if not large or level == MAX_LEVELS:
+            break
+        hashed = F.xxhash64(F.lit(7 + level), F.col("vec"))
+        drawn = dealt.withColumn("cell", F.element_at("path", -1)).join(F.broadcast(spark.createDataFrame(large, "cell long, part double")), "cell")
+        drawn = drawn.where(F.pmod(hashed, F.lit(1 << 20)) < F.ceil(F.col("part") * (1 << 20))).select("cell", "vec").orderBy("cell", hashed, "vec").collect()
+        sample: dict[int, dict[int, list]] = {}
+        for r in drawn:
+            sample.setdefault(len(r["vec"]), {}).setdefault(r["cell"], []).append(r["vec"])
+        before = free
+        for d, of_cell in sorted(sample.items()):
+            free = _split(trees[d], count, of_cell, block_rows(d, block), free)
+        if free == before:
+            break
+        drop_cut(dealt)
+        dealt = cut(of_d.mapInPandas(deal, dealt_schema), "cells")
+    # leaves that are still too large have several blocks, to which their rows are dealt by hash
+    leaves = {r["cell"]: math.ceil(r["n"] / (1.5 * block_rows(r["d"], block))) for r in stats if r["cell"] not in trees[r["d"]].split}
+    salts, base = np.zeros(free, np.int64), np.zeros(free, np.int64)
+    for cell, n in leaves.items():
+        salts[cell] = n
     base = np.cumsum(salts) - salts
-    radius = np.array([stats[c][1] if c in stats else -np.inf for c in range(bounds[-1])])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The block of each row, and the pairs of blocks in which it can have links."""
         for pdf in batches:
             for d, part in pdf.groupby(pdf["vec"].map(len)):
-                c0, c1 = cells_of[d]
-                away, cell = distances(unit(part["vec"])[1], pivots[d]), part["cell"].to_numpy()
-                salt = (part["node"].to_numpy().view(np.uint64) // np.uint64(7) % np.maximum(salts[cell], 1).astype(np.uint64)).astype(np.int64)
-                near = (away <= radius[None, c0:c1] + far + SLACK) & (away - part["away"].to_numpy()[:, None] <= 2 * far + SLACK)
-                codes, own = [], base[cell] + salt
-                for row, o in zip(near, own, strict=True):
-                    partners = np.concatenate([base[c] + np.arange(salts[c]) for c in c0 + np.flatnonzero(row)])
-                    codes.append((np.minimum(partners, o) << 32) | np.maximum(partners, o))
+                cell = np.array([p[-1] for p in part["path"]])
+                salt = (part["node"].to_numpy().view(np.uint64) // np.uint64(7) % salts[cell].astype(np.uint64)).astype(np.int64)
+                own = base[cell] + salt
+                row, leaf = trees[d].reachable(unit(part["vec"])[1], far)
+                n = salts[leaf]
+                row, partner = np.repeat(row, n), np.repeat(base[leaf], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                code = np.minimum(partner, own[row]) << 32 | np.maximum(partner, own[row])
+                order = np.argsort(row, kind="stable")
+                codes = np.split(code[order], np.cumsum(np.bincount(row, minlength=len(part)))[:-1])
                 yield pd.DataFrame({"vec": part["vec"], "node": part["node"], "copies": part["copies"], "block": own, "codes": codes})
 
-    kind = celled.schema["vec"].dataType
+    kind = of_d.schema["vec"].dataType
     routed_schema = T.StructType([T.StructField("vec", kind), T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("block", T.LongType()), T.StructField("codes", T.ArrayType(T.LongType()))])
-    routed = celled.mapInPandas(route, routed_schema)
+    routed = dealt.mapInPandas(route, routed_schema)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(path=list(build_paths(unit(pdf["vec"])[1])))
 
-    trees = routed.groupBy("block").applyInPandas(grow, T.StructType([*routed_schema.fields, T.StructField("path", T.ArrayType(T.IntegerType()))]))
-    met = trees.select("vec", "node", "copies", "block", "path", F.explode("codes").alias("code"))
+    grown = routed.groupBy("block").applyInPandas(grow, T.StructType([*routed_schema.fields, T.StructField("path", T.ArrayType(T.IntegerType()))]))
+    met = grown.select("vec", "node", "copies", "block", "path", F.explode("codes").alias("code"))
     found = cut(met.groupBy("code").applyInPandas(_link_group(cosine), "node long, links long, other long"), "found")
     counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     member = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -160,7 +160,7 @@ def brute_links(x):
     return hit
 
 
-@pytest.mark.parametrize("block", [4096, 24])
+@pytest.mark.parametrize("block", [None, 60, 3])
 def test_cover_tree_is_exact(spark, block):
     df, x = vectors_of(spark)
     hit = brute_links(x)
@@ -172,7 +172,7 @@ def test_cover_tree_is_exact(spark, block):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(len(x), len(x) + 5))
 
 
-@pytest.mark.parametrize("block", [4096, 24])
+@pytest.mark.parametrize("block", [None, 24])
 def test_cover_tree_links_within_each_dimension(spark, block):
     """Dimensions 16 and 9 near equal, few vectors of 3, one of 5 twice; against brute force."""
     rng = np.random.default_rng(8)
@@ -201,6 +201,21 @@ def test_cover_tree_edges(spark):
     assert (np.sort(paths, axis=0) == np.arange(4)[:, None]).all()
 
 
+def test_nets_are_nested_covers():
+    x = np.random.default_rng(4).standard_normal((700, 3))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    paths = cover_tree.build_paths(x)
+    above = np.zeros(len(x), int)
+    for level, radius in enumerate(cover_tree.RADII):
+        nodes, own = np.unique(paths[:, level]), paths[:, level]
+        assert (np.linalg.norm(x - x[own], axis=1) <= radius + 1e-3).all() and (own[nodes] == nodes).all()
+        assert (above[own] == above).all()  # a node's rows share their coarser node, and the node is one of them
+        apart = cover_tree.distances(x[nodes], x[nodes])
+        same = above[nodes][:, None] == above[nodes]
+        assert apart[same & ~np.eye(len(nodes), dtype=bool)].min(initial=2) > radius - 1e-3
+        above = own
+
+
 def test_ann_recall_and_scores(spark):
     df, x = vectors_of(spark, 400)
     got = ann.op5(df).toPandas()
