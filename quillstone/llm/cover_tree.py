@@ -161,7 +161,7 @@ class Tree:
             of = np.repeat(np.arange(len(first)), end - first)
             away = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x[self.order], centre[of])))
             radius = np.zeros(len(first), np.float32)
-            np.maximum.at(radius, of, away)
+            np.maximum.at(radius, of, np.where((end - first)[of] > 1, away, 0))
             self.levels.append((first, end, centre, radius))
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +202,8 @@ def traverse(xa: np.ndarray, ua: np.ndarray, pa: np.ndarray, xb: np.ndarray, ub:
         widest = rb[part].max(initial=0)
         for at in range(0, len(ca) if len(part) else 0, 512):
             bound = np.minimum(2, ra[at : at + 512] + widest + far + extra)
-            i, j = np.nonzero(ca[at : at + 512] @ cb[part].T >= (1 - bound**2 / 2 - extra**2)[:, None].astype(np.float32))
+            near = ca[at : at + 512] @ cb[part].T >= (1 - bound**2 / 2 - extra**2)[:, None].astype(np.float32)
+            i, j = np.divmod(np.flatnonzero(near), len(part))  # far faster than a search in two dimensions
             i, j = i + at, part[j]
             d = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", ca[i], cb[j])))
             keep = d <= ra[i] + rb[j] + far + extra
