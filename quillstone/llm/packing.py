@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.llm.common import cut, file_ranks
 from quillstone.llm.tokens import Encoder, chunks
@@ -180,7 +181,7 @@ def pack_pieces(pieces: DataFrame, documents: int, window: int = WINDOW, units:
     positions of their own. Columns named sequence_id or offset are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    schema = pieces.schema.add("sequence_id", "long", False).add("offset", "long", False)
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType(), False), T.StructField("offset", T.LongType(), False)])
     size = min(MOST_RANGE, max(LEAST_RANGE, documents // RANGES))
 
     def pack(rests: pa.Table) -> pa.Table:

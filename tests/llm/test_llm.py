@@ -234,6 +234,44 @@ def test_ann_recall_and_scores(spark):
     assert ann.op5(few.limit(0)).count() == 0
 
 
+def test_ann_dimensions_and_repeats(spark):
+    """Three dimensions at once, rows that repeat, ids that repeat with other vectors; against brute force over rows."""
+    rng = np.random.default_rng(12)
+    dims = [16, 9, 70] * 80
+    rows = [(i % 230, [float(v) for v in rng.standard_normal(d).astype(np.float32)]) for i, d in enumerate(dims)]
+    rows += rows[:40] + [(None, rows[0][1]), (20, None), (40, [0.0] * 16), (3, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    ok = [(i, np.array(v)) for i, v in rows if i is not None and v and any(v)]
+    want, found = 0, 0
+    got = ann.op5(df).toPandas()
+    assert got.groupby("query_row")["rank"].apply(lambda r: sorted(r) == list(range(1, len(r) + 1))).all()
+    mine = sorted(tuple(g.sort_values("rank").vec_id.tolist()) for _, g in got.groupby("query_row"))
+    best = []
+    for n, (i, v) in enumerate(ok):
+        if i % 20 == 0:
+            near = sorted((-float(np.einsum("ij,j->i", w[None], v)[0]), j) for m, (j, w) in enumerate(ok) if m != n and len(w) == len(v))[:20]
+            best.append(tuple(j for _, j in near))
+    assert len(mine) == len(best)
+    for b in best:
+        want, found = want + len(set(b)), found + max(len(set(b) & set(m)) for m in mine)
+    assert found / want >= 0.95
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [3.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<float>")
+    rankings = ann.op5(twice).toPandas().sort_values("rank").groupby("query_row").vec_id.apply(list).tolist()
+    assert rankings == [[1, 20, 2], [1, 20, 2]]
+
+
+def test_packed_products_equal_dense_ones():
+    rng = np.random.default_rng(3)
+    for d in (5, 64, 100):
+        y, q = rng.standard_normal((50, d)), rng.standard_normal((7, d))
+        code = np.zeros((50, -(-d // 64) * 8), np.uint8)
+        code[:, : -(-d // 8)] = np.packbits(y > 0, axis=1)
+        bits, low, step = ann.planes(q)
+        near = low[:, None] + step[:, None] * np.rint((q - low[:, None]) / step[:, None])  # the query as its planes have it
+        got = ann.signed_products(code.view(np.uint64), (bits, low, step), near.sum(1))
+        assert np.allclose(got, near @ np.sign(y).T)
+
+
 # --- op3 ---
 
 def test_mixing_totals_and_edges(spark):
