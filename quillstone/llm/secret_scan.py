@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -35,10 +36,14 @@ IDENTIFIERS = (
 )
 #: Letters of a candidate; characters before it in which a sensitive word must stand; characters of code around it that prime the compressor.
 LEAST_CANDIDATE, REACH, AROUND = 16, 48, 256
-#: Marginal compressed bytes a byte from which a candidate is novel.
-NOVELTY = 0.8
+#: Marginal compressed bytes a byte from which a candidate is novel; of long ones, whose letters the compressor codes by
+#: frequency, this many times what a random string over their own alphabet needs, if that is less.
+NOVELTY, LONG, OVER_RANDOM = 0.8, 32, 1.12
+# Sizes of alphabets that keys are written in, with their patterns.
+ALPHABETS = ((10, "[0-9]+"), (16, "[0-9a-f]+|[0-9A-F]+"), (32, "[a-z2-7]+|[A-Z2-7]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (62, "[A-Za-z0-9]+"))
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
+_ALPHABETS = tuple((math.log2(n) / 8, re.compile(p)) for n, p in ALPHABETS)
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 #: RE2 pattern of texts that can hold any span; the others are not looked at again.
 _WORTH = "(?i:" + "|".join(re.escape(w) for w in SENSITIVE) + r"|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
@@ -68,6 +73,20 @@ def without_copies(text: str, a: int, b: int) -> tuple[str, str]:
     return blanked(low, a, max(0, low - n + 1), a), blanked(b, high, b, min(len(text), high + n - 1))
 
 
+def least_novelty(candidate: str) -> float:
+    """The marginal bytes a byte that a candidate has to reach."""
+    if len(candidate) < LONG:
+        return NOVELTY
+    return min(NOVELTY, OVER_RANDOM * next((bits for bits, p in _ALPHABETS if p.fullmatch(candidate)), 1.0))
+
+
+def looks_made(candidate: str) -> bool:
+    """Letters and digits, or letters of which at least a quarter each are capitals and small, which words and identifiers don't have."""
+    letters = sum(map(str.isalpha, candidate))
+    capitals = sum(map(str.isupper, candidate))
+    return any(map(str.isdigit, candidate)) and letters > 0 or 4 * min(capitals, letters - capitals) >= len(candidate)
+
+
 class Scanner:
     """Finds the spans of one text after another; one per task."""
 
@@ -86,26 +105,29 @@ class Scanner:
         return sorted(out)
 
     def novel(self, text: str, base: list[Span]) -> list[Span]:
-        """Candidates that no base span touches, in sensitive context, with letters and digits, that don't compress.
+        """Candidates that no base span touches, in sensitive context, that look made and don't compress.
 
+        A sensitive word stands shortly before, or another secret directly, with one character in between that joins the parts of a token.
         Each occurrence is measured against surroundings without its copies: a secret that is repeated is found at each place.
         """
         if not _SENSITIVE.search(text):
             return []
         starts = np.array([s[0] for s in base])
         ends = np.maximum.accumulate([s[2] for s in base]) if base else np.array([])
-        out = []
+        out, joined = [], -1
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
             i = int(np.searchsorted(starts, b, "left")) if base else 0
             if i and ends[i - 1] > a:
                 continue
             s = m.group()
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)) or not _SENSITIVE.search(text, max(0, a - REACH), a):
+            near = joined == a - 1 and text[joined] in ".:~" or _SENSITIVE.search(text, max(0, a - REACH), a)
+            if not near or not looks_made(s):
                 continue
             before, after = without_copies(text, a, b)
-            if self.novelty(before, s, after) >= NOVELTY:
+            if self.novelty(before, s, after) >= least_novelty(s):
                 out.append((a, 3, b, a))
+                joined = b
         return out
 
     def spans(self, text: str) -> list[Span]:

@@ -376,6 +376,23 @@ def test_novelty_separates_random_from_known():
     assert s.novelty("key: ", "zQ8vN2kLx9PfW4mTb7Yc1RdHs6Ug3", "") > secret_scan.NOVELTY > s.novelty("key: ", "AbstractBeanFactoryConfigurationException", "")
 
 
+def test_recall_of_novel_secrets_by_alphabet_and_length():
+    import string
+
+    scanner, rng = secret_scan.Scanner(), np.random.default_rng(21)
+    kinds = {"base64": string.ascii_letters + string.digits + "+/", "base62": string.ascii_letters + string.digits, "letters": string.ascii_letters, "base36": string.ascii_lowercase + string.digits, "BASE36": string.ascii_uppercase + string.digits, "HEX": "0123456789ABCDEF"}
+    for kind, letters in kinds.items():
+        for n in (16, 20, 32, 40, 64, 100, 128):
+            made = ["".join(rng.choice(list(letters), n)) for _ in range(60)]
+            found = sum(bool(scanner.spans(f"the request had Authorization: Bearer {s}\nand more text")) for s in made)
+            assert found >= 54, (kind, n, found)
+    words = [w for w in secret_scan.IDENTIFIERS.replace("_", " ").split() if w.isalpha() and w.islower()]
+    plain = ["".join(w.capitalize() for w in rng.choice(words, 4)) for _ in range(100)] + ["_".join(rng.choice(words, 4)) for _ in range(100)] + ["".join(rng.choice(list("etaoinshr"), 24)) for _ in range(100)]
+    assert not any(scanner.spans(f"the authorization of {s} is fine") for s in plain)
+    token = "session_id eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + "".join(rng.choice(list(kinds["base62"]), 60)) + "." + "".join(rng.choice(list(kinds["base62"]), 43))
+    assert len(scanner.spans(token)) == 3
+
+
 def test_repeated_secrets_are_found_at_each_place(spark):
     a, b = "zQ8vN2kLx9PfW4mTb7Yc1RdHs6UgJ3eK", "Hq3Zt8Vb1Nc6Mx4Lp9Rw2Ys7Kd5Jf0Ga"
     line = f"Authorization header: Bearer {a}\n"
