@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import html as entities
 import json
@@ -21,14 +20,15 @@ NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 RESPONSE = "record_id string, target_uri string, date string, http_headers string, payload string"
 DERIVED = "record_id string, record_type string, refers_to string, target_uri string, date string, refers_to_date string, content_type string, source_headers string, source_digest string, block string, block_digest string, content_length long"
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|title|head|body|html)|br|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
+# No pattern reads past the next "<" to find the end of a tag, so that unclosed tags cost no more than their length.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|title|head|body|html)|br|hr)\b[^<>]*>", re.I)
+_TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
+_NAME = re.compile(r"<(a|area|link|img|script|iframe|source|meta)\b", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![-\w:.])([A-Za-z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LINK = re.compile(r"""<(a|area|link|img|script|iframe|source)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_META = re.compile(r"""<meta\b[^>]*?\b(?:name|property)\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title", re.I)
 _HEADER = re.compile(r"^([^:\r\n]+):[ \t]*([^\r\n]*)", re.M)
 
 
@@ -44,14 +44,25 @@ def plain_text(html: str) -> str:
 
 def page_metadata(record_id: str | None, target: str | None, headers: str, html: str, payload_digest: str) -> str:
     """A JSON envelope: the response's identity and headers, and title, metas and links of the page."""
-    title = _TITLE.search(html)
-    seen = _DROP.sub(" ", html)
-    links = [{"path": m[1].lower(), "url": entities.unescape(next(x for x in m.groups()[1:] if x is not None))} for m in _LINK.finditer(seen)]
-    metas = [{"name": m[1], "content": entities.unescape(m[2] if m[2] is not None else m[3])} for m in _META.finditer(seen)]
+    opened = _TITLE.search(html)
+    closed = opened and _TITLE_END.search(html, opened.end())
+    title = entities.unescape(html[opened.end() : closed.start()]).strip() if closed else None
+    links, metas = [], []
+    for tag in _TAG.finditer(_DROP.sub(" ", html)):
+        if not (name := _NAME.match(tag.group())):
+            continue
+        found: dict[str, str] = {}
+        for m in _ATTRIBUTE.finditer(tag.group()):
+            found.setdefault(m[1].lower(), entities.unescape(next(x for x in m.groups()[1:] if x is not None)))
+        if name[1].lower() == "meta":
+            key = found.get("name", found.get("property"))
+            metas += [{"name": key, "content": found["content"]}] if key and "content" in found else []
+        elif (url := found.get("href", found.get("src"))) is not None:
+            links.append({"path": name[1].lower(), "url": url})
     envelope = {
         "Envelope": {
             "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": record_id, "WARC-Target-URI": target, "WARC-Payload-Digest": payload_digest},
-            "Payload-Metadata": {"HTTP-Response-Metadata": {"Status": headers.split("\n", 1)[0].strip(), "Headers": dict(_HEADER.findall(headers)), "HTML-Metadata": {"Title": entities.unescape(title[1]).strip() if title else None, "Metas": metas, "Links": links}}},
+            "Payload-Metadata": {"HTTP-Response-Metadata": {"Status": headers.split("\n", 1)[0].strip(), "Headers": dict(_HEADER.findall(headers)), "HTML-Metadata": {"Title": title, "Metas": metas, "Links": links}}},
         }
     }
     return json.dumps(envelope, ensure_ascii=False, sort_keys=True)
@@ -100,62 +111,76 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def record_text(prefix: str = "") -> Column:
-    """A derived record as WARC/1.0 text."""
+    """A derived record as WARC/1.0 text, without the two line ends that close it."""
     line = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"), F.lit("\r\n"))).otherwise("")
     c = lambda n: F.col(prefix + n)
     return F.concat(
         F.lit("WARC/1.0\r\n"), line("WARC-Type", c("record_type")), line("WARC-Record-ID", c("record_id")), line("WARC-Refers-To", c("refers_to")), line("WARC-Refers-To-Date", c("refers_to_date")),
         line("WARC-Target-URI", c("target_uri")), line("WARC-Date", c("date")), line("Content-Type", c("content_type")), line("WARC-Block-Digest", c("block_digest")), line("WARC-Source-Digest", c("source_digest")),
-        line("Content-Length", c("content_length")), F.lit("\r\n"), c("block"), F.lit("\r\n\r\n"),
+        line("Content-Length", c("content_length")), F.lit("\r\n"), c("block"),
     )
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write derived records as WARC files, one a partition, by Spark's own writer."""
-    records.select(record_text().alias("value")).write.option("lineSep", "\u0000").option("compression", compression).text(path)
+def write_warc(records: DataFrame, path: str, compression: str = "none") -> None:
+    """Write derived records as WARC files, one a partition, by Spark's own writer.
+
+    With gzip a file is one member, which Spark reads back; tools that seek records by member should be given plain files.
+    """
+    records.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def parse_records(content: bytes) -> Iterator[dict]:
-    """The records of a WARC file: headers by lower-case name, and the block. NULs between records are skipped; bytes that aren't a record end the file."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    at = 0
-    while True:
-        while content[at : at + 1] in (b"\r", b"\n", b"\x00"):
-            at += 1
-        end = content.find(b"\r\n\r\n", at)
-        if not content.startswith(b"WARC/", at) or end < 0:
-            return
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in content[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        size = int(headers.get("content-length", 0))
-        yield {"headers": headers, "block": content[end + 4 : end + 4 + size]}
-        at = end + 4 + size
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
+    """(headers by lower-case name, what follows them, length of the block by its header) of a record without its "WARC/1."; None without headers.
+
+    A length that isn't a number is that of what follows.
+    """
+    end = raw.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw[:end].decode("utf-8", "replace").split("\r\n")[1:])}
+    rest, said = raw[end + 4 :], headers.get("content-length", "")
+    return headers, rest, int(said) if said.isascii() and said.isdigit() else len(rest)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(record_type, record_id, refers_to, target_uri, date, http_headers, payload, headers) of the records in WARC files, gzipped or not.
 
-    For responses, http_headers and payload are the block's two parts; for others payload is the whole block. A file is one
-    task's work, as WARC files are about a gigabyte by convention.
+    For responses, http_headers and payload are the block's two parts; for others payload is the whole block. Spark's text
+    reader cuts files at "WARC/1.", so a task holds some records at a time, plain files of any size are split, and gzipped ones are
+    streamed, whatever their number of members. A block that holds these characters itself is put together again by its length.
+    What isn't a record is skipped.
     """
+    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "headers"]
     schema = "record_type string, record_id string, refers_to string, target_uri string, date string, http_headers string, payload string, headers map<string,string>"
 
+    def row(headers: dict[str, str], block: bytes) -> tuple:
+        text, head = block.decode("utf-8", "replace"), ""
+        if headers.get("warc-type") == "response":
+            head, _, text = text.partition("\r\n\r\n")
+        return (*[headers.get(h) for h in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")], head, text, headers)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, held = None, None  # the split of a file, and a record whose block isn't complete
         for pdf in batches:
-            for content in pdf["content"]:
-                rows = []
-                for r in parse_records(bytes(content)):
-                    h, block = r["headers"], r["block"].decode("utf-8", "replace")
-                    head, payload = "", block
-                    if h.get("warc-type") == "response":
-                        head, _, payload = block.partition("\r\n\r\n")
-                    rows.append((h.get("warc-type"), h.get("warc-record-id"), h.get("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), head, payload, h))
-                    if len(rows) == 500:
-                        yield pd.DataFrame(rows, columns=["record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "headers"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "headers"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+            out = []
+            for raw, *where in zip(pdf["value"], pdf["file"], pdf["begin"], strict=True):
+                if held and where == place:
+                    held[1].append(b"WARC/1." + raw)
+                    held[2] -= len(raw) + 7
+                else:
+                    out += [row(held[0], b"".join(held[1]))] if held else []
+                    got = parse_record(raw)
+                    held = [got[0], [got[1]], got[2] - len(got[1]), got[2]] if got else None
+                place = where
+                if held and held[2] <= 0:
+                    out.append(row(held[0], b"".join(held[1])[: held[3]]))
+                    held = None
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame([row(held[0], b"".join(held[1]))], columns=names)
+
+    raw = spark.read.option("lineSep", "WARC/1.").text(path)
+    return raw.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin")).mapInPandas(run, schema)
 
 
 def op10(pages: DataFrame) -> DataFrame:

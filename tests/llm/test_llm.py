@@ -573,6 +573,40 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.op10(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_files_hold_any_block(spark, tmp_path, compression):
+    """Blocks with record marks, line ends at their ends, NULs and no text; a file of many members; lengths that are no numbers."""
+    import gzip
+
+    blocks = ["", "WARC/1.0\r\nWARC-Type: fake\r\n\r\nx", "a\r\n\r\n", "\u0000é\u0000" * 50, "WARC/1.", "日本\n" * 3000, "x"]
+    made = warc.derive(warc.responses(spark.createDataFrame([(i, f"http://h/{i}", "x") for i in range(len(blocks))], "page_id long, url string, html string"))).where("record_type = 'conversion'")
+    pairs = spark.createDataFrame(list(enumerate(blocks)), "page_id long, b string")
+    made = made.join(pairs, "page_id").withColumn("block", F.col("b")).withColumn("content_length", F.octet_length("b").cast("long")).repartition(2)
+    warc.write_warc(made, str(tmp_path / "w"), compression)
+    back = {r["target_uri"]: (r["payload"], r["record_type"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {f"http://h/{i}": (b, "conversion") for i, b in enumerate(blocks)}
+    record = lambda i, size, block: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: {i}\r\nContent-Length: {size}\r\n\r\n{block}\r\n\r\n".encode()
+    http = "HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "x.warc.gz").write_bytes(b"".join(gzip.compress(record(i, len(http) if i else "many", http)) for i in range(300)))
+    rows = warc.read_warc(spark, str(tmp_path / "m")).collect()
+    assert len(rows) == 300 and {r["http_headers"] for r in rows} == {"HTTP/1.1 200 OK\r\nA: b"} and {r["payload"].strip() for r in rows} == {"body"}
+
+
+def test_pages_cost_what_their_length_costs():
+    """Unclosed tags, comments, titles and attributes by the megabyte; and attributes in any order."""
+    import time
+
+    n = 1 << 20
+    for page in ("<a " * (n // 3), "<script " * (n // 8), "<title>" * (n // 7), "<meta name=x " * (n // 13), "<!--" * (n // 4), "<" * n, "<a " + "b" * n + ">", "<p" + " " * n, "<meta " + "name= " * (n // 6) + ">", "<a href='" * (n // 9), "</script" + " " * n, " \n" * (n // 2)):
+        began = time.process_time()
+        warc.plain_text(page)
+        warc.page_metadata("i", "t", "h", page, "d")
+        assert time.process_time() - began < 5, page[:20]
+    links = warc.page_metadata(None, None, "", """<META content='c&amp;d' name="k"><a class=x href=/u?a=1&amp;b>t</a><img src="i.png"><!-- <a href="no"> --><title>T</TITLE>""", "")
+    assert '"Metas": [{"content": "c&d", "name": "k"}]' in links and '"Links": [{"path": "a", "url": "/u?a=1&b"}, {"path": "img", "url": "i.png"}]' in links and '"Title": "T"' in links
+
+
 # --- queries and pipeline ---
 
 @needs_tables
