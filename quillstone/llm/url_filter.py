@@ -12,7 +12,8 @@ from quillstone.llm.components import connected_components
 
 #: (verdict, host and path): the rules of the registered query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-MAX_RULES = 1_000
+#: Rules that are literals of a plan; longer lists are joined.
+MOST_LITERALS = 200
 
 # Patterns of the links that make two pages one; attributes come in either order.
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -38,16 +39,36 @@ def alias_of(url: Column) -> Column:
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule whose host the url's host is or ends in, and whose path its path begins with.
 
-    Of equally long rules an allow comes first. Both are null if none fits. The list is a literal, so it is bounded.
+    Of equally long rules an allow comes first. Both are null if none fits. For short lists, which become part of the plan.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, r in sorted(rules, key=lambda x: (len(x[1]), x[0] == "allow", x[1])):  # the last that fits wins
+    rule = verdict = None
+    for v, r in sorted(rules, key=lambda x: (-len(x[1]), x[0] != "allow", x[1])):  # the first that fits wins
         h, slash, p = r.partition("/")
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(slash + p)
-        rule, verdict = F.when(fits, F.lit(r)).otherwise(rule), F.when(fits, F.lit(v)).otherwise(verdict)
-    return rule, verdict
+        rule = F.when(fits, F.lit(r)) if rule is None else rule.when(fits, F.lit(r))
+        verdict = F.when(fits, F.lit(v)) if verdict is None else verdict.when(fits, F.lit(v))
+    none = F.lit(None).cast("string")
+    return (none, none) if rule is None else (rule, verdict)
+
+
+def with_rules(rows: DataFrame, rules: DataFrame, host: str = "host", path: str = "path") -> DataFrame:
+    """rows with rule and verdict as rule_for() gives them, from a table (verdict, rule) of any length.
+
+    Each distinct host and path is joined by equality: the host and its parent domains with the rules' hosts, and the path's
+    prefixes, of the lengths that rules have, with the rules' paths. A row of rows is joined with one row.
+    """
+    r = rules.where("rule is not null").select(F.col("verdict").alias("v_"), F.col("rule").alias("r_"), F.substring_index("rule", "/", 1).alias("h_"))
+    r = r.withColumn("p_", F.expr("substring(r_, length(h_) + 1)")).withColumn("p_", F.when(F.col("p_") == "", "/").otherwise(F.col("p_")))
+    r = r.groupBy("h_", "p_").agg(F.max(F.struct((F.col("v_") == "allow").alias("allow"), F.col("r_"))).alias("best"))
+    lengths = sorted(x["n"] for x in r.select(F.length("p_").alias("n")).distinct().collect())  # a number for each length of a path
+    seen = rows.select(F.col(host).alias("sh_"), F.col(path).alias("sp_")).distinct()
+    labels = F.split("sh_", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("sp_")), lambda n: F.expr("sp_").substr(F.lit(1), n))
+    tried = seen.select("sh_", "sp_", F.explode(parents).alias("h_"), prefixes.alias("ps_")).select("sh_", "sp_", "h_", F.explode("ps_").alias("p_"))
+    found = tried.join(r, ["h_", "p_"]).groupBy("sh_", "sp_").agg(F.max(F.struct(F.length("best.r_").alias("n"), F.col("best.allow").alias("allow"), F.col("best.r_").alias("rule"))).alias("b_"))
+    found = found.select("sh_", "sp_", F.col("b_.rule").alias("rule"), F.when(F.col("b_.allow"), "allow").otherwise("block").alias("verdict"))
+    return rows.drop("rule", "verdict").join(found, (F.col(host) == F.col("sh_")) & (F.col(path) == F.col("sp_")), "left").drop("sh_", "sp_")
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -62,15 +83,24 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.select("source", target.alias("target"))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] | DataFrame = RULES, redirects: DataFrame | None = None, default: str = "allow") -> DataFrame:
     """pages with host, path, rule, verdict, component; without html.
 
     A rule that fits a page's own url decides. Otherwise the page takes the decision of its component over canonical
     links, refreshes and `redirects` (source, target urls): allow if a rule allows any url of it, else block if one
     blocks any, else `default`. Urls are nodes by a 64-bit hash of host, path and query. Pages without a url, or with one
     that has no ://, have an empty host and path, no rule and no aliases. Repeated pages are judged each; columns named like
-    an output are replaced.
+    an output are replaced. Rules are a short list, or a table (verdict, rule) of any length.
     """
+    if not isinstance(rules, DataFrame) and len(rules) > MOST_LITERALS:
+        rules = pages.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
+
+    def ruled(rows: DataFrame, host: str, path: str) -> DataFrame:
+        if isinstance(rules, DataFrame):
+            return with_rules(rows, rules, host, path)
+        rule, verdict = rule_for(F.col(host), F.col(path), rules)
+        return rows.withColumns({"rule": rule, "verdict": verdict})
+
     pages = pages.drop("host", "path", "rule", "verdict", "component")
     links = page_links(pages)
     if redirects is not None:
@@ -79,18 +109,16 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, redirect
     links = cut(links.where(alias_of(F.col("source")).isNotNull() & alias_of(F.col("target")).isNotNull()), "url-links")
     member = connected_components(links.select(node("source").alias("a"), node("target").alias("b")))
     urls = links.select(F.explode(F.array("source", "target")).alias("url")).distinct()
-    own = rule_for(host_of(F.col("url")), path_of(F.col("url")), rules)[1]
-    said = urls.select(node("url").alias("node"), own.alias("said")).join(member, "node").groupBy("component")
-    decided = said.agg(F.max(F.col("said") == "allow").alias("allowed"), F.max(F.col("said") == "block").alias("blocked"))
+    urls = ruled(urls.select(node("url").alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), "host", "path")
+    said = urls.join(member, "node").groupBy("component")
+    decided = said.agg(F.max(F.col("verdict") == "allow").alias("allowed"), F.max(F.col("verdict") == "block").alias("blocked"))
     spread = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise(default)
-    decided = member.join(decided, "component").select(F.col("node").alias("node_"), F.col("component"), spread.alias("spread_"))
-    key = free_name(pages, "node_of_page")
+    key, other, given = (free_name(pages, x) for x in ("node_of_page", "node_", "spread_"))
+    decided = member.join(decided, "component").select(F.col("node").alias(other), F.col("component"), spread.alias(given))
     keep = [c for c in pages.columns if c != "html"]
     rows = pages.select(*keep, F.when(alias_of(F.col("url")).isNotNull(), node("url")).alias(key), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "verdict": verdict})
-    rows = rows.join(decided, rows[key] == decided.node_, "left")
-    return rows.withColumn("verdict", F.coalesce("verdict", "spread_", F.lit(default))).drop(key, "node_", "spread_")
+    rows = ruled(rows, "host", "path").join(decided, F.col(key) == F.col(other), "left")
+    return rows.withColumn("verdict", F.coalesce("verdict", given, F.lit(default))).drop(key, other, given)
 
 
 def op9(pages: DataFrame) -> DataFrame:

@@ -557,6 +557,27 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.op9(df.limit(0)).count() == 0
 
 
+def test_many_rules_are_joined(spark):
+    """600 rules, some equally long or for the same place; columns that clash with helpers; against the rule expression."""
+    rng = np.random.default_rng(14)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net"], ["/", "/a", "/ab/", "/ab/c", "/é/", "/a/b/c/d"]
+    rules = [(("allow", "block")[i % 2], hosts[i % 5] + paths[i % 6]) for i in range(7)] + [("block", f"h{i}.org/p{i}") for i in range(600)]
+    urls = [f"http://{h}{p}{t}" for h in [*hosts, "b.a.com.org", "com.x.net", "zcom"] for p in paths for t in ("", "x?q", "/y#f")] + [f"https://www.h{i}.org/p{i}0" for i in rng.integers(0, 700, 40)] + [None, "nothing"]
+    df = spark.createDataFrame([(i, u, "", 1, "s", "c") for i, u in enumerate(urls)], "page_id long, url string, html string, node_ int, spread_ string, sh_ string")
+    long = {r["page_id"]: r for r in url_filter.judge(df.drop("sh_"), tuple(rules)).collect()}
+    few = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(df, tuple(rules[:7])).collect()}
+
+    def brute(url, rules):
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url or "").groups() if "://" in (url or "") else ("", "")
+        fit = [(len(r), v == "allow", r, v) for v, r in rules for h, s, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(s + p)]
+        return max(fit)[2:] if fit else (None, "allow")
+
+    for i, u in enumerate(urls):
+        assert (long[i]["rule"], long[i]["verdict"]) == brute(u, rules), u
+        assert few[i] == brute(u, rules[:7]) and long[i]["node_"] == 1 and long[i]["spread_"] == "s"
+    assert len(long) == len(urls) and len({r["rule"] for r in long.values()}) > 20
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = '<html><head><title>T &amp; t</title><meta name="d" content="c"><script>x("<p>")</script></head><body><p>One &lt;b&gt;<p>Two<br>three <a href="/l?a=1&amp;b=2">l</a><!-- no --></body></html>'
     df = spark.createDataFrame([(1, "http://a/", html, "x"), (2, None, None, "y"), (1, "http://a/", html, "x")], "page_id long, url string, html string, block string")
