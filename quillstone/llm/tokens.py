@@ -19,7 +19,7 @@ import tiktoken
 END_OF_TEXT = "<|endoftext|>"
 END_OF_TEXT_ID = 50256
 #: Text bytes that are encoded at a time, words that a task remembers, and the most bytes of one of them.
-CHUNK_BYTES, REMEMBERED, REMEMBERED_BYTES = 8 << 20, 300_000, 64
+CHUNK_BYTES, REMEMBERED, REMEMBERED_BYTES = 2 << 20, 100_000, 64
 #: Texts that can't be cut at single spaces: a space at an end or beside other white space, or the special token.
 _ODD = r"^ | $| [\s\pZ\x{85}\x{1c}-\x{1f}]|[\s\pZ\x{85}\x{1c}-\x{1f}] |<\|endoftext\|>"
 

@@ -177,7 +177,7 @@ class Scorer:
         if got is None:
             kind, weight = self.lexical(word)
             got = (f"word {word}" if word in self.in_phrases else kind, weight)
-            if len(self.known) < 200_000:
+            if len(self.known) < 50_000:
                 self.known[word] = got
         return got
 
@@ -238,7 +238,7 @@ def learn_stems(sample: DataFrame, text: str, label: str) -> dict[str, tuple[str
         seen: dict[str, list[int]] = {}
 
         def flush():
-            return pd.DataFrame({"stem": list(seen)} | {c: [v[i] for v in seen.values()] for i, c in enumerate(counted)})
+            return pd.DataFrame({"stem": pd.Series(list(seen), dtype=object)} | {c: pd.Series([v[i] for v in seen.values()], dtype="int64") for i, c in enumerate(counted)})
 
         for pdf in batches:
             for t, y, alone in zip(pdf[text], pdf[label], pdf["plain"], strict=True):
@@ -251,10 +251,11 @@ def learn_stems(sample: DataFrame, text: str, label: str) -> dict[str, tuple[str
                     c[2 + int(y)] += int(alone)
                 for stem in stems_of(meant) if y else ():
                     seen[stem][4] += 1
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 yield flush()
                 seen.clear()
-        yield flush()
+        if seen:
+            yield flush()
 
     base, g = F.lit(pp / max(1, pn)), F.col("plain_pos") + F.col("plain_neg")
     part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (g * q))).otherwise(0.0)
