@@ -45,6 +45,12 @@ def normalise(s: Column) -> Column:
     return F.lower(collapse(s))
 
 
+def title_case(s: Column) -> Column:
+    """Each run of letters with a capital first and small letters after, whatever separates them."""
+    runs = F.regexp_extract_all(s, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 2**31 - 1)))), "")
+
+
 def tokens(s: Column) -> Column:
     return F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9]+"), F.lit(0))
 

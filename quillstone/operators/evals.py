@@ -51,14 +51,53 @@ def nearest_rank(df: DataFrame, value: str, share: float, keys: list[str]) -> Da
     return rows.where(F.col("rn_") == F.greatest(F.lit(1), F.ceil(F.col("n_") * share))).select(*keys, F.col(value).alias("at"))
 
 
-def variant_report(questions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """A row a variant: means of recall, precision, rr and ndcg, table recall, median and 95th percentile latency, total cost.
+def _met(got: str, want: str) -> Column:
+    """1 if the question expects nothing or one of what it expects was returned, else 0."""
+    return ((F.size(want) == 0) | F.arrays_overlap(got, want)).cast("double")
 
-    metrics has variant, question_id, the four metrics, latency_ms and cost; questions has question_id and category.
+
+def variant_report(questions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """A row a variant with the 17 fields of an evaluation: name, means over its questions, latencies, mean cost and their number.
+
+    questions: question_id, category, expected_sections, expected_tickers, labels (of the relevant evidence), should_abstain.
+    outcomes: variant, question_id, recall, precision, rr, ndcg, sections and tickers (of the first k results), citations
+    (labels), abstained, inferred_tickers, latency_ms, cost. Array columns aren't null and hold no nulls.
+
+    Citations are judged as sets; without citations precision is 1 where the question is to be abstained from, else 0.
+    """
+    rows = outcomes.join(questions, "question_id")
+    cited, wanted = F.array_distinct("citations"), F.array_distinct("labels")
+    precise = F.when(F.size(cited) > 0, F.size(F.array_intersect(cited, wanted)) / F.size(cited)).otherwise(F.col("should_abstain").cast("double"))
+    same = (F.array_sort(F.array_distinct("inferred_tickers")) == F.array_sort(F.array_distinct("expected_tickers"))).cast("double")
+    means = rows.groupBy("variant").agg(
+        *[F.avg(m).alias(m) for m in ("recall", "precision", "rr", "ndcg")], F.avg(_met("sections", "expected_sections")).alias("section_hit_rate"), F.avg(_met("tickers", "expected_tickers")).alias("ticker_accuracy"),
+        F.coalesce(F.avg(F.when(F.col("category") == "table", F.col("recall"))), F.lit(0.0)).alias("table_recall"), F.avg(precise).alias("citation_precision"), F.avg(same).alias("entity_accuracy"),
+        F.median("latency_ms").alias("latency_p50"), F.avg("cost").alias("mean_cost"), F.count("*").alias("questions"),
+    )
+    held = macro_f1(rows, F.col("should_abstain"), F.col("abstained"), ["variant"]).withColumnsRenamed({"precision": "abstention_precision", "recall": "abstention_recall", "macro_f1": "abstention_f1"})
+    return means.join(held, "variant").join(nearest_rank(rows, "latency_ms", 0.95, ["variant"]).withColumnRenamed("at", "latency_p95"), "variant")
+
+
+def answer_rates(questions: DataFrame, answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row: answer_rate, on_target, grounding, abstention_rate, mean_confidence.
+
+    questions: question_id, expected_sections, expected_tickers. answers, one a question: question_id, abstained, cited (chunk
+    ids; null if there is no claim), confidence. evidence: question_id, chunk_id, section, ticker. An answer is grounded if it
+    cites something and nothing outside the evidence, and on target if it cites evidence of an expected ticker and, where
+    sections are expected, section. Grounding is a share of the answers, the other rates of all questions.
     """
-    rows = metrics.join(questions.select("question_id", "category"), "question_id")
-    means = rows.groupBy("variant").agg(F.count("*").alias("questions"), *[F.avg(m).alias(m) for m in ("recall", "precision", "rr", "ndcg")], F.avg(F.when(F.col("category") == "table", F.col("recall"))).alias("table_recall"), F.median("latency_ms").alias("latency_p50"), F.sum("cost").alias("cost"))
-    return means.join(nearest_rank(rows, "latency_ms", 0.95, ["variant"]).withColumnRenamed("at", "latency_p95"), "variant")
+    told = answers.where(~F.col("abstained") & F.col("cited").isNotNull())
+    held = evidence.select("question_id", "chunk_id", "section", "ticker", F.lit(True).alias("in_"))
+    cites = told.select("question_id", F.explode("cited").alias("chunk_id")).join(held, ["question_id", "chunk_id"], "left").join(questions, "question_id")
+    fits = F.array_contains("expected_tickers", F.col("ticker")) & ((F.size("expected_sections") == 0) | F.array_contains("expected_sections", F.col("section")))
+    judged = cites.groupBy("question_id").agg(F.bool_and(F.col("in_").isNotNull()).alias("grounded_"), F.bool_or(F.coalesce(fits, F.lit(False))).alias("fits_"))
+    rows = questions.select("question_id").join(answers, "question_id", "left").join(judged, "question_id", "left")
+    answered = F.coalesce(~F.col("abstained") & F.col("cited").isNotNull(), F.lit(False))
+    n, sure = F.count("*"), F.count_if(answered)
+    return rows.agg(
+        F.try_divide(sure, n).alias("answer_rate"), F.try_divide(F.count_if(answered & F.col("fits_")), n).alias("on_target"), (F.count_if(answered & F.col("grounded_")) / F.greatest(sure, F.lit(1))).alias("grounding"),
+        F.try_divide(F.count_if("abstained"), n).alias("abstention_rate"), F.coalesce(F.avg(F.when(answered, F.col("confidence"))), F.lit(0.0)).alias("mean_confidence"),
+    )
 
 
 def context_recall(evidence: DataFrame, references: DataFrame) -> DataFrame:
@@ -75,12 +114,10 @@ def ann_recall(exact: DataFrame, found: DataFrame, key: str, k: int) -> DataFram
 
 def contract(questions: DataFrame, splits: dict[str, int], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """(rule, ok, detail): size, splits, duplicate ids, categories and labels of a benchmark."""
-    spark = questions.sparkSession
     n = questions.agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("ids"), *[F.count_if(F.col("split") == s).alias(f"s{i}") for i, s in enumerate(splits)], F.collect_set("category").alias("seen"), F.count_if(~F.col("should_abstain") & (F.size("labels") <= 0)).alias("bare"))
     missing = F.array_sort(F.array_except(F.array(*[F.lit(c) for c in categories]), "seen"))
     rules = [("rows", F.col("n") == sum(splits.values()), F.col("n").cast("string")), ("unique_ids", F.col("n") == F.col("ids"), (F.col("n") - F.col("ids")).cast("string")), ("categories", F.size(missing) == 0, F.array_join(missing, ",")), ("labels", F.col("bare") == 0, F.col("bare").cast("string"))]
     rules += [(f"split_{s}", F.col(f"s{i}") == c, F.col(f"s{i}").cast("string")) for i, (s, c) in enumerate(splits.items())]
-    del spark
     return n.select(F.explode(F.array(*[F.struct(F.lit(a).alias("rule"), b.alias("ok"), c.alias("detail")) for a, b, c in rules])).alias("r")).select("r.*")
 
 
@@ -88,8 +125,8 @@ def holding(docs: DataFrame, key: str, quotes: DataFrame, item: str, text: str =
     """(key, item) of documents that hold a quote verbatim.
 
     Whole words from inside a quote are whole words of a text that holds it. So runs of up to `run` inner words meet by
-    equality first, and the substring is verified after. Quotes without an inner word can't be looked up that way; they are
-    compared with every text, as a literal list of at most `most_short`.
+    equality first, and the substring is verified after. Quotes without an inner word (one or two words) can't be looked up
+    that way; they are compared with every text, as literal lists of `most_short` each.
     """
     w = F.filter(F.split(F.col(quote), r"\s+"), lambda x: x != "")
     q = quotes.where(F.col(quote).isNotNull()).select(item, F.col(quote).alias("q_"), w.alias("w_")).withColumn("n_", F.least(F.lit(run), F.size("w_") - 2))
@@ -99,14 +136,11 @@ def holding(docs: DataFrame, key: str, quotes: DataFrame, item: str, text: str =
     runs = F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tw_"))), lambda i: i + n - 1 <= F.size("tw_")), lambda i: F.struct(F.lit(n).alias("n_"), F.xxhash64(F.array_join(F.slice("tw_", i, n), " ")).alias("h_"))) for n in lengths or [run]])))
     met = d.select(key, F.explode(runs).alias("r_")).select(key, "r_.*").join(keyed, ["n_", "h_"]).select(key, item, "q_").distinct()
     long = met.join(d.select(key, "t_"), key).where(F.contains("t_", "q_")).select(key, item)
-    short = q.where("n_ < 1").select(item, "q_").limit(most_short + 1).collect()
-    if len(short) > most_short:
-        raise ValueError(f"more than {most_short} quotes without an inner word")
-    if not short:
-        return long
-    kind = dict(quotes.dtypes)[item]
-    listed = F.array(*[F.struct(F.lit(r[item]).cast(kind).alias(item), F.lit(r["q_"]).alias("q_")) for r in short])
-    return long.unionByName(d.select(key, F.explode(F.filter(listed, lambda s: F.contains(F.col("t_"), s["q_"]))).alias("s_")).select(key, f"s_.{item}"))
+    short, kind, out = q.where("n_ < 1").select(item, "q_").collect(), dict(quotes.dtypes)[item], long
+    for i in range(0, len(short), most_short):
+        listed = F.array(*[F.struct(F.lit(r[item]).cast(kind).alias(item), F.lit(r["q_"]).alias("q_")) for r in short[i : i + most_short]])
+        out = out.unionByName(d.select(key, F.explode(F.filter(listed, lambda s: F.contains(F.col("t_"), s["q_"]))).alias("s_")).select(key, f"s_.{item}"))
+    return out
 
 
 def reground(references: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -132,6 +166,24 @@ def grounded_questions(chunks: DataFrame, templates: dict[str, str], wanted: dic
     return kept.select(question_id(F.col("category"), F.col("accession"), quote).alias("question_id"), "category", asked.alias("question"), "accession", quote.alias("quote"))
 
 
+def paraphrased(questions: DataFrame, templates: tuple[str, ...]) -> DataFrame:
+    """questions with question and question_id rewritten around their quote where the question starts with one of `templates`.
+
+    questions has question_id, split, category, question, should_abstain, ticker, section, accession, quote; those to be
+    abstained from and those without a quote stay as they are.
+    """
+    cut = F.array_join(F.slice(F.regexp_extract_all("quote", F.lit("[A-Za-z0-9%-]+"), F.lit(0)), 1, 12), " ")
+    who, where = F.coalesce("ticker", F.lit("the issuer")), F.coalesce("section", F.lit("the filing"))
+    asked = (
+        F.when(F.col("category") == "cross_sectional", F.concat(F.lit("Which issuers discuss "), cut)).when(F.col("category") == "table", F.concat(F.lit("Where does "), who, F.lit(" report figures about "), cut))
+        .when(F.col("category") == "filters", F.concat(F.lit("In "), where, F.lit(", what does "), who, F.lit(" say about "), cut)).otherwise(F.concat(F.lit("What does "), who, F.lit(" disclose about "), cut))
+    )
+    due = ~F.col("should_abstain") & F.col("quote").isNotNull() & F.exists(F.array(*[F.lit(t) for t in templates]), lambda t: F.startswith("question", t))
+    rows = questions.withColumn("asked_", F.when(due, F.concat(asked, F.lit("?"))))
+    fresh = F.concat_ws("-", "split", question_id(F.col("split"), F.col("category"), F.col("asked_"), F.col("accession")))
+    return rows.withColumns({"question": F.coalesce("asked_", "question"), "question_id": F.when(F.col("asked_").isNotNull(), fresh).otherwise(F.col("question_id"))}).drop("asked_")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int, keys: list[str] | None = None) -> DataFrame:
     """n rows (of each key) in the order of a seeded hash: a random sample that reruns repeat."""
     order = [F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), F.col(key)]

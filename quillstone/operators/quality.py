@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.operators.passages import CHUNK_WORDS, text_chunks
+
 EXPECTED_FORMS = ("10-K", "10-Q")
 STALE_DAYS, LAST_RUNS, LISTED = 150, 20, 100
 HIDDEN = ("EXMPL",)
@@ -107,6 +109,24 @@ def histogram(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(by))
 
 
+def exchange_totals(companies: DataFrame) -> DataFrame:
+    """One row: companies, those of either exchange (whatever the letters' case), documents and chunks."""
+    on = lambda name: F.count_if(F.contains(F.upper("exchange"), F.lit(name)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return companies.agg(F.count("*").alias("companies"), F.count_if(F.upper("exchange") == "NYSE").alias("nyse"), on("NASDAQ").alias("nasdaq"), total("documents"), total("chunks"))
+
+
+def unchunked(elements: DataFrame, chunks: DataFrame, force: bool = False, key: str = "document_id") -> DataFrame:
+    """The elements whose documents have no chunks yet, or all of them if forced: what a chunking run has to read."""
+    return elements if force else elements.join(chunks.select(key), key, "left_anti")
+
+
+def rechunk(documents: DataFrame, elements: DataFrame, chunks: DataFrame, reasons: tuple[str, ...] = ("not_chunked",), size: int = CHUNK_WORDS) -> DataFrame:
+    """(document_id, reading_order, chunk_index, chunk_text, token_count) for documents that lack chunks for one of the reasons."""
+    due = unchunked_reasons(documents, elements, chunks).where(F.col("reason").isin(*reasons)).select(F.col("id").alias("document_id"))
+    return text_chunks(elements.join(due, "document_id", "left_semi"), ["document_id", "reading_order"], "text", size)
+
+
 def snapshot_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
     """(all_facts, canonical_facts) counted after, and how much they grew."""
     counts = lambda df, p: df.agg(F.count("*").alias(f"{p}all"), F.count("canonical_metric").alias(f"{p}canonical"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +16,8 @@ from quillstone.functions.vectors import bounded_cosine
 RRF_K, BM25_K1, BM25_B = 60, 1.5, 0.75
 #: Distinct query tokens that are literals of a plan.
 MOST_TERMS = 1_000
+#: Query vectors that are one literal row set; more go in blocks of this many.
+QUERY_BLOCK = 256
 SCORES = ("dense", "sparse", "hybrid", "rerank")
 
 
@@ -82,14 +88,45 @@ def bm25_scores(queries: DataFrame, pool: DataFrame, key: str, text: str, k1: fl
 def dense_scores(queries: DataFrame, chunks: DataFrame, key: str, vec: str, query_vec: str = "query_vec") -> DataFrame:
     """(query_id, key, dense): cosine of each query with each chunk.
 
-    The queries of one request are few and go along as one literal row set; a set of many queries belongs to a blocked search.
+    The queries of one request are few and go along as one literal row set, more of them as several, each over all chunks.
     """
-    rows = queries.select("query_id", query_vec).collect()
-    if len(rows) > 256:
-        raise ValueError("at most 256 queries at once")
-    asked = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit([float(x) for x in r[query_vec]]).cast("array<double>").alias("v")) for r in rows])
-    met = chunks.select("*", F.explode(asked).alias("q_"))
-    return met.select(F.col("q_.query_id").alias("query_id"), *chunks.columns, bounded_cosine(F.col("q_.v"), F.col(vec)).alias("dense"))
+    kind = dict(queries.dtypes)["query_id"]
+    rows = [(r["query_id"], [float(x) for x in r[query_vec]]) for r in queries.select("query_id", query_vec).collect()]
+    out = None
+    for i in range(0, max(1, len(rows)), QUERY_BLOCK):
+        literal = [F.struct(F.lit(q).cast(kind).alias("query_id"), F.lit(v).cast("array<double>").alias("v")) for q, v in rows[i : i + QUERY_BLOCK]]
+        asked = F.array(*literal).cast(f"array<struct<query_id: {kind}, v: array<double>>>")
+        met = chunks.select("*", F.explode(asked).alias("q_"))
+        scored = met.select(F.col("q_.query_id").alias("query_id"), *chunks.columns, bounded_cosine(F.col("q_.v"), F.col(vec)).alias("dense"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def pool_size(k: int, filtered: bool) -> int:
+    """How many candidates each leg brings: five times k if a filter narrows them, else k; 20 at least."""
+    return max(5 * k if filtered else k, 20)
+
+
+def embed(rows: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], dims: int, batch: int = 128, out: str = "embedding") -> DataFrame:
+    """rows with the provider's vectors, asked for at most `batch` texts at once inside tasks; null texts have null vectors.
+
+    The job fails if a provider returns another number of vectors, another dimension, or a component that isn't finite.
+    """
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        said = texts.dropna().tolist()
+        got: list[list[float]] = []
+        for i in range(0, len(said), batch):
+            part = said[i : i + batch]
+            answer = [[float(x) for x in v] for v in provider(part)]
+            if len(answer) != len(part) or any(len(v) != dims or not np.isfinite(v).all() for v in answer):
+                raise ValueError(f"the provider must return {len(part)} finite vectors of {dims} dimensions")
+            got += answer
+        vectors_, none = iter(got), texts.isna()
+        return pd.Series([None if missing else next(vectors_) for missing in none], dtype=object)
+
+    return rows.withColumn(out, vectors(text))
 
 
 def ann_first(scored: DataFrame, key: str, k: int, keep: Column, oversample: int = 3) -> DataFrame:
@@ -136,6 +173,31 @@ def rerank_lexical(ranked: DataFrame, key: str, text: str, top_n: int, query: st
     return rank(scored, "rerank", key, out="final_rank")
 
 
+def rerank_by(ranked: DataFrame, key: str, text: str, scorer: Callable[[list[str], list[str]], list[float]], top_n: int, query: str = "query", every: bool = False) -> DataFrame:
+    """The first top_n by the scores of a model of (query, text) pairs, which runs on batches inside tasks.
+
+    With `every`, all candidates are scored before top_n of them are kept, else the first top_n alone are.
+    """
+
+    @F.pandas_udf("double")
+    def scores(queries: pd.Series, texts: pd.Series) -> pd.Series:
+        got = [float(x) for x in scorer(queries.fillna("").tolist(), texts.fillna("").tolist())]
+        if len(got) != len(queries):
+            raise ValueError("the model must return a score for each pair")
+        return pd.Series(got)
+
+    pool = ranked if every else ranked.where(F.col("rank") <= top_n)
+    out = rank(pool.withColumn("rerank", scores(query, text)), "rerank", key, out="final_rank")
+    return out.where(F.col("final_rank") <= top_n)
+
+
+def cited_first(evidence: DataFrame, cited: DataFrame, key: str, order: str = "rank", out: str = "shown") -> DataFrame:
+    """evidence with cited, and its place in a list that puts cited rows first and keeps the order within both parts."""
+    marks = cited.select("query_id", key).distinct().withColumn("cited", F.lit(True))
+    rows = evidence.join(marks, ["query_id", key], "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cited"), F.asc(order), F.asc(key))))
+
+
 def score_floor(df: DataFrame, floor: float, score: str = "rerank") -> DataFrame:
     return df.where(F.coalesce(score, F.lit(0.0)) >= floor) if floor > 0 else df
 

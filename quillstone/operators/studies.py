@@ -44,7 +44,8 @@ def event_returns(events: DataFrame, bars: DataFrame, config: StudyConfig = Stud
     """
     if "max_source_available_at" in events.columns:
         events = guard_leakage(events)
-    indexed = session_index(bars.where(F.col("adjusted_close") > 0))
+    bars = bars.where(F.col("adjusted_close") > 0)  # sessions and prices are numbered over the same bars
+    indexed = session_index(bars)
     placed = event_sessions(events, bars.where(F.col("ticker") != config.benchmark), config.zone, config.close)
     wins = F.explode(F.array(*[F.struct(F.lit(window_name(w)).alias("window"), F.lit(w[0]).alias("s"), F.lit(w[1]).alias("e")) for w in config.windows]))
     rows = placed.withColumn("w_", wins).select("*", "w_.*").drop("w_")

@@ -181,8 +181,7 @@ def snapshot_prune(spark: SparkSession, d: str) -> DataFrame:
 @query("fresh_snapshots", "SELECT event_id FROM events WHERE epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(ts) <= 21600")
 def fresh_snapshots(spark: SparkSession, d: str) -> DataFrame:
     e = S.table(spark, d, "events").select("event_id", F.col("ts").alias("refreshed_at"))
-    whole = e.withColumn("refreshed_at", F.col("refreshed_at").cast("timestamp"))
-    return whole.where(F.unix_micros(F.lit("2024-01-20 00:00:00").cast("timestamp")) - F.unix_micros("refreshed_at") <= 21600 * 1000000).select("event_id")
+    return sinks.fresh(e, F.lit("2024-01-20 00:00:00").cast("timestamp"), 21600).select("event_id")
 
 
 @query("answer_keys", "SELECT conv_id, turn, sha256('v1' || chr(31) || lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')))) AS key FROM conversations")
@@ -213,11 +212,11 @@ def first_n_per_form(spark: SparkSession, d: str) -> DataFrame:
     return readers.recent_filings(subs, {"10-K": 2, "10-Q": 3}).select(F.substring("accessionNumber", 5, 20).cast("long").alias("id"))
 
 
-@query("missing_tickers", "SELECT DISTINCT upper(c_mktsegment) AS ticker FROM customer EXCEPT SELECT upper(c_mktsegment) FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 1e12")
+@query("missing_tickers", "SELECT DISTINCT upper(c_name) AS ticker FROM customer EXCEPT SELECT upper(c_name) FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 300000")
 def missing_tickers(spark: SparkSession, d: str) -> DataFrame:
     c = S.table(spark, d, "customer")
-    have = c.join(S.table(spark, d, "orders").where("o_totalprice > 1e12"), F.col("c_custkey") == F.col("o_custkey")).select(F.upper("c_mktsegment").alias("ticker"))
-    return readers.missing_tickers(c.select(F.col("c_mktsegment").alias("ticker")), have)
+    have = c.join(S.table(spark, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey")).select(F.upper("c_name").alias("ticker"))
+    return readers.missing_tickers(c.select(F.col("c_name").alias("ticker")), have)
 
 
 @query("html_title", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")

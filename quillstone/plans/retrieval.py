@@ -98,9 +98,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DE
 
 
 def _legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    sparse = retrieval.top_k(_lexical(spark, d).withColumn("sparse", cut6(F.col("sparse"))), "sparse", "doc_id", 50)
+    n = retrieval.pool_size(10, True)
+    sparse = retrieval.top_k(_lexical(spark, d).withColumn("sparse", cut6(F.col("sparse"))), "sparse", "doc_id", n)
     dense = _dense(spark, d).select((F.col("query_id") + 1).cast("int").alias("query_id"), F.col("vec_id").alias("doc_id"), "dense")
-    return sparse, retrieval.top_k(dense, "dense", "doc_id", 50)
+    return sparse, retrieval.top_k(dense, "dense", "doc_id", n)
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:

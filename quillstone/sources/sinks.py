@@ -41,14 +41,20 @@ def replace_by_keys(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _whole(df: DataFrame) -> Column:
+    """A row as text: the last key of a total order."""
+    return F.to_json(F.struct(*sorted(df.columns)))
+
+
 def upsert_dominant(old: DataFrame, new: DataFrame, keys: list[str], size: str, at: str) -> DataFrame:
-    """One row a key: that with the largest size, the newer on ties."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(size), F.desc(at))
+    """One row a key: that with the largest size, the newer on ties, then the last by its columns as JSON."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(size), F.desc(at), F.desc(_whole(old)))
     return old.unionByName(new).withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
 
 
 def last_writer(old: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(at))
+    """One row a key: the newest, then the last by its columns as JSON."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(_whole(old)))
     return old.unionByName(new).withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
 
 
@@ -63,7 +69,8 @@ def latest_manifest(runs: DataFrame, key: str = "run_key", at: str = "recorded_a
 
 
 def fresh(snapshots: DataFrame, now: Column, seconds: int, at: str = "refreshed_at") -> DataFrame:
-    return snapshots.where(F.unix_seconds(now) - F.unix_seconds(F.col(at).cast("timestamp")) <= seconds)
+    """Snapshots that are at most `seconds` old, to the microsecond."""
+    return snapshots.where(F.unix_micros(now) - F.unix_micros(F.col(at).cast("timestamp")) <= seconds * 1_000_000)
 
 
 def prune_snapshots(snapshots: DataFrame, keep: int = 128, key: str = "metric_key", at: str = "refreshed_at") -> DataFrame:
@@ -94,7 +101,9 @@ def query_key(prefix: str, query: dict) -> str:
 
 
 def report_markdown(report: DataFrame, columns: list[str]) -> str:
-    """A Markdown table of a report of few rows (one a variant or window)."""
-    rows = report.select(*columns).limit(1000).collect()
+    """A Markdown table of a report of few rows (one a variant or window); more than 1,000 are refused."""
+    rows = report.select(*columns).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("a report has at most 1,000 rows; write more as a table")
     line = lambda cells: "| " + " | ".join(cells) + " |"
     return "\n".join([line(columns), line(["---"] * len(columns)), *[line(["" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v) for v in r]) for r in rows]])
