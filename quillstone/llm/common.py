@@ -49,12 +49,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of files that nothing reads any more."""
+    made, fs = _hadoop_path(spark, path)
+    fs.delete(made, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Remove the files of a DataFrame that cut() returned, once nothing reads it any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        made, fs = _hadoop_path(spark, file)
-        fs.delete(made.getParent(), True)
+        remove(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def free_name(df: DataFrame, stem: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import ann, cover_tree, mixing, packing, secret_scan, simhash, token_counts, toxicity, url_filter, warc
+from quillstone.llm import ann, cover_tree, mixing, packing, prefix_trie, secret_scan, simhash, token_counts, toxicity, url_filter, warc
 from quillstone.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op10(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie.op11(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_cover_tree": op2_cover_tree,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op9_urls": url_filter.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op9_urls": url_filter.oracle_sql(), "op11_prefix_trie": prefix_trie.ORACLE_SQL}
