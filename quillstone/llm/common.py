@@ -126,3 +126,14 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     joined = rows.join(side, [*parts, b])
     local = Window.partitionBy(*parts, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(local), F.lit(0))).drop(b, v, before, *parts)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's CRC-32 of a short ASCII string, from the rule of the polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    step = f"xor(c >> 8, ([{', '.join(map(str, table))}]::BIGINT[])[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"

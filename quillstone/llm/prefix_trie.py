@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstone.llm.common import cut, drop_cut, remove, shared_dir
+from quillstone.llm.common import crc32_sql, cut, drop_cut, remove, shared_dir
 from quillstone.llm.mixing import word_count
 
 #: Conversations of one stem share its beginning: that of the conversation whose number is the last multiple of STEM, up to HEADS - 1 turns.
@@ -218,23 +218,12 @@ def op11(conversations: DataFrame) -> DataFrame:
     return trie(conversations)
 
 
-def _crc32_sql(text: str) -> str:
-    """DuckDB's CRC-32 of a short ASCII string, from the rule of the polynomial."""
-    table = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
-        table.append(n)
-    step = f"xor(c >> 8, ([{', '.join(map(str, table))}]::BIGINT[])[(xor(c, x) & 255) + 1])"
-    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT), lambda c, x: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
-
-
 ORACLE_SQL = rf"""
 WITH said AS (
   SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ), ids AS (
-  SELECT conv, conv - conv % {STEM} AS stem, {_crc32_sql("conv::VARCHAR")} % {HEADS} AS h FROM (SELECT DISTINCT conv FROM said)
+  SELECT conv, conv - conv % {STEM} AS stem, {crc32_sql("conv::VARCHAR")} % {HEADS} AS h FROM (SELECT DISTINCT conv FROM said)
 ), parts AS (
   SELECT ids.conv, 0 AS part, i, role, text FROM ids JOIN said ON said.conv = ids.stem WHERE i < h
   UNION ALL SELECT ids.conv, 1, i, role, text FROM ids JOIN said ON said.conv = ids.conv WHERE i >= h

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import ann, cover_tree, mixing, packing, prefix_trie, secret_scan, simhash, token_counts, toxicity, url_filter, warc
+from quillstone.llm import ann, cover_tree, merkle, mixing, packing, prefix_trie, quality_model, secret_scan, simhash, token_counts, toxicity, url_filter, warc
 from quillstone.llm.common import table
 
 
@@ -55,6 +55,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.op11(table(spark, sf_dir, "conversations"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a discriminant that the labelled documents of the training folds give."""
+    return quality_model.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, the roots, the digest of its proof, and the root that the proof gives after tampering."""
+    return merkle.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_cover_tree": op2_cover_tree,
@@ -67,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality": op12_quality,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op9_urls": url_filter.oracle_sql(), "op11_prefix_trie": prefix_trie.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL, "op9_urls": url_filter.oracle_sql(), "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op13_merkle": merkle.oracle_sql()}
