@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +34,25 @@ IDENTIFIERS = (
     "readme reference registry repository request resource response result return schema secret security serializer server service "
     "session settings signature statement static string subscription synchronize template temporary terminal thread timestamp token "
     "transaction transform undefined unknown update username validate value variable version visible websocket window workspace "
-    "example_your_insert_change_me_here_test_sample_dummy_placeholder_xxxxxxxx_00000000_12345678 abcdefghijklmnopqrstuvwxyz "
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 AbstractBeanFactoryConfigurationException get_set_is_has_to_from_by_with_on_off"
+    "action active address amount array async audio body buffer cache client color column command config count country create current data date debug default delete "
+    "detail domain download email enable entry error event export field file filter first format group header height history image import input insert internal item "
+    "label last length level limit line link list load main max member menu min model name number order output owner page payment phone price product profile project "
+    "quantity rate read record remove report reset role row save search select send shipping size sort source start state status store stream submit sum table target "
+    "task text theme time title total type update upload url user view width word write abstract bean "
+    "example your insert change me here test sample dummy xxxxxxxx 00000000 12345678 abcdefghijklmnopqrstuvwxyz 0123456789 get set is has to from by with on off "
 )
-#: Letters of a candidate; characters before it in which a sensitive word must stand; characters of code around it that prime the compressor.
-LEAST_CANDIDATE, REACH, AROUND = 16, 48, 256
-#: Marginal compressed bytes a byte from which a candidate is novel; of long ones, whose letters the compressor codes by
-#: frequency, this many times what a random string over their own alphabet needs, if that is less.
-NOVELTY, LONG, OVER_RANDOM = 0.8, 32, 1.12
-# Sizes of alphabets that keys are written in, with their patterns.
-ALPHABETS = ((10, "[0-9]+"), (16, "[0-9a-f]+|[0-9A-F]+"), (32, "[a-z2-7]+|[A-Z2-7]+"), (36, "[a-z0-9]+|[A-Z0-9]+"), (62, "[A-Za-z0-9]+"))
-
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CANDIDATE)
-_ALPHABETS = tuple((math.log2(n) / 8, re.compile(p)) for n, p in ALPHABETS)
+#: Letters of a candidate; characters before it in which a sensitive word must stand; characters of code around it that prime the
+#: compressor; characters between two secrets of one list.
+LEAST_CANDIDATE, REACH, AROUND, BETWEEN = 16, 48, 256, 8
+#: How many times what a random string over the candidate's own alphabet needs its marginal compressed bytes have to be at least. Longer
+#: candidates are measured in windows, and as a whole by the second of these.
+NOVELTY, LEAST_WHOLE, WINDOW = 1.06, 0.9, 48
+#: Bytes of the trained dictionary, lists of identifiers that it is trained on, their words, and the level, at which its letter codes are used for any length.
+DICTIONARY, SAMPLES, SAMPLE_WORDS, LEVEL = 4096, 600, 5, 1
+
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%%^&*-]{%d,}" % LEAST_CANDIDATE)
+_PARTS = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|[_/.:\s-]+")
+_CLASSES = tuple((n, re.compile(p)) for n, p in ((26, "[a-z]"), (26, "[A-Z]"), (10, "[0-9]")))
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 #: RE2 pattern of texts that can hold any span; the others are not looked at again.
 _WORTH = "(?i:" + "|".join(re.escape(w) for w in SENSITIVE) + r"|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
@@ -52,52 +61,48 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), *[T.Str
 Span = tuple[int, int, int, int]  # start, place of its kind in KINDS, end, start of the secret itself
 
 
-def without_copies(text: str, a: int, b: int) -> tuple[str, str]:
-    """What stands up to AROUND characters before and after text[a:b], with whatever it shares with text[a:b] blanked.
-
-    Shared is every run of LEAST_CANDIDATE characters that is in text[a:b] too; runs that begin or end outside the
-    surroundings count, so that the rest of a copy at their edge goes as well.
-    """
-    n, s = LEAST_CANDIDATE, text[a:b]
-    known = {s[i : i + n] for i in range(len(s) - n + 1)}
-
-    def blanked(low: int, high: int, first: int, last: int) -> str:
-        kept = list(text[low:high])
-        for i in range(first, last - n + 1):
-            if text[i : i + n] in known:
-                x, y = max(i, low) - low, min(i + n, high) - low
-                kept[x:y] = " " * (y - x)
-        return "".join(kept)
-
-    low, high = max(0, a - AROUND), min(len(text), b + AROUND)
-    return blanked(low, a, max(0, low - n + 1), a), blanked(b, high, b, min(len(text), high + n - 1))
+def in_words(text: str) -> str:
+    """The text in small letters with its identifiers cut into their words, as the dictionary holds them."""
+    return _PARTS.sub(" ", text).lower()
 
 
-def least_novelty(candidate: str) -> float:
-    """The marginal bytes a byte that a candidate has to reach."""
-    if len(candidate) < LONG:
-        return NOVELTY
-    return min(NOVELTY, OVER_RANDOM * next((bits for bits, p in _ALPHABETS if p.fullmatch(candidate)), 1.0))
+def random_bytes(candidate: str) -> float:
+    """The bytes that a random string of this length needs over the candidate's own letters: those of the classes it uses, and its other marks."""
+    classes = sum(n for n, p in _CLASSES if p.search(candidate))
+    return len(candidate) * math.log2(max(2, classes + len({c for c in candidate if not c.isalnum()}))) / 8
 
 
-def looks_made(candidate: str) -> bool:
-    """Letters and digits, or letters of which at least a quarter each are capitals and small, which words and identifiers don't have."""
-    letters = sum(map(str.isalpha, candidate))
-    capitals = sum(map(str.isupper, candidate))
-    return any(map(str.isdigit, candidate)) and letters > 0 or 4 * min(capitals, letters - capitals) >= len(candidate)
+@lru_cache(maxsize=1)
+def dictionary() -> bytes:
+    """A dictionary with letter codes, trained on lists of the identifiers; without these codes a short string is stored as it is, whatever it says."""
+    words, deal = in_words(IDENTIFIERS).split(), random.Random(1)
+    return zstandard.train_dictionary(DICTIONARY, [" ".join(deal.sample(words, SAMPLE_WORDS)).encode() for _ in range(SAMPLES)], level=LEVEL).as_bytes()
 
 
 class Scanner:
     """Finds the spans of one text after another; one per task."""
 
-    def __init__(self, level: int = 9):
-        primer = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zstd = zstandard.ZstdCompressor(level=level, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
+    def __init__(self, trained: bytes | None = None):
+        primer = zstandard.ZstdCompressionDict(trained or dictionary(), dict_type=zstandard.DICT_TYPE_FULLDICT)
+        self.zstd = zstandard.ZstdCompressor(level=LEVEL, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def _bytes(self, text: str) -> int:
+        return len(self.zstd.compress(text.encode("utf-8", "surrogatepass")))
 
     def novelty(self, before: str, candidate: str, after: str) -> float:
-        """Marginal compressed bytes a byte: what the candidate adds to its surroundings, both primed alike."""
-        b, c, a = (x.encode("utf-8", "surrogatepass") for x in (before, candidate, after))
-        return (len(self.zstd.compress(b + c + a)) - len(self.zstd.compress(b + a))) / len(c)
+        """Marginal compressed bytes, as a multiple of what a random string needs: what the candidate, window by window, adds to its surroundings.
+
+        Both are primed with the dictionary. As each window is measured by itself, length changes nothing; a candidate of windows that
+        repeat each other is worth what it adds as a whole.
+        """
+        b, a = in_words(before) + " ", " " + in_words(after)
+        n = max(1, round(len(candidate) / WINDOW))
+        cuts = [len(candidate) * i // n for i in range(n + 1)]
+        alone = self._bytes(b + a)
+        whole = (self._bytes(b + in_words(candidate) + a) - alone) / random_bytes(candidate)
+        if n == 1 or whole < LEAST_WHOLE:
+            return whole
+        return sum(self._bytes(b + in_words(candidate[i:j]) + a) - alone for i, j in zip(cuts, cuts[1:], strict=False)) / random_bytes(candidate)
 
     def base(self, text: str) -> list[Span]:
         out = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGNED]
@@ -105,29 +110,53 @@ class Scanner:
         return sorted(out)
 
     def novel(self, text: str, base: list[Span]) -> list[Span]:
-        """Candidates that no base span touches, in sensitive context, that look made and don't compress.
+        """Candidates, or what base spans leave of them, in sensitive context that don't compress.
 
-        A sensitive word stands shortly before, or another secret directly, with one character in between that joins the parts of a token.
-        Each occurrence is measured against surroundings without its copies: a secret that is repeated is found at each place.
+        A sensitive word stands shortly before, or another candidate in such context does, with at most BETWEEN characters between that are
+        no letters or digits: the parts of a token and the entries of a list. Surroundings are measured without candidates that the dictionary
+        alone says are random, copies of this one included: what random strings stand around a secret doesn't hide it.
         """
         if not _SENSITIVE.search(text):
             return []
-        starts = np.array([s[0] for s in base])
-        ends = np.maximum.accumulate([s[2] for s in base]) if base else np.array([])
-        out, joined = [], -1
+        taken: list[list[int]] = []
+        for a, b in sorted((s[0], s[2]) for s in base):
+            if taken and a <= taken[-1][1]:
+                taken[-1][1] = max(b, taken[-1][1])
+            else:
+                taken.append([a, b])
+        past, places = [b for _, b in taken], []
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
-            i = int(np.searchsorted(starts, b, "left")) if base else 0
-            if i and ends[i - 1] > a:
-                continue
-            s = m.group()
-            near = joined == a - 1 and text[joined] in ".:~" or _SENSITIVE.search(text, max(0, a - REACH), a)
-            if not near or not looks_made(s):
-                continue
-            before, after = without_copies(text, a, b)
-            if self.novelty(before, s, after) >= least_novelty(s):
-                out.append((a, 3, b, a))
-                joined = b
+            i = bisect.bisect_right(past, a)
+            while i < len(taken) and taken[i][0] < b:
+                places.append((a, taken[i][0]))
+                a, i = taken[i][1], i + 1
+            places.append((a, b))
+        places = [(a, b) for a, b in places if b - a >= LEAST_CANDIDATE]
+        begins, known = [a for a, _ in places], {}
+
+        def made_up(a: int, b: int) -> bool:
+            s = text[a:b]
+            if s not in known:
+                known[s] = self.novelty("", s, "") >= NOVELTY
+            return known[s]
+
+        def around(low: int, high: int) -> str:
+            kept, at = [], low
+            for i in range(max(0, bisect.bisect_left(begins, low) - 1), bisect.bisect_left(begins, high)):
+                a, b = places[i]
+                if b > low and made_up(a, b):
+                    kept.append(text[at : max(at, a)])
+                    at = max(at, b)
+            return " ".join([*kept, text[at:high]])
+
+        out, last = [], -BETWEEN - 1
+        for a, b in places:
+            near = a - last <= BETWEEN and not any(map(str.isalnum, text[last:a])) or _SENSITIVE.search(text, max(0, a - REACH), a)
+            if near:
+                last = b
+                if self.novelty(around(max(0, a - AROUND), a), text[a:b], around(b, min(len(text), b + AROUND))) >= NOVELTY:
+                    out.append((a, 3, b, a))
         return out
 
     def spans(self, text: str) -> list[Span]:
@@ -155,8 +184,10 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False) -> DataFrame
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", SPANS, False)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret_start", pa.int64())]))
 
+    trained = dictionary()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(trained)
         for batch in batches:
             texts = batch.column(text)
             found: list[list[Span]] = [[]] * len(texts)

@@ -15,8 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import cut, free_name
 from quillstone.llm.components import STAR, connected_components, star_forest
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
@@ -123,6 +124,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.mapInPandas(_meet(radius), STAR)
 
 
+def _groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (fp, ...), one a fingerprint, with `group`: the smallest fingerprint that links reach from it."""
+    member = connected_components(links(nodes.select("fp"), radius))
+    return nodes.join(member, nodes.fp == member.node, "left").withColumn("group", F.coalesce("component", "fp")).drop("node", "component")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row of docs.
 
@@ -131,24 +138,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
     No rows give no rows; repeated rows stay.
     """
     rows = cut(with_fingerprint(docs.select("doc_id", text), text), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    member = connected_components(links(nodes.select("fp"), radius))
-    groups = nodes.join(member, nodes.fp == member.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    groups = _groups(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
     smallest = groups.groupBy("group").agg(F.min("first").alias("component_id"))
     named = groups.join(smallest, "group").select(F.col("fp").alias("fp_"), "component_id")
     return rows.join(named, rows.fp == named.fp_).drop("fp_")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id; of rows that share it, any. Columns stay.
+def keep_one(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest doc_id, null last, then with the smallest hash of its columns. Columns stay.
 
-    Rows without a doc_id can't be named: of those with equal texts one stays. The join and the choice use the same
-    key, so texts are shuffled once.
+    A row is known by two hashes of all its columns, so ids may stand on several rows: each is kept or goes with its own
+    group. Of rows that are equal in all columns one stays. Each group's first row is found by hashes alone; then texts are
+    shuffled once, by the key of both the join and the choice.
     """
-    named = docs.where("doc_id is not null")
-    first = near_duplicates(named, text).where("doc_id = component_id").select("doc_id").distinct()
-    kept = named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates([text]))
+    hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    one, two = free_name(docs, "hash_"), free_name(docs, "other_hash_")
+    keyed = docs.withColumns({one: F.xxhash64(*hashed), two: F.hash(*hashed)})
+    rows = cut(with_fingerprint(keyed.select(F.col(one).alias("one"), F.col(two).alias("two"), "doc_id", F.col(text).alias("text"))), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "one", "two")
+    groups = _groups(rows.groupBy("fp").agg(F.min(order).alias("first")), radius)
+    first = groups.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.one").alias(one), F.col("first.two").alias(two))
+    return keyed.join(first, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)
 
 
 def op7(docs: DataFrame) -> DataFrame:

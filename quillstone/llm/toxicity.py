@@ -305,13 +305,14 @@ def fitted(x: np.ndarray, y: np.ndarray) -> list[float]:
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(text, toxic) of at most max_labelled labelled documents whose CRC-32 of doc_id mod 5 isn't 0, chosen by hash.
 
-    A document with several labels counts as toxic if one says so; null labels are ignored. The chosen ids are at
-    most max_labelled, hence the broadcast.
+    A document with several labels counts as toxic if one says so; null labels are ignored. Of an id that stands on several
+    rows the text with the smallest hash counts, so rows are no more than ids. The chosen ids are at most max_labelled, hence the broadcast.
     """
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = own.orderBy(ordering_hash(F.col("doc_id")), "doc_id").limit(max_labelled)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def distinct_texts(sample: DataFrame) -> DataFrame:

@@ -88,3 +88,14 @@ def test_toxicity_edges(spark):
     assert toxicity.op1(empty(spark), labels).count() == 0
     kept = toxicity.drop_toxic(docs_of(spark, ["you idiot, you moron, pathetic scum", "fine words"]), labels.limit(0))
     assert kept.columns == empty(spark).columns and {r["doc_id"] for r in kept.collect()} == {1, None}
+
+
+def test_training_rows_are_bounded_where_an_id_stands_on_many_rows(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"again {k}") for k in range(500)] + [(ids[1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], 1)], "doc_id long, toxic int")
+    got = [toxicity.training_rows(docs.repartition(k), labels, 10).collect() for k in (1, 5)]
+    assert len(got[0]) == 10 and sorted(got[0]) == sorted(got[1])
+    every = toxicity.training_rows(docs, labels).collect()
+    assert len(every) == len(ids) and (ids[0], 1) in {(ids[0], r["toxic"]) for r in every if r["text"] == f"text {ids[0]}" or r["text"].startswith("again")}

@@ -32,7 +32,7 @@ def test_simhash_against_brute_force(spark):
     assert [got[i]["fingerprint"] for i in range(len(texts))] == [f"{f:016x}" for f in fps]
     assert [got[i]["component_id"] for i in range(len(texts))] == label
     kept = simhash.keep_one(docs_of(spark, texts)).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(label))
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(label))  # the row without an id has a null text, like an empty one of an id
     assert simhash.op7(empty(spark)).count() == 0
 
 
@@ -58,3 +58,32 @@ def test_meetings_find_every_pair(spark):
         merge = lambda a, b: sorted(zip(*components.star_forest(np.array(a), np.array(b)), strict=True))
         assert merge(got.a, got.b) == merge(a, b) and len(got) <= len(fps) * 4
     assert simhash.fingerprint("A b C") == brute_fingerprint("a B c")
+
+
+def test_one_row_of_each_group_stays_whatever_ids_and_partitions(spark):
+    """Ids on several texts, null ids, repeated rows, near copies: rows are judged by their own groups."""
+    rng = np.random.default_rng(4)
+    prose = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(8)]
+    near = [p + " tail" for p in prose]
+    rows = [(5, prose[0]), (5, prose[1]), (3, prose[1]), (7, prose[2]), (None, prose[3]), (None, prose[3]), (None, prose[4]), (9, prose[4]), (5, near[0]), (1, near[2])]
+    rows += [(11, prose[5]), (11, prose[5]), (11, prose[6]), (None, None), (12, ""), (None, near[7]), (None, prose[7])]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {}
+    for k, (i, _) in zip(label, rows, strict=True):
+        least[k] = min(least.get(k, (2, 0)), (i is None, i or 0))
+    results = []
+    for parts in (1, 2, 3, 11):
+        docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, hash_ string, fp int").repartition(parts)
+        out = simhash.keep_one(docs)
+        assert out.columns == docs.columns
+        results.append(sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect()))
+        at = {(str(i), str(t)): k for (i, t), k in zip(rows, label, strict=True)}
+        assert sorted(at[r] for r in results[-1]) == sorted(set(label))
+        assert all(r[0] == (str(least[at[r]][1]) if not least[at[r]][0] else "None") for r in results[-1])
+    assert all(r == results[0] for r in results)

@@ -70,6 +70,21 @@ def test_pipeline_packs_in_the_order_of_the_curriculum(spark, tmp_path):
     assert words.loc["a", 0] > 1.5 * words.loc["a", 3] and words.loc["b", 3] > 1.5 * words.loc["b", 0] and 0.6 < words.loc["c", 0] / words.loc["c", 3] < 1.6
 
 
+def one_row_of_each_group(rows):
+    """What one row of each group of near-duplicates leaves, by all pairs of fingerprints."""
+    fps = [simhash.fingerprint(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if bin(fps[i] ^ fps[j]).count("1") <= simhash.RADIUS:
+                    label[i] = label[j] = min(label[i], label[j])
+    best = {}
+    for k, r in zip(label, rows, strict=True):
+        best[k] = min(best.get(k, ((2,), None)), ((r[0] is None, r[0] or 0), r[1]))
+    return sorted((str(None if named[0] else named[1]), text) for named, text in best.values())
+
+
 def test_pipeline_stages_against_brute_force(spark, tmp_path):
     """Few documents through every stage: which stay, what they hold, how often they are taken, and every id of every piece."""
     import zlib
@@ -82,6 +97,16 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     texts = [" ".join(f"word{i}_{j}" for j in range(40)) for i in range(6)]
     texts += [texts[0], "you idiot, you pathetic moron and worthless scum. you are a stupid loser", f"{texts[1]} {secret}", ""]
     rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)]
+    # Ids on several rows, and rows without one: each is judged with its own text.
+    other = [" ".join(f"other{i}_{j}" for j in range(30)) for i in range(3)]
+    rows += [(5, other[0], "en", "b", 1), (0, other[0], "en", "b", 1), (4, texts[3], "en", "a", 1), (None, other[1], "en", "a", 1), (None, other[1], "en", "a", 1), (9, "", "en", "b", 0)]
+    kept_twice = one_row_of_each_group(rows)
+    stage = corpus_pipeline.STAGES[1][1]
+    frame = lambda k: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(k)
+    for k in (1, 3, 11):
+        got = sorted((str(r["doc_id"]), r["text"]) for r in stage(spark, frame(k), "").collect())
+        assert got == kept_twice
+    rows = rows[: len(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
