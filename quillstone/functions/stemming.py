@@ -50,7 +50,7 @@ def stem(word: str) -> str:
         return word
     if word in IRREGULAR:
         return IRREGULAR[word]
-    w = re.sub(r"^y|(?<=[aeiouy])y", "Y", word)
+    w = re.sub(r"([aeiouy])y", r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
     r1 = next((len(p) for p in FIRST_REGION if w.startswith(p)), None) or _after(w, 0)
     r2 = _after(w, r1)
     if w.endswith("sses"):
