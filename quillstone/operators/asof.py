@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,25 +86,65 @@ def latest_filing_bounds(query: str, filters: SearchFilters, filings: DataFrame,
     return replace(filters, filed_from=newest, filed_to=newest) if newest else filters
 
 
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Answer each question with the last candidate before it whose availability is within the question's.
+
+    Rows are sorted by group and place. A candidate that comes later and is known no later makes those before it useless, so the
+    candidates that are kept rise in availability and the answer is found by bisection. Kept are three numbers a candidate of one group.
+    """
+    group, known, ids, periods = None, [], [], []
+    for pdf in batches:
+        out = []
+        columns = (pdf[c].tolist() for c in ("company", "base_form", "way", "asks", "id", "seen", "period"))
+        for company, form, way, asks, id_, seen, period in zip(*columns, strict=True):
+            if (company, form, way) != group:
+                group, known, ids, periods = (company, form, way), [], [], []
+            if asks:
+                i = bisect_right(known, seen)
+                if i:
+                    out.append((id_, form, period, ids[i - 1], periods[i - 1]))
+            else:
+                while known and known[-1] >= seen:
+                    known.pop()
+                    ids.pop()
+                    periods.pop()
+                known.append(seen)
+                ids.append(id_)
+                periods.append(period)
+        yield pd.DataFrame(out, columns=["id", "base_form", "period", "prior_id", "prior_period"])
+
+
 def comparable_filings(current: DataFrame, candidates: DataFrame, as_of: str = "available_at") -> DataFrame:
     """For each current filing the one it is to be compared with: (id, prior_id, basis).
 
     An amendment is compared with its original if that is visible. Otherwise with an earlier period of the same company and
     base form that isn't an amendment and is visible at the current row's `as_of` (null: everything is): for
     10-Q the one nearest to a year before, the later and the smaller id on ties; for others the latest period, then availability, then id.
-    Both tables have id, company, base_form, period_end, available_at, is_amendment, accession, amends_accession.
+    Both tables have id, company, base_form, period_end, available_at, is_amendment, accession, amends_accession; an id has one period.
+
+    Period and availability are merged by one sort of both tables within (company, base form) and a sweep, so a company's work
+    is in proportion to its filings. The filing nearest to a year before is the last one up to that day or, in a sweep the other way, the first after it.
     """
-    c = current.select("id", "company", "base_form", "period_end", "is_amendment", "amends_accession", F.col(as_of).alias("at"))
-    p = candidates.select(F.col("id").alias("prior_id"), F.col("company").alias("p_company"), F.col("base_form").alias("p_form"), F.col("period_end").alias("p_period"), F.col("available_at").alias("p_available"), F.col("is_amendment").alias("p_amendment"), F.col("accession").alias("p_accession"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    always, quarter, day = F.lit((1 << 63) - 1), F.col("base_form") == "10-Q", F.unix_date(F.col("period_end").cast("date")).cast("long")
     seen = F.col("at").isNull() | (F.col("p_available") <= F.col("at"))
+    c = current.select("id", "company", "base_form", "period_end", "is_amendment", "amends_accession", F.col(as_of).alias("at"))
+    p = candidates.select(F.col("id").alias("prior_id"), F.col("company").alias("p_company"), F.col("available_at").alias("p_available"), F.col("accession").alias("p_accession"))
     originals = c.where("is_amendment and amends_accession is not null").join(p, (c.amends_accession == p.p_accession) & (c.company == p.p_company) & seen)
     originals = originals.groupBy("id").agg(F.min("prior_id").alias("original_id"))
-    earlier = c.join(p, (c.company == p.p_company) & (c.base_form == p.p_form) & (F.col("prior_id") != F.col("id")) & ~F.col("p_amendment") & (F.col("p_period") < F.col("period_end")) & seen)
-    quarter = F.col("base_form") == "10-Q"
-    year_before = F.abs(F.datediff("p_period", F.date_sub("period_end", 365)))
-    key = F.when(quarter, F.struct((-year_before).cast("long").alias("a"), F.unix_date("p_period").cast("long").alias("b"), (-F.col("prior_id")).cast("long").alias("c")))
-    key = key.otherwise(F.struct(F.unix_date("p_period").cast("long").alias("a"), F.unix_micros(F.col("p_available").cast("timestamp")).alias("b"), F.col("prior_id").cast("long").alias("c")))
-    best = earlier.groupBy("id").agg(F.max_by("prior_id", key).alias("best_id"))
+    # A day is an odd place, so that questions stand between days. Of one day the candidate that is to be preferred comes last.
+    ways = F.when(quarter, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
+    whole = "company is not null and base_form is not null and period_end is not null"
+    held = candidates.where(whole).where(~F.col("is_amendment")).select("company", "base_form", F.explode(ways).alias("way"), F.lit(False).alias("asks"), "id", F.coalesce(micros("available_at"), always).alias("seen"), day.alias("period"), (2 * day + 1).alias("place"),
+        F.when(quarter, 0).otherwise(F.coalesce(micros("available_at"), -always)).alias("first"), F.when(quarter, -F.col("id")).otherwise(F.col("id")).alias("second"))
+    asked = current.where(whole).select("company", "base_form", F.explode(ways).alias("way"), F.lit(True).alias("asks"), "id", F.coalesce(micros(as_of), always).alias("seen"), day.alias("period"),
+        F.when(quarter, 2 * (day - 365) + 2).otherwise(2 * day).alias("place"), F.lit(0).cast("long").alias("first"), F.col("id").alias("second"))
+    rows = held.unionByName(asked).withColumn("place", F.col("place") * F.col("way"))
+    rows = rows.repartition("company", "base_form", "way").sortWithinPartitions("company", "base_form", "way", "place", "first", "second")
+    id_type = dict(current.dtypes)["id"]
+    found = rows.select("company", "base_form", "way", "asks", "id", "seen", "period").mapInPandas(_sweep, f"id {id_type}, base_form string, period long, prior_id {dict(candidates.dtypes)['id']}, prior_period long")
+    near = F.when(quarter, -F.abs(F.col("prior_period") - F.col("period") + 365)).otherwise(0)
+    best = found.where("prior_period < period and prior_id <> id").groupBy("id").agg(F.max_by("prior_id", F.struct(near, "prior_period")).alias("best_id"))
     out = c.join(originals, "id", "left").join(best, "id", "left")
     label = F.when(F.col("original_id").isNotNull(), "amendment_to_original").when(F.col("best_id").isNull(), "none").when(quarter, "same_quarter_prior_year").when(F.col("base_form") == "10-K", "prior_annual_period").otherwise("prior_period")
     return out.select("id", F.coalesce("original_id", "best_id").alias("prior_id"), label.alias("basis"))

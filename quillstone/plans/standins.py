@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as filings of their source: every ninth is an amendment of the one before, every fourth other an annual report."""
-    d = table(spark, sf_dir, "documents").withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("rn", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     amended = F.col("rn") % 9 == 0
     d = d.withColumn("is_amendment", amended).withColumn("k", F.col("rn") - amended.cast("int"))
     form = F.when(F.col("k") % 4 == 0, "10-K").otherwise("10-Q")
@@ -43,6 +44,7 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("available_at", F.date_add("period_end", (15 + F.col("doc_id") % 45 + F.when(amended, 60).otherwise(0)).cast("int")))
     before = F.lag("doc_id").over(Window.partitionBy("source").orderBy("doc_id"))
     d = d.withColumn("amends_accession", F.when(amended, F.concat(F.lit("acc-"), before.cast("string"))))
+    d = d.join(texts, "doc_id")  # numbered without their texts
     return d.select(F.col("doc_id").alias("id"), F.col("source").alias("company"), "text", "lang", "n_chars", "is_amendment", "base_form", "form_type", "period_end", "available_at", F.concat(F.lit("acc-"), F.col("doc_id").cast("string")).alias("accession"), "amends_accession")
 
 
@@ -101,7 +103,7 @@ indexed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urgent orders as filing events of their segment; the feature is the order's price."""
+    """Orders as filing events of their segment; the feature is the order's price."""
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     at = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (F.col("o_orderkey") % 24) * 3600)
     return o.select(F.col("c_mktsegment").alias("ticker"), F.col("o_orderkey").alias("accession"), at.alias("available_at"), at.alias("max_source_available_at"), F.col("o_totalprice").alias("feature_value"))
