@@ -65,6 +65,34 @@ class SearchFilters:
         return amendment_policy(df, self.amendments)
 
 
+    def apply_metadata(self, df: DataFrame, metadata: str = "metadata") -> DataFrame:
+        """The same conjunction on a column of JSON text, or of VARIANT, that holds ticker, cik, form_type, element_type, filing_date, accepted_at, available_at
+        and is_amendment; section and chunk_type are columns of df.
+
+        A value that is missing or isn't a string of a date or instant (offset or Z, else UTC) fails a range; text that isn't JSON is as an empty object.
+        """
+        tree = F.col(metadata) if dict(df.dtypes)[metadata] == "variant" else F.try_parse_json(metadata)
+        said = lambda name: F.when(F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant")) == "STRING", F.try_variant_get(tree, f"$.{name}", "string"))
+        zoned = lambda c: F.when(c.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), c).otherwise(F.concat(c, F.lit("Z")))
+        instant = lambda name: F.try_to_timestamp(F.when(said(name).rlike("T| .*:"), zoned(said(name))).otherwise(F.concat(said(name), F.lit("T00:00:00Z"))))
+        day = F.when(said("filing_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_variant_get(tree, "$.filing_date", "date"))
+        for name, wanted in {"ticker": self.tickers, "cik": self.ciks, "form_type": self.forms, "element_type": self.element_types}.items():
+            if wanted:
+                df = df.where(said(name).isin(list(wanted)))
+        for name, wanted in {"section": self.sections, "chunk_type": self.chunk_types}.items():
+            if wanted:
+                df = df.where(F.col(name).isin(list(wanted)))
+        for value, low, high in ((day, self.filed_from, self.filed_to), (instant("accepted_at"), self.accepted_from, self.accepted_to), (instant("available_at"), None, self.as_of)):
+            if low is not None:
+                df = df.where(value >= F.lit(low))
+            if high is not None:
+                df = df.where(value <= F.lit(high))
+        if self.amendments == "include":
+            return df
+        flagged = F.coalesce(F.try_variant_get(tree, "$.is_amendment", "boolean"), F.lit(False))
+        return df.where(flagged == (self.amendments == "only"))
+
+
 def latest_filing(df: DataFrame, keys: list[str], filed: str = "filing_date", tie: tuple[str, ...] = ("accepted_at", "id")) -> DataFrame:
     """The newest row of each key, by filing date and then `tie`, nulls oldest."""
     w = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(filed), *[F.desc_nulls_last(t) for t in tie])

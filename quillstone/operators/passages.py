@@ -77,6 +77,19 @@ def snapshot_id(docs: DataFrame, order: list[str], accession: str, digest: Colum
     return docs.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]), "|").cast("binary"), 256), 1, 16).alias("snapshot_id"))
 
 
+def snapshot_tree(docs: DataFrame, key: str, digest: Column) -> DataFrame:
+    """(snapshot_id, documents): the SHA-256 of a corpus of any size, the same however its rows are dealt.
+
+    Entries key:digest are joined by | in order within ranges of the key's SHA-256 (its first six hex digits, 16 million ranges), the ranges'
+    digests within their first three digits, and those 4,096 at last. So a task joins a small share of the corpus, and the last list has 4,096.
+    """
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["entry"]), "|").cast("binary"), 256)
+    rows = docs.select(F.sha2(F.col(key).cast("string").cast("binary"), 256).alias("h"), F.concat_ws(":", key, digest).alias("entry"))
+    ranges = rows.groupBy(F.substring("h", 1, 6).alias("at")).agg(joined(F.struct("entry")).alias("entry"), F.count("*").alias("n"))
+    upper = ranges.groupBy(F.substring("at", 1, 3).alias("up")).agg(joined(F.struct("at", "entry")).alias("entry"), F.sum("n").alias("n"))
+    return upper.agg(joined(F.struct("up", "entry")).alias("snapshot_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
+
+
 def diff_passages(now: list[str], old: list[str]) -> list[tuple[str, str | None, str | None, float | None]]:
     """(change, now, old, similarity): replaced passages in pairs are materially_changed, with their character ratio; the rest is added or removed."""
     out: list[tuple[str, str | None, str | None, float | None]] = []

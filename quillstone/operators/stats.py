@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterable
 
@@ -136,6 +137,42 @@ def bootstrap_by(df: DataFrame, value: str, key: str, order: str, draws: int = 1
     return df.groupBy(key).applyInPandas(run, f"key {kind}, n long, mean double, low double, high double, p double").withColumnRenamed("key", key)
 
 
+def poisson_thresholds(bits: int = 32, most: int = 14) -> list[int]:
+    """The counts of a hash of `bits` bits from which a Poisson weight of mean 1 is at least 1, 2, and so on."""
+    total, out = 0.0, []
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        out.append(math.floor(total * 2**bits))
+    return out
+
+
+def bootstrap_large(df: DataFrame, value: str, key: str, row: str, draws: int = 1000, confidence: float = 0.95) -> DataFrame:
+    """(key, n, mean, low, high, p): bootstrap intervals of means of samples of any size.
+
+    In each draw a row counts as often as a Poisson weight of mean 1 says, which a hash of the draw and of `row`, the row's
+    name, gives; so a draw is two sums, added up before they are shuffled, and a key's sample never meets in one task. One hash
+    serves four draws. Null values don't count; a draw of no rows has no mean. What is sorted are a key's draws.
+    """
+    if draws % 4:
+        raise ValueError("draws is a multiple of four")
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x_"), F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))).alias("block_"), F.col(row).cast("string").alias("row_"))
+    rows = rows.withColumn("hash_", F.md5(F.concat_ws("|", "block_", "row_").cast("binary")))
+    names, sums = [], [F.count("*").alias("n"), F.sum("x_").alias("whole_")]
+    for part in range(4):
+        u = F.conv(F.substring("hash_", 8 * part + 1, 8), 16, 10).cast("long")
+        weight = sum((F.when(u >= t, 1).otherwise(0) for t in poisson_thresholds()), F.lit(0))
+        sums += [F.sum(weight).alias(f"w{part}_"), F.sum(weight * F.col("x_")).alias(f"s{part}_")]
+        names.append(F.when(F.col(f"w{part}_") > 0, F.col(f"s{part}_") / F.col(f"w{part}_")))
+    by_block = rows.groupBy(key, "block_").agg(*sums)
+    means = F.array_sort(F.flatten(F.collect_list(F.filter(F.array(*names), lambda m: m.isNotNull()))))
+    found = by_block.groupBy(key).agg(F.max("n").alias("n"), F.max_by("whole_", F.struct("n", -F.col("block_"))).alias("whole_"), means.alias("m_"))
+    size, tail = F.size("m_"), (1 - confidence) / 2
+    at = lambda share: F.try_element_at("m_", F.bround((size - 1) * F.lit(share)).cast("int") + 1)
+    under, over = F.size(F.filter("m_", lambda m: m <= 0)), F.size(F.filter("m_", lambda m: m >= 0))
+    p = F.least(F.lit(1.0), 2 * F.least(under, over) / size)
+    return found.select(key, "n", (F.col("whole_") / F.col("n")).alias("mean"), at(tail).alias("low"), at(1 - tail).alias("high"), p.alias("p"))
+
+
 def bootstrap_difference(high: list[float], low: list[float], draws: int, confidence: float, rng: random.Random) -> tuple[float, float, float] | None:
     """The interval and p of mean(high) - mean(low); each draw samples high first. The generator is the caller's, shared over windows."""
     if not high or not low:

@@ -138,12 +138,18 @@ def market_slice(spark: SparkSession, d: str) -> DataFrame:
     return readers.universe_slice(S.table(spark, d, "customer").select(F.col("c_name").alias("ticker")), *readers.parse_slice("50:25"))
 
 
-@query("listed_companies", """WITH e AS (SELECT s_nationkey AS cik, 'S' || s_suppkey::VARCHAR AS ticker, s_name || CASE WHEN s_suppkey % 7 = 0 THEN ' Growth Fund' ELSE '' END AS name, s_suppkey FROM supplier)
-SELECT cik::BIGINT AS cik, min(ticker) AS ticker, array_to_string(list_sort(list(DISTINCT ticker)), ',') AS tickers, min_by(name, ticker) AS name FROM e WHERE s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 GROUP BY cik""")
+#: Endings and beginnings that suppliers' names get by turns: each mark of a fund, and names that come near one.
+_NAMES = ("{}", "{} Growth Fund", "{} Mutual Fund", "{} Fund Raising", "{} Etf", "Etf{}", "{} ETN Notes", "{} Exchange-Traded", "{}/Unit", "{}/Rights", "{}/WARRANT", "{}/notes", "ProShares {}", "ProSharesX {}", "iShares {}", "The iShares {}", "{} SPDR Trust", "{} SPDR", "{} Trust")
+_KEPT = ", ".join(str(i) for i, n in enumerate(_NAMES) if n in ("{}", "{} Mutual Fund", "{} Fund Raising", "Etf{}", "ProSharesX {}", "The iShares {}", "{} SPDR", "{} Trust"))
+
+
+@query("listed_companies", f"""WITH e AS (SELECT s_nationkey AS cik, 'S' || s_suppkey::VARCHAR AS ticker, replace(list_extract([{", ".join(f"'{n}'" for n in _NAMES)}], (s_suppkey % {len(_NAMES)} + 1)::INT), '{{}}', s_name) AS name, s_suppkey FROM supplier)
+SELECT cik::BIGINT AS cik, min(ticker) AS ticker, array_to_string(list_sort(list(DISTINCT ticker)), ',') AS tickers, min_by(name, ticker) AS name FROM e WHERE s_suppkey % {len(_NAMES)} IN ({_KEPT}) AND s_suppkey % 5 <> 0 GROUP BY cik""")
 def listed_companies(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as listings of their nation; every fifth symbol is a test issue or a fund by its flag, every seventh a fund by its name."""
+    """Suppliers as listings of their nation; every fifth symbol is a test issue or a fund by its flag, others are funds by their names."""
     s = S.table(spark, d, "supplier")
-    exchange = s.select(F.col("s_nationkey").alias("cik"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("ticker"), F.when(F.col("s_suppkey") % 7 == 0, F.concat("s_name", F.lit(" Growth Fund"))).otherwise(F.col("s_name")).alias("name"))
+    style = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("s_suppkey") % len(_NAMES) + 1).cast("int"))
+    exchange = s.select(F.col("s_nationkey").alias("cik"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("ticker"), F.replace(style, F.lit("{}"), F.col("s_name")).alias("name"))
     symbols = s.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"), (F.col("s_suppkey") % 10 == 0).alias("is_test"), (F.col("s_suppkey") % 10 == 5).alias("is_etf"))
     return readers.listed_companies(exchange, symbols).withColumn("tickers", F.array_join("tickers", ","))
 

@@ -193,6 +193,16 @@ def corpus_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return passages.snapshot_id(rows, ["available_at", "id"], "accession", F.md5(F.col("text").cast("binary")))
 
 
+@query("corpus_digest", f"""WITH {S.FILINGS}, e AS (SELECT accession || ':' || md5(text) AS entry, sha256(accession) AS h FROM filings),
+a AS (SELECT h[1:6] AS six, sha256(string_agg(entry, '|' ORDER BY entry)) AS d FROM e GROUP BY ALL), b AS (SELECT six[1:3] AS three, sha256(string_agg(d, '|' ORDER BY six)) AS d FROM a GROUP BY ALL),
+r AS (SELECT sha256(string_agg(d, '|' ORDER BY three)) AS d FROM b) SELECT r.d[1:16] AS snapshot_id, (SELECT count(*) FROM e) AS documents FROM r""")
+def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
+    """All filings by a tree of digests: no list of the whole corpus."""
+    f = S.filings(spark, d)
+    digest = passages.snapshot_tree(f, "accession", F.md5(F.col("text").cast("binary")))
+    return digest.select(F.substring("snapshot_id", 1, 16).alias("snapshot_id"), "documents")
+
+
 @query("filing_diff", None)
 def filing_diff(spark: SparkSession, d: str) -> DataFrame:
     """Counts of changed passages; difflib's alignment has no SQL form, pytest compares it with stated cases."""
@@ -412,9 +422,24 @@ def signal_correlations(spark: SparkSession, d: str) -> DataFrame:
     return stats.signal_correlations(z, "accession", "signal", ["price", "lines"]).select("signal_a", "signal_b", "n", (F.floor(F.col("ic") * 1e4 + 0.5) / 1e4).alias("ic"))
 
 
-@query("bootstrap_ci", None)
+_DRAWS = 200
+_WEIGHT = " + ".join(f"(u >= {t})::BIGINT" for t in stats.poisson_thresholds())
+
+
+@query("bootstrap_ci", f"""{_STUDY}, draws AS (SELECT "window" AS win, abnormal_return AS x, 4 * b + k AS draw, ('0x' || md5(b::VARCHAR || '|' || accession::VARCHAR)[8 * k + 1:8 * k + 8])::BIGINT AS u FROM returns, range({_DRAWS // 4}) AS r(b), range(4) AS q(k)),
+weighed AS (SELECT win, draw, sum({_WEIGHT}) AS w, sum(({_WEIGHT}) * x) AS s FROM draws GROUP BY ALL),
+sorted AS (SELECT win, list_sort(list(s / w)) AS m FROM weighed WHERE w > 0 GROUP BY win),
+whole AS (SELECT "window" AS win, count(*) AS n, avg(abnormal_return) AS mean FROM returns GROUP BY ALL)
+SELECT win AS "window", n, floor(mean * 1e6 + 0.5) / 1e6 AS mean, floor(m[round_even((len(m) - 1) * 0.025, 0)::INT + 1] * 1e6 + 0.5) / 1e6 AS low, floor(m[round_even((len(m) - 1) * 0.975, 0)::INT + 1] * 1e6 + 0.5) / 1e6 AS high,
+ floor(least(1.0, 2.0 * least(len(list_filter(m, lambda v: v <= 0)), len(list_filter(m, lambda v: v >= 0))) / len(m)) * 1e6 + 0.5) / 1e6 AS p FROM sorted JOIN whole USING (win)""")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """Resampling uses Python's generator; pytest compares it with a plain loop."""
+    """Poisson weights by a hash of draw and event, so that both engines draw alike."""
+    return stats.bootstrap_large(_returns(spark, d), "abnormal_return", "window", "accession", _DRAWS).select("window", "n", *six("mean", "low", "high", "p"))
+
+
+@query("bootstrap_small", None)
+def bootstrap_small(spark: SparkSession, d: str) -> DataFrame:
+    """The exact form for a study's sample: resampling by Python's generator; pytest compares it with a plain loop."""
     return stats.bootstrap_by(_returns(spark, d), "abnormal_return", "window", "accession", 200)
 
 

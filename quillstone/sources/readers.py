@@ -120,10 +120,28 @@ def landing_path(root: str, cik: Column, accession: Column, name: Column) -> Col
     return F.concat_ws("/", F.lit(root.rstrip("/")), cik10(cik), accession, name)
 
 
+# What marks a name as that of a fund, a note or a part of a unit: anywhere, at its end unless it is a mutual one, at its beginning, or together.
+FUND_MARKS = (" ETF", " ETN", " EXCHANGE-TRADED", "/UNIT", "/RIGHT", "/WARRANT", "/NOTES")
+FUND_END, NO_FUND = " FUND", "MUTUAL"
+FUND_BEGINNINGS = ("PROSHARES ", "ISHARES ")
+FUND_TOGETHER = ("SPDR", "TRUST")
+
+
+def fund_like(name: Column) -> Column:
+    """Whether a name is marked as one that isn't a company's share; a null name isn't."""
+    said = F.upper(name)
+    marked = said.endswith(FUND_END) & ~said.contains(NO_FUND) | said.contains(FUND_TOGETHER[0]) & said.contains(FUND_TOGETHER[1])
+    for m in FUND_MARKS:
+        marked = marked | said.contains(m)
+    for b in FUND_BEGINNINGS:
+        marked = marked | said.startswith(b)
+    return F.coalesce(marked, F.lit(False))
+
+
 def listed_companies(exchange: DataFrame, symbols: DataFrame) -> DataFrame:
     """(cik, ticker, tickers, name) by CIK: exchange rows (cik, ticker, name, exchange) without test issues, funds and fund-like names; the primary ticker is the smallest."""
     flagged = symbols.where("is_test or is_etf").select(F.upper("symbol").alias("ticker"))
-    rows = exchange.withColumn("ticker", F.upper("ticker")).join(flagged, "ticker", "left_anti").where(~F.col("name").rlike(r"(?i)\b(etf|etn|fund|trust units?|ishares|spdr|proshares)\b"))
+    rows = exchange.withColumn("ticker", F.upper("ticker")).join(flagged, "ticker", "left_anti").where(~fund_like(F.col("name")))
     return rows.groupBy("cik").agg(F.min("ticker").alias("ticker"), F.array_sort(F.collect_set("ticker")).alias("tickers"), F.min_by("name", "ticker").alias("name"))
 
 

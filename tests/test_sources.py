@@ -91,6 +91,13 @@ def test_catalogs(spark):
     assert {r["symbol"]: r["ticker"] for r in got.collect()} == {"BRK.B": "BRK-A", "NONE": None}
 
 
+def test_names_of_funds(spark):
+    funds = ["Alpha ETF", "x etn y", "A EXCHANGE-TRADED NOTE", "ACME/UNIT", "ACME/RIGHTS", "ACME/WARRANT", "ACME/NOTES 2030", "Big Growth Fund", "SPDR Gold Trust", "Trust of SPDR", "ProShares Short", "ISHARES MSCI"]
+    companies = ["FUND RAISING CORP", "MUTUAL RESERVE FUND", "SPDR INC", "ETF", "ALPHA-ETF", "ETNA CORP", "ACME UNIT", "FUND", "Trust Co", "My ProShares", "ISHARESX", "Fundamental", None]
+    df = spark.createDataFrame([(n,) for n in funds + companies], "name string")
+    assert {r["name"] for r in df.where(readers.fund_like(df.name)).collect()} == set(funds)
+
+
 def test_sinks(spark, tmp_path):
     panel = spark.createDataFrame([(1, {"b": 1, "a": 2}, ["x"])], "id int, m map<string,int>, l array<string>")
     assert sinks.flat_panel(panel).first() == (1, '{"a":2,"b":1}', '["x"]')
