@@ -122,8 +122,8 @@ def variants(questions: DataFrame, suffix: str = FINANCE_SUFFIX) -> DataFrame:
 
 
 def evidence_gate(questions: DataFrame, evidence: DataFrame, min_evidence: int = MIN_EVIDENCE, min_score: float = MIN_SCORE) -> DataFrame:
-    """(query_id, reason): the first reason to abstain, or null. evidence has query_id, score and is_fact."""
-    got = evidence.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("top"), F.count_if("is_fact").alias("facts"))
+    """(query_id, reason): the first reason to abstain, or null. evidence has query_id, score and is_fact; facts are neither counted nor scored as passages."""
+    got = evidence.groupBy("query_id").agg(F.count_if(~F.col("is_fact")).alias("n"), F.max(F.when(~F.col("is_fact"), F.col("score"))).alias("top"), F.count_if("is_fact").alias("facts"))
     rows = questions.join(got, "query_id", "left")
     n, top = F.coalesce("n", F.lit(0)), F.coalesce("top", F.lit(0.0))
     needs = F.array_contains(routes(F.col("query")), "financial_facts") & F.col("query").rlike(ASKS["comparison"])
