@@ -15,20 +15,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import cut
+
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122, URLs
 #: Response records: what derive() reads.
 RESPONSE = "record_id string, target_uri string, date string, http_headers string, payload string"
 DERIVED = "record_id string, record_type string, refers_to string, target_uri string, date string, refers_to_date string, content_type string, source_headers string, source_digest string, block string, block_digest string, content_length long"
 
-# No pattern reads past the next "<" to find the end of a tag, so that unclosed tags cost no more than their length.
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|title|head|body|html)|br|hr)\b[^<>]*>", re.I)
-_TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
+# The rest of a tag: quoted values may hold ">" and "<"; a quote that nothing closes is a letter like others. Nothing is read twice.
+_REST = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)(?=[\s/>])" + _REST + r".*?(?:</\1\s*>|\Z)", re.I | re.S)
+_BREAK = re.compile(r"<(?:/?(?:p|div|section|article|header|footer|nav|aside|main|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|title|head|body|html)|br|hr)(?=[\s/>])" + _REST, re.I)
+_TAG = re.compile(r"<[/!?A-Za-z]" + _REST)
 _NAME = re.compile(r"<(a|area|link|img|script|iframe|source|meta)\b", re.I)
 _ATTRIBUTE = re.compile(r"""(?<![-\w:.])([A-Za-z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACES = re.compile(r"[^\S\n]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title(?=[\s/>])" + _REST, re.I), re.compile(r"</title", re.I)
 _HEADER = re.compile(r"^([^:\r\n]+):[ \t]*([^\r\n]*)", re.M)
 
 
@@ -36,9 +39,28 @@ def digest(block: bytes) -> str:
     return "sha1:" + b32encode(hashlib.sha1(block).digest()).decode()
 
 
+_CHARSET = re.compile(rb"""charset\s*=\s*["']?([A-Za-z0-9_.:-]+)""", re.I)
+
+
+def decoded(payload: bytes, headers: str) -> str:
+    """A payload as text, by the charset of its headers, else by the one that the page names, else as UTF-8; what doesn't fit is replaced."""
+    named = _CHARSET.search(headers.encode("utf-8", "replace")) or _CHARSET.search(payload)
+    try:
+        return payload.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        return payload.decode("utf-8", "replace")
+
+
+def _whole_tags(html: str) -> tuple[str, str]:
+    """The page up to its last ">", and what follows, in which no tag ends."""
+    end = html.rfind(">") + 1
+    return html[:end], html[end:]
+
+
 def plain_text(html: str) -> str:
     """The text of a page: without scripts, styles, comments and tags, blocks on lines of their own, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", html)))
+    tagged, rest = _whole_tags(html)
+    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", tagged))) + rest
     return _LINES.sub("\n", _SPACES.sub(" ", entities.unescape(text))).strip()
 
 
@@ -48,7 +70,7 @@ def page_metadata(record_id: str | None, target: str | None, headers: str, html:
     closed = opened and _TITLE_END.search(html, opened.end())
     title = entities.unescape(html[opened.end() : closed.start()]).strip() if closed else None
     links, metas = [], []
-    for tag in _TAG.finditer(_DROP.sub(" ", html)):
+    for tag in _TAG.finditer(_DROP.sub(" ", _whole_tags(html)[0])):
         if not (name := _NAME.match(tag.group())):
             continue
         found: dict[str, str] = {}
@@ -80,12 +102,13 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 def derive(records: DataFrame) -> DataFrame:
     """Two rows for each response, a metadata and a conversion record that name it in refers_to; other columns are kept.
 
-    source_headers keeps the response's HTTP headers, source_digest the digest of its payload. Record ids follow from
+    source_headers keeps the response's HTTP headers, source_digest its payload_digest if records have that column and it isn't null,
+    as those of read_warc() do, else the digest of the payload in UTF-8. Record ids follow from
     the response's, so reruns agree. A null payload is empty; a null id or target stays null. Columns of other names
     stay with both records; other columns named like an output are replaced.
     """
     own = [f.split()[0] for f in DERIVED.split(", ")]
-    kept = [c for c in records.columns if c not in own and c not in ("http_headers", "payload")]
+    kept = [c for c in records.columns if c not in own and c not in ("http_headers", "payload", "payload_digest")]
     schema = records.select(*kept).schema
     for f in DERIVED.split(", "):
         schema = schema.add(*f.split())
@@ -95,9 +118,9 @@ def derive(records: DataFrame) -> DataFrame:
             for at in range(0, len(whole), 512):
                 batch = whole.slice(at, 512)
                 out: list[tuple] = []
-                for rid, target, date, headers, payload in zip(*[batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "http_headers", "payload")], strict=True):
+                for rid, target, date, headers, payload, stated in zip(*[batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")], strict=True):
                     payload, headers = payload or "", headers or ""
-                    source = digest(payload.encode("utf-8", "surrogatepass"))
+                    source = stated or digest(payload.encode("utf-8", "surrogatepass"))
                     blocks = (("metadata", "application/json", page_metadata(rid, target, headers, payload, source)), ("conversion", "text/plain", plain_text(payload)))
                     for kind, content, block in blocks:
                         raw = block.encode("utf-8", "surrogatepass")
@@ -107,7 +130,8 @@ def derive(records: DataFrame) -> DataFrame:
                 made = [pa.array(list(c), pa.int64() if n == "content_length" else pa.string()) for n, c in zip(own, zip(*out, strict=True), strict=True)] if out else [pa.array([], pa.int64() if n == "content_length" else pa.string()) for n in own]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(twice) for c in kept], *made], names=[*kept, *own])
 
-    return records.select(*kept, "record_id", "target_uri", "date", "http_headers", "payload").mapInArrow(run, schema)
+    stated = F.col("payload_digest") if "payload_digest" in records.columns else F.lit(None).cast("string").alias("payload_digest")
+    return records.select(*kept, "record_id", "target_uri", "date", "http_headers", "payload", stated).mapInArrow(run, schema)
 
 
 def record_text(prefix: str = "") -> Column:
@@ -130,7 +154,7 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
-    """(headers by lower-case name, what follows them, length of the block by its header) of a record without its "WARC/1."; None without headers.
+    """(headers by lower-case name, what follows them, length of the block by its header) of a record; None without headers.
 
     A length that isn't a number is that of what follows.
     """
@@ -142,45 +166,98 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int] | None:
     return headers, rest, int(said) if said.isascii() and said.isdigit() else len(rest)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_type, record_id, refers_to, target_uri, date, http_headers, payload, headers) of the records in WARC files, gzipped or not.
+MARK = b"WARC/1."
+_PIECE = "file string, begin long, piece long, value binary"
 
-    For responses, http_headers and payload are the block's two parts; for others payload is the whole block. Spark's text
-    reader cuts files at "WARC/1.", so a task holds some records at a time, plain files of any size are split, and gzipped ones are
-    streamed, whatever their number of members. A block that holds these characters itself is put together again by its length.
-    What isn't a record is skipped.
-    """
-    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "headers"]
-    schema = "record_type string, record_id string, refers_to string, target_uri string, date string, http_headers string, payload string, headers map<string,string>"
 
-    def row(headers: dict[str, str], block: bytes) -> tuple:
-        text, head = block.decode("utf-8", "replace"), ""
-        if headers.get("warc-type") == "response":
-            head, _, text = text.partition("\r\n\r\n")
-        return (*[headers.get(h) for h in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")], head, text, headers)
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, begin, piece, value): files cut at "WARC/1." by Spark's text reader, with the split and a number in it; the mark is put back."""
+    raw = spark.read.option("lineSep", MARK.decode()).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.col("value").cast("binary").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n = None, 0
+        for batch in batches:
+            numbers, values = [], []
+            for file, begin, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = n + 1 if (file, begin) == place else 0
+                place = (file, begin)
+                numbers.append(n)
+                values.append(value if n == 0 and begin == 0 else MARK + value)
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("begin"), pa.array(numbers, pa.int64()), pa.array(values, pa.binary())], names=["file", "begin", "piece", "value"])
+
+    return raw.mapInArrow(run, _PIECE)
+
+
+def _owners(sizes: DataFrame) -> DataFrame:
+    """(file, begin, piece, own_begin, own_piece) of pieces that aren't whole records: the piece with which their record begins.
+
+    Goes through a file's pieces in order, by their sizes and by what their headers say a record needs: a record's pieces follow it until
+    its length is filled. A file is one task here, of a few numbers a piece.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, held = None, None  # the split of a file, and a record whose block isn't complete
+        file, own, left, first = None, None, 0, True
         for pdf in batches:
             out = []
-            for raw, *where in zip(pdf["value"], pdf["file"], pdf["begin"], strict=True):
-                if held and where == place:
-                    held[1].append(b"WARC/1." + raw)
-                    held[2] -= len(raw) + 7
-                else:
-                    out += [row(held[0], b"".join(held[1]))] if held else []
-                    got = parse_record(raw)
-                    held = [got[0], [got[1]], got[2] - len(got[1]), got[2]] if got else None
-                place = where
-                if held and held[2] <= 0:
-                    out.append(row(held[0], b"".join(held[1])[: held[3]]))
-                    held = None
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame([row(held[0], b"".join(held[1]))], columns=names)
-
-    raw = spark.read.option("lineSep", "WARC/1.").text(path)
-    return raw.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin")).mapInPandas(run, schema)
+            for name, begin, piece, size, need in pdf.itertuples(index=False, name=None):
+                if name != file:
+                    file, own, left = name, None, 0
+                if left > 0:
+                    if first:
+                        out.append((file, *own, *own))
+                    out.append((file, begin, piece, *own))
+                    left, first = left - size, False
+                elif need > 0:
+                    own, left, first = (begin, piece), need - size, True
+            yield pd.DataFrame(out, columns=["file", "begin", "piece", "own_begin", "own_piece"])
+
+    rows = sizes.repartition("file").sortWithinPartitions("file", "begin", "piece")
+    return rows.mapInPandas(run, "file string, begin long, piece long, own_begin long, own_piece long")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(record_type, record_id, refers_to, target_uri, date, http_headers, payload, payload_digest, headers) of the records in WARC files, gzipped or not.
+
+    For responses, http_headers and payload are the block's two parts, and payload is decoded by its charset; for others payload is the
+    whole block. payload_digest is the stated one, else that of the payload's bytes. Spark's text reader cuts files
+    at "WARC/1.", so plain files of any size are read in splits, and gzipped ones are streamed. A block may hold these characters and cross splits:
+    which pieces are one record is found by lengths from the file's start, and only such pieces are moved. What isn't a record is skipped.
+    """
+    names = ["record_type", "record_id", "refers_to", "target_uri", "date", "http_headers", "payload", "payload_digest", "headers"]
+    schema = ", ".join(f"{n} string" for n in names[:-1]) + ", headers map<string,string>"
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, needs = [], []
+            for value in batch.column("value").to_pylist():
+                got = parse_record(value) if value.startswith(MARK) else None
+                sizes.append(len(value))
+                needs.append(len(value) - len(got[1]) + got[2] if got else 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file", "begin", "piece")), pa.array(sizes, pa.int64()), pa.array(needs, pa.int64())], names=["file", "begin", "piece", "size", "need"])
+
+    def row(raw: bytes) -> tuple | None:
+        got = parse_record(raw) if raw.startswith(MARK) else None
+        if got is None:
+            return None
+        headers, block, head = got[0], got[1][: got[2]], ""
+        if headers.get("warc-type") == "response":
+            top, _, block = block.partition(b"\r\n\r\n")
+            head = top.decode("utf-8", "replace")
+        stated = headers.get("warc-payload-digest") or digest(block)
+        return (*[headers.get(h) for h in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")], head, decoded(block, head), stated, headers)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([r for raw in pdf["value"] if (r := row(raw)) is not None], columns=names)
+
+    pieces, key = _pieces(spark, path), ["file", "begin", "piece"]
+    parts = cut(_owners(pieces.mapInArrow(need, "file string, begin long, piece long, size long, need long")), "warc-parts")
+    known = pieces.join(parts, key, "left")
+    whole = known.where("own_piece is null").select("value")
+    joined = pieces.join(parts, key).groupBy("file", "own_begin", "own_piece").agg(F.array_sort(F.collect_list(F.struct("begin", "piece", "value"))).alias("p"))
+    joined = joined.select(F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["value"])).alias("value"))
+    return whole.unionByName(joined).mapInPandas(parse, schema)
 
 
 def op10(pages: DataFrame) -> DataFrame:
