@@ -67,7 +67,8 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame, key: str, text: str) -
 def bm25_scores(queries: DataFrame, pool: DataFrame, key: str, text: str, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """(query_id, key, bm25) over a pool (query_id, key, text), or over one pool for all queries (key, text).
 
-    Corpus statistics are the pool's; repeated query words count again; all of the pool is scored. A text is read once for its
+    Corpus statistics are the pool's; repeated query words count again. A query's own pool is scored whole, with zeros; of a pool
+    for all queries only texts with one of the query's words have rows. A text is read once for its
     length and the queries' tokens; what is shuffled has a row for each of these tokens in each text.
     """
     own = ["query_id"] if "query_id" in pool.columns else []
@@ -81,8 +82,9 @@ def bm25_scores(queries: DataFrame, pool: DataFrame, key: str, text: str, k1: fl
     weights = weights.select("query_id", "token", "times", idf.alias("idf"), "avg_len")
     norm = F.col("tf") + k1 * (1 - b + b * F.try_divide(F.col("len"), F.col("avg_len")))
     scored = tf.join(weights, [*own, "token"]).groupBy("query_id", key).agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("bm25"))
-    every = pool.select("query_id", key) if own else pool.select(key).join(queries.select("query_id"))
-    return every.join(scored, ["query_id", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+    if not own:
+        return scored
+    return pool.select("query_id", key).join(scored, ["query_id", key], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
 
 
 def dense_scores(queries: DataFrame, chunks: DataFrame, key: str, vec: str, query_vec: str = "query_vec") -> DataFrame:

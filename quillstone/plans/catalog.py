@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import audit, evaluation, research, retrieval
+from quillstone.plans import audit, coverage, evaluation, lexical, research, retrieval, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.Q, **research.Q, **audit.Q, **evaluation.Q}
-ORACLES: dict[str, str] = {**retrieval.O, **research.O, **audit.O, **evaluation.O}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval.Q, **research.Q, **audit.Q, **evaluation.Q, **lexical.Q, **vectors.Q, **coverage.Q}
+ORACLES: dict[str, str] = {**retrieval.O, **research.O, **audit.O, **evaluation.O, **lexical.O, **vectors.O, **coverage.O}

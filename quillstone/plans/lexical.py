@@ -45,7 +45,8 @@ h1 AS (SELECT token, r1, r2, CASE WHEN s = '' OR len(w) - len(s) < CASE WHEN s =
 i1 AS (SELECT *, regexp_extract(w, '(ement|ance|ence|able|ible|ment|ant|ent|ism|ate|iti|ous|ive|ize|ion|al|er|ic)$') AS s FROM h1),
 j1 AS (SELECT token, r1, r2, CASE WHEN s = '' OR len(w) - len(s) < r2 OR s = 'ion' AND NOT regexp_matches(w, '[st]ion$') THEN w ELSE w[:len(w) - len(s)] END AS w FROM i1),
 k1 AS (SELECT token, replace(CASE WHEN w LIKE '%e' AND (len(w) > r2 OR len(w) > r1 AND NOT regexp_matches(w, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])e$')) OR w LIKE '%ll' AND len(w) > r2 THEN w[:-2] ELSE w END, 'Y', 'y') AS lexeme FROM j1),
-lexemes AS (SELECT token, CASE WHEN token IN ('sky', 'news', 'howe', 'atlas', 'cosmos', 'bias', 'andes') THEN token ELSE lexeme END AS lexeme FROM k1
+lexemes AS (SELECT token, CASE WHEN token IN ('sky', 'news', 'howe', 'atlas', 'cosmos', 'bias', 'andes') THEN token WHEN token IN ('dying', 'lying', 'tying') THEN token[1:1] || 'ie' WHEN token = 'skis' THEN 'ski' WHEN token = 'skies' THEN 'sky'
+  WHEN token = 'idly' THEN 'idl' WHEN token IN ('gently', 'singly') THEN token[:-2] WHEN token IN ('ugly', 'early', 'only') THEN token[:-2] || 'i' ELSE lexeme END AS lexeme FROM k1
   UNION ALL SELECT token, token FROM vocabulary WHERE len(token) <= 2 AND token NOT IN ({_STOP})),
 queries AS (SELECT DISTINCT query_id, lexeme FROM asked JOIN lexemes USING (token)),
 occurs AS (SELECT query_id, doc_id, p, lexeme FROM placed JOIN lexemes USING (token) JOIN queries USING (lexeme))"""
@@ -74,10 +75,10 @@ def cover_density_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("cover_density_every", f"""WITH {STEMS}, whole AS (SELECT query_id, count(*) AS n FROM queries GROUP BY ALL),
-firsts AS (SELECT o.*, q.lexeme AS other, max(o2.p) AS last FROM occurs o JOIN queries q USING (query_id) JOIN occurs o2 ON o2.query_id = o.query_id AND o2.doc_id = o.doc_id AND o2.lexeme = q.lexeme AND o2.p <= o.p GROUP BY ALL),
+firsts AS (SELECT o.query_id, o.doc_id, o.p, q.lexeme AS other, max(o2.p) AS last FROM occurs o JOIN queries q USING (query_id) JOIN occurs o2 ON o2.query_id = o.query_id AND o2.doc_id = o.doc_id AND o2.lexeme = q.lexeme AND o2.p <= o.p GROUP BY o.query_id, o.doc_id, o.p, q.lexeme),
 opened AS (SELECT query_id, doc_id, p, min(last) AS a FROM firsts JOIN whole USING (query_id) GROUP BY query_id, doc_id, p, n HAVING count(*) = n),
 covers AS (SELECT query_id, doc_id, a, min(p) AS b FROM opened GROUP BY ALL),
-noise AS (SELECT c.query_id, c.doc_id, c.a, c.b, c.b - c.a - (count(*) - 1) AS alien FROM covers c JOIN occurs o ON o.query_id = c.query_id AND o.doc_id = c.doc_id AND o.p BETWEEN c.a AND c.b GROUP BY ALL)
+noise AS (SELECT c.query_id, c.doc_id, c.a, c.b, c.b - c.a - (count(*) - 1) AS alien FROM covers c JOIN occurs o ON o.query_id = c.query_id AND o.doc_id = c.doc_id AND o.p BETWEEN c.a AND c.b GROUP BY c.query_id, c.doc_id, c.a, c.b)
 SELECT query_id, doc_id, count(*) AS covers, floor(sum(0.1::DOUBLE / (1 + alien)) * 1e6 + 0.5) / 1e6 AS density FROM noise GROUP BY ALL""")
 def cover_density_every(spark: SparkSession, d: str) -> DataFrame:
     """All of a query's lexemes: every document that holds them, by the length of their covers."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillstone.functions.numbers import cut6, delay_days, growth, period_label
 from quillstone.operators import asof, facts, passages, stats, studies
@@ -450,6 +449,6 @@ def constituents(spark: SparkSession, d: str) -> DataFrame:
     """The filers with the shortest (long) and longest (short) latest annual report."""
     rows = S.filings(spark, d).where("base_form = '10-K' and not is_amendment")
     k = asof.latest_filing(rows, ["company"], "available_at", ("id",)).select("company", "id", "n_chars")
-    w = Window.partitionBy()
-    r = k.select("company", "id", F.row_number().over(Window.orderBy("n_chars", "company")).alias("low"), F.row_number().over(Window.orderBy(F.desc("n_chars"), "company")).alias("high"), F.least(F.lit(8), F.floor(F.count("*").over(w) / 2)).alias("n"))
-    return r.where("low <= n or high <= n").select("company", "id", F.when(F.col("low") <= F.col("n"), "long").otherwise("short").alias("side"))
+    n = min(8, k.count() // 2)
+    end = lambda order, side: k.orderBy(order, "company").limit(n).select("company", "id", F.lit(side).alias("side"))
+    return end(F.asc("n_chars"), "long").unionByName(end(F.desc("n_chars"), "short"))
