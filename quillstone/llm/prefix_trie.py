@@ -113,10 +113,9 @@ def owned_depths(known: DataFrame, least: int) -> DataFrame:
     start = known.groupBy("conv").agg(F.max("depth").alias("len"))
     state = start.select("conv", "len", F.lit(0).cast("long").alias("low"), F.lit(least).cast("long").alias("owner"), (F.col("len") + 1).alias("high"))
     state = cut(state.where(F.col("conv") != least), "trie-state")
-    while True:
-        widest = state.agg(F.max(F.col("high") - F.col("low"))).first()[0]
-        if widest is None or widest <= 1:
-            break
+    widest = state.agg(F.max("high")).first()[0] or 0  # a round halves what is open
+    while widest > 1:
+        widest = (widest + 1) // 2
         mid = F.floor((F.col("low") + F.col("high")) / 2).cast("long")
         asked = state.where("high - low > 1").withColumn("depth", mid).join(known.select("conv", "depth", "digest"), ["conv", "depth"])
         met = asked.join(minima, ["depth", "digest"], "left").withColumn("own", F.coalesce(F.col("least") == F.col("conv"), F.lit(True)))
