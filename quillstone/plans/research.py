@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.numbers import cut6, delay_days, growth, period_label
 from quillstone.operators import asof, facts, passages, stats, studies
 from quillstone.plans import standins as S
+from quillstone.sources import scratch
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -109,9 +110,12 @@ _CHANGES = f"""{_PRINTS}, changes AS (SELECT coalesce(a.id, b.id) AS id, coalesc
  FROM (SELECT c.id, p.section, p.prints FROM comparable c JOIN prints p ON p.id = c.id WHERE c.prior_id IS NOT NULL) a FULL JOIN (SELECT c.id, p.section, p.prints FROM comparable c JOIN prints p ON p.id = c.prior_id) b ON a.id = b.id AND a.section = b.section)"""
 
 
+def _section_prints(spark: SparkSession, d: str) -> DataFrame:
+    return S.passages(spark, d).groupBy("id", "section").agg(F.collect_set(S.print_of(F.col("passage"))).alias("prints"))
+
+
 def _changes(spark: SparkSession, d: str) -> DataFrame:
-    prints = S.passages(spark, d).groupBy("id", "section").agg(F.collect_set(S.print_of(F.col("passage"))).alias("prints"))
-    return passages.section_changes(_pairs(spark, d), prints)
+    return passages.section_changes(scratch.kept(_pairs(spark, d), "pairs"), _section_prints(spark, d))
 
 
 @query("section_novelty", f"WITH {S.FILINGS}, {S.COMPARABLE}, {_CHANGES} SELECT id, section, {six_sql('novelty')} FROM changes WHERE novelty IS NOT NULL")
@@ -158,11 +162,11 @@ panel AS (SELECT f.id, f.company, f.form_type, f.period_end::VARCHAR AS period_e
 def _panel(spark: SparkSession, d: str) -> DataFrame:
     f = S.filings(spark, d)
     rows = asof.amendment_policy(asof.visible(f, AS_OF), "exclude").drop("text")
-    pairs = asof.comparable_filings(f, f)
+    pairs, sections = scratch.kept(asof.comparable_filings(f, f), "pairs"), scratch.kept(_section_prints(spark, d), "prints")  # each has several readers
     elements = S.passages(spark, d)
-    prints = elements.groupBy("id").agg(F.collect_set(S.print_of(F.col("passage"))).alias("prints"))
+    prints = sections.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("prints"))).alias("prints"))
     similar = passages.document_similarity(pairs.select("id", "prior_id"), prints).select("id", "similarity")
-    risk = _changes(spark, d).where("section = 'S1'").select("id", F.col("added").alias("risk_added"), F.col("removed").alias("risk_removed"))
+    risk = passages.section_changes(pairs, sections).where("section = 'S1'").select("id", F.col("added").alias("risk_added"), F.col("removed").alias("risk_removed"))
     length = passages.length_features(elements, "id", "passage", "element_type").select("id", "n_tokens", "table_density")
     prior = f.select(F.col("id").alias("prior_id"), F.col("available_at").alias("prior_at"))
     out = rows.join(pairs, "id").join(prior, "prior_id", "left").join(length, "id", "left").join(similar, "id", "left").join(risk, "id", "left")
