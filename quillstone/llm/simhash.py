@@ -120,7 +120,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     at a variant are compared on all 64 bits, and a task sends on what connects its links, never its pairs. At a variant
     meet 49 * 2^16 fingerprints at most, and by chance almost none.
     """
-    met = variants(fps, radius).repartition("variant").sortWithinPartitions("variant")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes 196: few small partitions would be few long tasks
+    met = variants(fps.repartition(tasks, "fp"), radius).repartition("variant").sortWithinPartitions("variant")
     return met.mapInPandas(_meet(radius), STAR)
 
 
