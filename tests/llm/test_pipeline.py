@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 from helpers import FOLDER, needs_tables
 from pyspark.sql import functions as F
 
@@ -16,14 +17,14 @@ def test_queries_and_oracles(spark):
     from quillstone.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     for name, run in queries.QUERIES.items():
         df = run(spark, FOLDER).toPandas()
         assert len(df) > 0, name
         if name in queries.ORACLES:
             want = con.sql(queries.ORACLES[name]).df()
-            plain = lambda d: sorted(tuple("" if v is None or v != v else str(float(v)) if isinstance(v, (int, float)) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False, name=None))
+            plain = lambda d: sorted(tuple("" if v is None or pd.isna(v) else str(float(v)) if isinstance(v, (int, float, np.number)) else str(v) for v in r) for r in d[sorted(d.columns)].itertuples(index=False, name=None))
             assert plain(df) == plain(want), name
 
 
