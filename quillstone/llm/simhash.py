@@ -121,7 +121,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     meet 49 * 2^16 fingerprints at most, and by chance almost none.
     """
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a row becomes 196: few small partitions would be few long tasks
-    met = variants(fps.repartition(tasks, "fp"), radius).repartition("variant").sortWithinPartitions("variant")
+    met = variants(fps.repartition(tasks, F.xxhash64("fp")), radius).repartition("variant").sortWithinPartitions("variant")
     return met.mapInPandas(_meet(radius), STAR)
 
 
