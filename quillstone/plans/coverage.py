@@ -26,7 +26,8 @@ starts AS (SELECT request, file, reach, last FROM (SELECT q.request, f.file, f.b
 
 
 def _spans(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = S.table(spark, d, "events").withColumn("a", F.unix_seconds(F.col("ts").cast("timestamp")))
+    # to the nearest second, halves to even, as the SQL's cast does
+    e = S.table(spark, d, "events").withColumn("a", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long"))
     files = e.where("event_type <> 'error'").select(F.col("user_id").alias("group"), F.col("a").alias("first"), (F.col("a") + F.floor(F.col("value") * 3600)).alias("last"), F.concat("event_type", F.col("event_id").cast("string")).alias("file"))
     asks = e.where("event_type = 'error'").select(F.col("user_id").alias("group"), F.col("a").alias("first"), (F.col("a") + 43200).alias("last"), F.col("event_id").alias("request"))
     return files, asks

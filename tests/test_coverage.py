@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillstone.operators import coverage
 
 FILE, REQUEST = "`group` string, first long, last long, file string", "`group` string, first long, last long, request long"
@@ -60,3 +62,25 @@ def test_long_chain_and_no_files(spark):
     got = sorted((r["request"], r["nth"], r["file"]) for r in coverage.smallest_cover(f, q).collect())
     assert got == [(1, i + 1, f"{i:04d}") for i in range(300)] + [(2, 1, "0000")]
     assert coverage.smallest_cover(f.where("false"), q).count() == 0 and coverage.containing(f.where("false"), q).where("file is null").count() == 3
+
+
+def _same_as_sql(spark, folder, name, rows):
+    """A registered query and its SQL over events (event_id, ts, user_id, event_type, value)."""
+    import duckdb
+    from oracle import assert_same
+
+    from quillstone.plans import coverage as plans
+
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    got = plans.Q[name](spark, str(folder)).toPandas()
+    assert_same(got, con.sql(plans.O[name]).df())
+    return got
+
+
+def test_containing_takes_the_nearest_second(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:10.4", 1, "error", 0.0), (2, "2024-01-01 00:00:10.6", 1, "click", 99.0), (3, "2024-01-01 00:00:20.5", 2, "error", 0.0), (4, "2024-01-01 00:00:20.4", 2, "view", 12.0), (5, "2024-01-01 00:00:21.5", 3, "error", 0.0), (6, "2024-01-01 00:00:21.9", 3, "view", 12.0)]
+    got = _same_as_sql(spark, tmp_path, "span_containing", rows)
+    assert {r.request: r.file for r in got.itertuples()} == {1: None, 3: "view4", 5: "view6"}
