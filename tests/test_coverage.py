@@ -84,3 +84,10 @@ def test_containing_takes_the_nearest_second(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:10.4", 1, "error", 0.0), (2, "2024-01-01 00:00:10.6", 1, "click", 99.0), (3, "2024-01-01 00:00:20.5", 2, "error", 0.0), (4, "2024-01-01 00:00:20.4", 2, "view", 12.0), (5, "2024-01-01 00:00:21.5", 3, "error", 0.0), (6, "2024-01-01 00:00:21.9", 3, "view", 12.0)]
     got = _same_as_sql(spark, tmp_path, "span_containing", rows)
     assert {r.request: r.file for r in got.itertuples()} == {1: None, 3: "view4", 5: "view6"}
+
+
+def test_cover_takes_the_nearest_second(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:01:40.4", 1, "error", 0.0), (2, "2024-01-01 00:01:40.4", 1, "click", 5.0), (3, "2024-01-01 05:01:41.6", 1, "view", 9.0)]
+    rows += [(4, "2024-01-01 00:01:40.4", 2, "error", 0.0), (5, "2024-01-01 00:01:40.4", 2, "click", 5.0), (6, "2024-01-01 05:01:41.4", 2, "view", 9.0)]
+    got = _same_as_sql(spark, tmp_path, "span_cover", rows)
+    assert {(r.request, r.n_files, r.nth, r.file) for r in got.itertuples()} == {(4, 2, 1, "click5"), (4, 2, 2, "view6")}
