@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillstone.sources.scratch import kept
+
+#: Values that a bootstrap draws at a time, and sums of draws that a task holds before it sends them on.
+DRAWN, HELD_SUMS = 1 << 18, 1 << 20
+
 
 def average_rank(value: str, keys: Iterable[str] = ()) -> Column:
     """Rank by value within keys; ties share their mean rank."""
@@ -19,6 +28,37 @@ def average_rank(value: str, keys: Iterable[str] = ()) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(peers) - 1) / 2.0
 
 
+def _key(keys: Iterable[str]) -> Column:
+    """The keys as one column that is never null; null keys equal each other."""
+    return F.struct(*keys, F.lit(0).alias("all_")).alias("key_")
+
+
+def _below(counts: DataFrame, value: str) -> DataFrame:
+    """counts (key_, value, n_), a row for each distinct value, with below_, the sum of n_ over smaller values of the key, total_ and part_.
+
+    Values are dealt to ranges of (key, value) and written with the number of their range; sums of ranges are prefixed, and each window
+    holds one range of one key, so that a key of any size is many tasks. Later ranges of a key have greater values.
+    """
+    placed = kept(counts.repartitionByRange("key_", value).withColumn("part_", F.spark_partition_id()), "ranges")
+    sums, of_key = placed.groupBy("part_", "key_").agg(F.sum("n_").alias("in_")), Window.partitionBy("key_")
+    before = F.sum("in_").over(of_key.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    side = sums.select("part_", "key_", F.coalesce(before, F.lit(0)).alias("before_"), F.sum("in_").over(of_key).alias("total_"))
+    own = F.sum("n_").over(Window.partitionBy("part_", "key_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.join(side, ["part_", "key_"]).withColumn("below_", F.col("before_") + F.coalesce(own, F.lit(0))).drop("before_")
+
+
+def _shared_rank(counts: DataFrame, value: str) -> DataFrame:
+    """(key_, value, rank_): the mean rank of a value's rows."""
+    return _below(counts, value).select("key_", value, (F.col("below_") + (F.col("n_") + 1) / 2.0).alias("rank_"))
+
+
+def average_ranks(df: DataFrame, value: str, keys: Iterable[str] = (), out: str = "avg_rank") -> DataFrame:
+    """df with average_rank() of its rows, for keys of any size: distinct values are ranked, not rows. Nulls come first and tie."""
+    rows = df.withColumn("key_", _key(keys))
+    ranks = _shared_rank(rows.groupBy("key_", F.col(value).alias("v_")).agg(F.count("*").alias("n_")), "v_").withColumnRenamed("key_", "k_")
+    return rows.join(ranks, (F.col("key_") == F.col("k_")) & F.col(value).eqNullSafe(F.col("v_"))).select(*df.columns, F.col("rank_").alias(out))
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """(keys, n, ic, t_stat): Pearson's correlation of average ranks; null under 3 rows or without variance; t null at |ic| = 1."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -95,14 +135,20 @@ def signal_correlations(zs: DataFrame, entity: str, signal: str, order: list[str
 
 
 def benjamini_hochberg(df: DataFrame, p: str, keys: Iterable[str] = (), out: str = "p_adjusted") -> DataFrame:
-    """Step-up adjusted p-values: the running minimum of p m / rank from the largest; null p stays null."""
-    keys = list(keys)
-    known = F.col(p).isNotNull()
-    w = Window.partitionBy(*keys, known)
-    rank = F.row_number().over(w.orderBy(p))
-    rows = df.withColumn("raw_", F.when(known, F.col(p) * F.count(p).over(w) / rank))
-    low = F.min("raw_").over(w.orderBy(F.asc(p)).rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return rows.withColumn(out, F.when(known, F.least(F.lit(1.0), low))).drop("raw_")
+    """Step-up adjusted p-values: the running minimum of p m / rank from the largest; null p stays null.
+
+    Equal p have the rank of their last, whose value is the least. Distinct values are ranked by ranges; the minimum runs from the end of
+    a range, and the least of the ranges after it is added.
+    """
+    rows = df.withColumn("key_", _key(keys))
+    counts = rows.where(F.col(p).isNotNull()).groupBy("key_", F.col(p).alias("p_")).agg(F.count("*").alias("n_"))
+    raw = _below(counts, "p_").withColumn("raw_", F.col("p_") * F.col("total_") / (F.col("below_") + F.col("n_")))
+    least = raw.groupBy("part_", "key_").agg(F.min("raw_").alias("least_"))
+    after = F.min("least_").over(Window.partitionBy("key_").orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1))
+    here = F.min("raw_").over(Window.partitionBy("part_", "key_").orderBy(F.desc("p_")).rowsBetween(Window.unboundedPreceding, 0))
+    low = raw.join(least.select("part_", "key_", after.alias("after_")), ["part_", "key_"])
+    low = low.select(F.col("key_").alias("k_"), "p_", F.least(F.lit(1.0), here, "after_").alias("low_"))
+    return rows.join(low, (F.col("key_") == F.col("k_")) & (F.col(p) == F.col("p_")), "left").select(*[c for c in df.columns if c != out], F.col("low_").alias(out))
 
 
 def rounded_index(n: int, share: float) -> int:
