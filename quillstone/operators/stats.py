@@ -60,11 +60,17 @@ def average_ranks(df: DataFrame, value: str, keys: Iterable[str] = (), out: str
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """(keys, n, ic, t_stat): Pearson's correlation of average ranks; null under 3 rows or without variance; t null at |ic| = 1."""
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*keys, average_rank(x, keys).alias("rx"), average_rank(y, keys).alias("ry"))
-    n, sx, sy = F.count("*").cast("double"), F.sum("rx"), F.sum("ry")
-    sums = ranked.groupBy(*keys).agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), F.sum(F.col("rx") * F.col("ry")).alias("sxy"), F.sum(F.col("rx") * F.col("rx")).alias("sxx"), F.sum(F.col("ry") * F.col("ry")).alias("syy"))
+    """(keys, n, ic, t_stat): Pearson's correlation of average ranks; null under 3 rows or without variance; t null at |ic| = 1.
+
+    Equal pairs are counted first; the distinct values of x and of y are ranked by ranges, and the ranks joined to the pairs.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(_key(keys), F.col(x).alias("x_"), F.col(y).alias("y_"))
+    pairs = kept(rows.groupBy("key_", "x_", "y_").agg(F.count("*").alias("n_")), "pairs")
+    ranks = lambda v, r: _shared_rank(pairs.groupBy("key_", v).agg(F.sum("n_").alias("n_")), v).withColumnRenamed("rank_", r)
+    ranked = pairs.join(ranks("x_", "rx"), ["key_", "x_"]).join(ranks("y_", "ry"), ["key_", "y_"])
+    total = lambda *of: F.sum(math.prod(map(F.col, of), start=F.col("n_")))
+    sums = ranked.groupBy(*(["key_"] if keys else [])).agg(F.coalesce(total(), F.lit(0)).cast("double").alias("n"), total("rx").alias("sx"), total("ry").alias("sy"), total("rx", "ry").alias("sxy"), total("rx", "rx").alias("sxx"), total("ry", "ry").alias("syy"))
+    sums = sums.select(*[F.col("key_")[k].alias(k) for k in keys], "n", "sx", "sy", "sxy", "sxx", "syy")
     top = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     ic = F.when((F.col("n") >= 3) & (vx > 0) & (vy > 0), F.try_divide(top, F.sqrt(vx * vy)))

@@ -40,3 +40,18 @@ def test_a_key_is_ranked_by_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sorted(map(str, got)) == sorted(map(str, df.select("k", "x", stats.average_rank("x", ["k"]).alias("avg_rank")).groupBy("k", "x", "avg_rank").count().collect()))
+
+
+def test_correlation_windows_hold_no_whole_key(spark):
+    rng = random.Random(9)
+    rows = [("w" if i % 3 else None, float(rng.randint(0, 30)), rng.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    got = {r["k"]: r for r in stats.spearman(df, "x", "y", ["k"]).collect()}
+    for k in ("w", None):
+        x, y = [r[1] for r in rows if r[0] == k], [r[2] for r in rows if r[0] == k]
+        rank = lambda v: [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+        rx, ry, mean = rank(x), rank(y), (len(x) + 1) / 2
+        top, vx, vy = (sum((a - mean) * (b - mean) for a, b in zip(p, q, strict=True)) for p, q in ((rx, ry), (rx, rx), (ry, ry)))
+        assert got[k]["n"] == len(x) and got[k]["ic"] == pytest.approx(top / (vx * vy) ** 0.5)
+    windows = [line for line in plan(stats.spearman(df, "x", "y", ["k"])).split("\n") if "Window [" in line]
+    assert windows and all("part_" in w for w in windows)
