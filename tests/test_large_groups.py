@@ -55,3 +55,13 @@ def test_correlation_windows_hold_no_whole_key(spark):
         assert got[k]["n"] == len(x) and got[k]["ic"] == pytest.approx(top / (vx * vy) ** 0.5)
     windows = [line for line in plan(stats.spearman(df, "x", "y", ["k"])).split("\n") if "Window [" in line]
     assert windows and all("part_" in w for w in windows)
+
+
+def test_events_meet_days_not_each_other(spark):
+    from quillstone.operators import asof
+
+    events = spark.createDataFrame([("T", i, f"2024-01-0{1 + i % 3} 12:00:00") for i in range(60)] + [("T", 60, "2024-02-01 12:00:00")], "ticker string, id int, at string").select("ticker", "id", F.col("at").cast("timestamp").alias("available_at"))
+    bars = spark.createDataFrame([("T", "2024-01-02"), ("T", "2024-01-05")], "ticker string, date string").withColumn("date", F.to_date("date"))
+    got = asof.event_sessions(events, bars)
+    assert {r["id"]: r["session"] for r in got.collect()} == {i: int(i % 3 == 2) for i in range(60)}
+    assert all(" id#" not in line for line in plan(got).split("\n") if "Window [" in line)
