@@ -113,16 +113,17 @@ def winsorise(df: DataFrame, value: str, p: float, keys: list[str], out: str = "
 
 def zscore(df: DataFrame, value: str, cell: list[str], sign: Column | float = 1.0, out: str = "z") -> DataFrame:
     """Sign-aligned population z-scores within cells; rows of cells under 2 or without spread go."""
-    w = Window.partitionBy(*cell)
     s = F.lit(sign) if isinstance(sign, float) else sign
-    rows = df.where(F.col(value).isNotNull()).withColumns({"mean_": F.avg(value).over(w), "sd_": F.stddev_pop(value).over(w), "n_": F.count("*").over(w)})
-    return rows.where((F.col("n_") >= 2) & (F.col("sd_") > 0)).withColumn(out, s * (F.col(value) - F.col("mean_")) / F.col("sd_")).drop("mean_", "sd_", "n_")
+    rows = df.where(F.col(value).isNotNull()).withColumn("key_", _key(cell))
+    cells = rows.groupBy("key_").agg(F.avg(value).alias("mean_"), F.stddev_pop(value).alias("sd_"), F.count("*").alias("n_")).where("n_ >= 2 and sd_ > 0")
+    return rows.join(cells, "key_").withColumn(out, s * (F.col(value) - F.col("mean_")) / F.col("sd_")).drop("key_", "mean_", "sd_", "n_")
 
 
 def sector_neutral_zscore(df: DataFrame, value: str, period: str, signal: str, sector: str, min_group: int = 4, sign: Column | float = 1.0) -> DataFrame:
     """z-scores within (period, signal, sector); unknown and thin sectors are pooled by period and signal."""
-    size = F.count("*").over(Window.partitionBy(period, signal, sector))
-    own = df.where(F.col(value).isNotNull()).withColumn("cell_", F.when((F.coalesce(F.col(sector), F.lit("Unknown")) != "Unknown") & (size >= min_group), F.col(sector)).otherwise("__pool__"))
+    rows = df.where(F.col(value).isNotNull()).withColumn("key_", _key([period, signal, sector]))
+    rows = rows.join(rows.groupBy("key_").agg(F.count("*").alias("size_")), "key_")
+    own = rows.withColumn("cell_", F.when((F.coalesce(F.col(sector), F.lit("Unknown")) != "Unknown") & (F.col("size_") >= min_group), F.col(sector)).otherwise("__pool__")).drop("key_", "size_")
     return zscore(own, value, [period, signal, "cell_"], sign).drop("cell_")
 
 

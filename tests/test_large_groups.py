@@ -57,6 +57,13 @@ def test_correlation_windows_hold_no_whole_key(spark):
     assert windows and all("part_" in w for w in windows)
 
 
+def test_scores_without_windows(spark):
+    df = spark.createDataFrame([("p", "s", None if i == 3 else "t", float(i)) for i in range(12)], "period string, signal string, sector string, x double")
+    got = stats.zscore(df, "x", ["period", "signal"])
+    assert "Window" not in plan(got) and got.agg(F.sum("z")).first()[0] == pytest.approx(0)
+    assert "Window" not in plan(stats.sector_neutral_zscore(df, "x", "period", "signal", "sector"))
+
+
 def test_events_meet_days_not_each_other(spark):
     from quillstone.operators import asof
 
