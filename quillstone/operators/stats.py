@@ -203,22 +203,54 @@ def bootstrap_large(df: DataFrame, value: str, key: str, row: str, draws: int =
     """(key, n, mean, low, high, p): bootstrap intervals of means of samples of any size.
 
     In each draw a row counts as often as a Poisson weight of mean 1 says, which a hash of the draw and of `row`, the row's
-    name, gives; so a draw is two sums, added up before they are shuffled, and a key's sample never meets in one task. One hash
-    serves four draws. Null values don't count; a draw of no rows has no mean. What is sorted are a key's draws.
+    name, gives; so a draw is two sums, added up in a task before they are shuffled, and a key's sample never meets in one task. One hash
+    serves four draws, and all keys of a row that stand in one batch. Null values don't count; a draw of no rows has no mean. What is sorted are a key's draws.
     """
     if draws % 4:
         raise ValueError("draws is a multiple of four")
-    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x_"), F.explode(F.sequence(F.lit(0), F.lit(draws // 4 - 1))).alias("block_"), F.col(row).cast("string").alias("row_"))
-    rows = rows.withColumn("hash_", F.md5(F.concat_ws("|", "block_", "row_").cast("binary")))
-    names, sums = [], [F.count("*").alias("n"), F.sum("x_").alias("whole_")]
-    for part in range(4):
-        u = F.conv(F.substring("hash_", 8 * part + 1, 8), 16, 10).cast("long")
-        weight = sum((F.when(u >= t, 1).otherwise(0) for t in poisson_thresholds()), F.lit(0))
-        sums += [F.sum(weight).alias(f"w{part}_"), F.sum(weight * F.col("x_")).alias(f"s{part}_")]
-        names.append(F.when(F.col(f"w{part}_") > 0, F.col(f"s{part}_") / F.col(f"w{part}_")))
-    by_block = rows.groupBy(key, "block_").agg(*sums)
-    means = F.array_sort(F.flatten(F.collect_list(F.filter(F.array(*names), lambda m: m.isNotNull()))))
-    found = by_block.groupBy(key).agg(F.max("n").alias("n"), F.max_by("whole_", F.struct("n", -F.col("block_"))).alias("whole_"), means.alias("m_"))
+    thresholds = np.array([t for t in poisson_thresholds() if t < 2**32], np.uint32)
+    blocks = [str(b).encode() for b in range(draws // 4)]
+    sums = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("weights_", "sums_")]
+    schema = T.StructType([df.schema[key], T.StructField("n_", T.LongType()), T.StructField("x_", T.DoubleType()), *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            got = list(held.values())
+            lists = [pa.array([h[i].tolist() for h in got], pa.list_(pa.float64())) for i in (2, 3)]
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.array([h[0] for h in got], pa.int64()), pa.array([h[1] for h in got], pa.float64()), *lists], names=schema.names)
+            held.clear()
+            return out
+
+        kind = None
+        for whole in batches:
+            kind = whole.column(0).type
+            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                rows = batch.column(2).dictionary_encode("encode")  # a row of several keys is hashed once
+                tails = [b"" if r is None else b"|" + r.encode() for r in rows.dictionary.to_pylist()]
+                hashes = b"".join([hashlib.md5(b + t, usedforsecurity=False).digest() for t in tails for b in blocks])
+                weights = np.searchsorted(thresholds, np.frombuffer(hashes, ">u4").astype(np.uint32), "right").reshape(len(tails), draws).astype(float)
+                at, names = rows.indices.to_numpy(), batch.column(0).dictionary_encode("encode")
+                x, of = batch.column(1).to_numpy(), names.indices.to_numpy()
+                for i, name in enumerate(names.dictionary.to_pylist()):
+                    mine = np.flatnonzero(of == i)
+                    w, h = weights[at[mine]], held.setdefault(name, [0, 0.0, np.zeros(draws), np.zeros(draws)])
+                    h[0], h[1] = h[0] + len(mine), h[1] + float(x[mine].sum())
+                    h[2] += w.sum(0)
+                    h[3] += x[mine] @ w
+                if len(held) * draws > HELD_SUMS:
+                    yield flush(kind)
+        if held:
+            yield flush(kind)
+
+    by_task = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x_"), F.col(row).cast("string").alias("row_")).mapInArrow(run, schema)
+    whole = F.struct(F.col("n_").cast("double").alias("w"), F.col("x_").alias("s"))  # the first sum is that of the sample itself
+    each = F.posexplode(F.concat(F.array(whole), F.zip_with("weights_", "sums_", lambda w, s: F.struct(w.alias("w"), s.alias("s"))))).alias("draw_", "d_")
+    by_draw = by_task.select(key, each).groupBy(key, "draw_").agg(F.sum("d_.w").alias("w_"), F.sum("d_.s").alias("s_"))
+    means = F.array_sort(F.collect_list(F.when((F.col("draw_") > 0) & (F.col("w_") > 0), F.col("s_") / F.col("w_"))))
+    sample = lambda c: F.max(F.when(F.col("draw_") == 0, F.col(c)))
+    found = by_draw.groupBy(key).agg(sample("w_").cast("long").alias("n"), sample("s_").alias("whole_"), means.alias("m_"))
     size, tail = F.size("m_"), (1 - confidence) / 2
     at = lambda share: F.try_element_at("m_", F.bround((size - 1) * F.lit(share)).cast("int") + 1)
     under, over = F.size(F.filter("m_", lambda m: m <= 0)), F.size(F.filter("m_", lambda m: m >= 0))

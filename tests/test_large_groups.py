@@ -72,3 +72,18 @@ def test_events_meet_days_not_each_other(spark):
     got = asof.event_sessions(events, bars)
     assert {r["id"]: r["session"] for r in got.collect()} == {i: int(i % 3 == 2) for i in range(60)}
     assert all(" id#" not in line for line in plan(got).split("\n") if "Window [" in line)
+
+
+def test_large_bootstrap_of_rows_of_several_keys(spark):
+    import hashlib
+
+    rows = [(k, str(i) if i else None, float(i % 9) - 3) for i in range(200) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "k string, id string, x double")
+    got = {r["k"]: r for r in stats.bootstrap_large(df, "x", "k", "id", 8).collect()}
+    means, limits = [], stats.poisson_thresholds()
+    for draw in range(8):
+        w = {i: sum(int(hashlib.md5((f"{draw // 4}|{i}" if i else f"{draw // 4}").encode()).hexdigest()[draw % 4 * 8 :][:8], 16) >= t for t in limits) for i in range(200)}
+        means.append(sum(w[i] * (i % 9 - 3) for i in w) / sum(w.values()))
+    for k in ("a", None):
+        assert got[k]["n"] == 200 and got[k]["low"] == pytest.approx(sorted(means)[0]) and got[k]["high"] == pytest.approx(sorted(means)[-1])
+    assert "explode" not in plan(stats.bootstrap_large(df, "x", "k", "id", 8)).lower().split("mapinarrow")[-1]
