@@ -163,13 +163,21 @@ def rounded_index(n: int, share: float) -> int:
     return max(0, min(n - 1, round((n - 1) * share)))
 
 
-def bootstrap_mean(values: list[float], draws: int, confidence: float, seed: int) -> tuple[float, float, float] | None:
-    """(low, high, p) of the mean by resampling with the seed plus the sample's size."""
-    if not values:
+def bootstrap_mean(values: list[float] | np.ndarray, draws: int, confidence: float, seed: int) -> tuple[float, float, float] | None:
+    """(low, high, p) of the mean by resampling with the seed plus the sample's size.
+
+    The draws are those of random.Random(seed + size).choices: NumPy's generator continues from its state, some values at a time. Sums
+    are taken in extended precision.
+    """
+    sample, n = np.asarray(values, float), len(values)
+    if not n:
         return None
-    rng, n = random.Random(seed + len(values)), len(values)
-    means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(draws))
-    return _interval(means, confidence)
+    *state, at = random.Random(seed + n).getstate()[1]
+    rng = np.random.RandomState()
+    rng.set_state(("MT19937", np.array(state, np.uint32), at))
+    drawn = lambda m: sample[(rng.random_sample(m) * n).astype(np.int64)]
+    mean = lambda: float(sum(np.add.reduce(drawn(min(DRAWN, n - i)), dtype=np.longdouble) for i in range(0, n, DRAWN))) / n
+    return _interval(sorted(mean() for _ in range(draws)), confidence)
 
 
 def _interval(stats: list[float], confidence: float) -> tuple[float, float, float]:
@@ -179,15 +187,40 @@ def _interval(stats: list[float], confidence: float) -> tuple[float, float, floa
 
 
 def bootstrap_by(df: DataFrame, value: str, key: str, order: str, draws: int = 1000, confidence: float = 0.95, seed: int = 17) -> DataFrame:
-    """(key, n, mean, low, high, p): a bootstrap for each key's sample. A sample of events meets in one task; it is a study's, not a corpus's."""
+    """(key, n, mean, low, high, p): a bootstrap for each key's sample.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(order)[value].dropna().tolist()
+    One generator draws from the whole sample by definition, so a sample is one task: Spark sorts it, and the task
+    holds its values alone, eight bytes each.
+    """
+    schema = T.StructType([df.schema[key], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("mean", "low", "high", "p")]])
+
+    def result(name: pa.Scalar, parts: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(parts)
         ci = bootstrap_mean(values, draws, confidence, seed) or (None, None, None)
-        return pd.DataFrame({"key": [pdf[key].iat[0]], "n": [len(values)], "mean": [sum(values) / len(values) if values else None], "low": [ci[0]], "high": [ci[1]], "p": [ci[2]]})
+        mean = float(np.add.reduce(values, dtype=np.longdouble)) / len(values) if len(values) else None
+        row = [pa.array([name.as_py()], name.type), pa.array([len(values)], pa.int64()), *[pa.array([c], pa.float64()) for c in (mean, *ci)]]
+        return pa.RecordBatch.from_arrays(row, names=schema.names)
 
-    kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandas(run, f"key {kind}, n long, mean double, low double, high double, p double").withColumnRenamed("key", key)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts = None, []
+        for batch in batches:
+            runs = batch.column(0).to_pylist()
+            x = batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *[i for i in range(1, len(runs)) if runs[i] != runs[i - 1]], len(runs)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if name is not None and runs[a] != name.as_py():
+                    yield result(name, parts)
+                    parts = []
+                name = batch.column(0)[a]
+                parts.append(x[a:b][~np.isnan(x[a:b])].copy())
+        if name is not None:
+            yield result(name, parts)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by range and as many as asked for, so that few samples aren't joined in one
+    rows = df.select(key, F.col(value).cast("double").alias("x_"), order).repartitionByRange(tasks, key).sortWithinPartitions(key, F.asc_nulls_last(order))
+    return rows.select(key, "x_").mapInArrow(run, schema)
 
 
 def poisson_thresholds(bits: int = 32, most: int = 14) -> list[int]:

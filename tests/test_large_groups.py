@@ -74,6 +74,23 @@ def test_events_meet_days_not_each_other(spark):
     assert all(" id#" not in line for line in plan(got).split("\n") if "Window [" in line)
 
 
+def test_small_bootstrap_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(stats, "DRAWN", 7)
+    values = [random.Random(1).gauss(0, 1) for _ in range(50)]
+    rng = random.Random(17 + 50)
+    means = sorted(sum(rng.choices(values, k=50)) / 50 for _ in range(40))
+    assert stats.bootstrap_mean(values, 40, 0.95, 17)[:2] == (means[1], means[38])
+
+
+def test_small_bootstrap_by_key(spark):
+    rows = [(k, i, None if i % 5 == 0 else float(i)) for k in ("a", None, "b") for i in range(40)] + [("none", 1, None)]
+    df = spark.createDataFrame(rows, "k string, at int, x double").repartition(3)
+    got = {r["k"]: tuple(r)[1:] for r in stats.bootstrap_by(df, "x", "k", "at", 20).collect()}
+    own = [float(i) for i in range(40) if i % 5]
+    assert got.pop("none") == (0, None, None, None, None) and set(got) == {"a", "b", None}
+    assert set(got.values()) == {(32, sum(own) / 32, *stats.bootstrap_mean(own, 20, 0.95, 17))}
+
+
 def test_large_bootstrap_of_rows_of_several_keys(spark):
     import hashlib
 
