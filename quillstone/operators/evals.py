@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 CATEGORIES = ("narrative", "table", "comparison", "temporal", "entity", "risk", "legal", "abstention")
@@ -121,13 +128,39 @@ def contract(questions: DataFrame, splits: dict[str, int], categories: tuple[str
     return n.select(F.explode(F.array(*[F.struct(F.lit(a).alias("rule"), b.alias("ok"), c.alias("detail")) for a, b, c in rules])).alias("r")).select("r.*")
 
 
+def _finder(listed: list[tuple], kind: pa.DataType, names: list[str], at_once: int = 50):
+    """A map over batches of (key, text) to (key, item), called `names`, for listed (item of that kind, quote)."""
+    groups = [listed[i : i + at_once] for i in range(0, len(listed), at_once)]
+    quoted = lambda q: re.sub(r"([^0-9A-Za-z_\x80-\U0010ffff])", lambda m: r"\x00" if m[1] == "\0" else "\\" + m[1], q)
+    any_of = ["|".join(quoted(q) for _, q in g) for g in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, pattern in zip(groups, any_of, strict=True):
+                some = batch.filter(pc.match_substring_regex(batch.column(1), pattern))
+                for item, quote in group if some.num_rows else ():
+                    keys = some.column(0).filter(pc.match_substring(some.column(1), quote))
+                    if len(keys):
+                        yield pa.RecordBatch.from_arrays([keys, pa.array([item] * len(keys), kind)], names=names)
+
+    return run
+
+
 def holding(docs: DataFrame, key: str, quotes: DataFrame, item: str, text: str = "text", quote: str = "quote", run: int = 5, most_short: int = 1_000) -> DataFrame:
     """(key, item) of documents that hold a quote verbatim.
 
+    Up to `most_short` quotes go along as a list: a text is searched once for each fifty of them, as alternatives of one expression
+    in linear time, and what matches is compared with each. Nothing is shuffled. For more quotes:
+
     Whole words from inside a quote are whole words of a text that holds it. So runs of up to `run` inner words meet by
     equality first, and the substring is verified after. Quotes without an inner word (one or two words) can't be looked up
     that way; they are compared with every text, as literal lists of `most_short` each.
     """
+    kind = dict(quotes.dtypes)[item]
+    listed = [(r[0], r[1]) for r in quotes.where(F.col(quote).isNotNull()).select(item, quote).limit(most_short + 1).collect()]
+    if len(listed) <= most_short:
+        rows = docs.where(F.col(text).isNotNull()).select(key, text)
+        return rows.mapInArrow(_finder(listed, to_arrow_type(quotes.schema[item].dataType), [key, item]), T.StructType([rows.schema[key], quotes.schema[item]]))
     w = F.filter(F.split(F.col(quote), r"\s+"), lambda x: x != "")
     q = quotes.where(F.col(quote).isNotNull()).select(item, F.col(quote).alias("q_"), w.alias("w_")).withColumn("n_", F.least(F.lit(run), F.size("w_") - 2))
     keyed = q.where("n_ >= 1").select(item, "q_", "n_", F.xxhash64(F.array_join(F.expr("slice(w_, 2, n_)"), " ")).alias("h_"))
@@ -136,7 +169,7 @@ def holding(docs: DataFrame, key: str, quotes: DataFrame, item: str, text: str =
     runs = F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tw_"))), lambda i: i + n - 1 <= F.size("tw_")), lambda i: F.struct(F.lit(n).alias("n_"), F.xxhash64(F.array_join(F.slice("tw_", i, n), " ")).alias("h_"))) for n in lengths or [run]])))
     met = d.select(key, F.explode(runs).alias("r_")).select(key, "r_.*").join(keyed, ["n_", "h_"]).select(key, item, "q_").distinct()
     long = met.join(d.select(key, "t_"), key).where(F.contains("t_", "q_")).select(key, item)
-    short, kind, out = q.where("n_ < 1").select(item, "q_").collect(), dict(quotes.dtypes)[item], long
+    short, out = q.where("n_ < 1").select(item, "q_").collect(), long
     for i in range(0, len(short), most_short):
         listed = F.array(*[F.struct(F.lit(r[item]).cast(kind).alias(item), F.lit(r["q_"]).alias("q_")) for r in short[i : i + most_short]])
         out = out.unionByName(d.select(key, F.explode(F.filter(listed, lambda s: F.contains(F.col("t_"), s["q_"]))).alias("s_")).select(key, f"s_.{item}"))

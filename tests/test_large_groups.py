@@ -104,3 +104,13 @@ def test_large_bootstrap_of_rows_of_several_keys(spark):
     for k in ("a", None):
         assert got[k]["n"] == 200 and got[k]["low"] == pytest.approx(sorted(means)[0]) and got[k]["high"] == pytest.approx(sorted(means)[-1])
     assert "explode" not in plan(stats.bootstrap_large(df, "x", "k", "id", 8)).lower().split("mapinarrow")[-1]
+
+
+def test_listed_quotes_are_not_shuffled(spark):
+    from quillstone.operators import evals
+
+    docs = spark.createDataFrame([(1, "a b. c\nd"), (1, "a b. c\nd"), (2, "a bx c"), (3, None), (4, "é (x) \\ $ | é")], "id int, text string")
+    quotes = spark.createDataFrame([(10, "b. c\nd"), (11, "a b"), (12, "(x) \\ $ |"), (13, "é"), (14, ""), (15, None), (16, "zz")], "item long, quote string")
+    got = evals.holding(docs, "id", quotes, "item")
+    assert "Join" not in plan(got) and "xplode" not in plan(got)
+    assert sorted((r["id"], r["item"]) for r in got.collect()) == sorted([(1, 10)] * 2 + [(1, 11)] * 2 + [(2, 11), (4, 12), (4, 13)] + [(i, 14) for i in (1, 1, 2, 4)])
