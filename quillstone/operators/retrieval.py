@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillstone.functions import text as X
@@ -18,6 +21,8 @@ RRF_K, BM25_K1, BM25_B = 60, 1.5, 0.75
 MOST_TERMS = 1_000
 #: Query vectors that are one literal row set; more go in blocks of this many.
 QUERY_BLOCK = 256
+#: Chunks and queries that meet in one task of dense_top_k(), and how many of each are multiplied at a time.
+PART_ROWS, PART_QUERIES, TILE = 16_384, 4_096, 1_024
 SCORES = ("dense", "sparse", "hybrid", "rerank")
 
 
@@ -104,6 +109,71 @@ def dense_scores(queries: DataFrame, chunks: DataFrame, key: str, vec: str, quer
     return out
 
 
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors as rows, their norms, which are usable); zeros for those that aren't: null, with a null, of another length."""
+    good = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(column), dims), False))
+    flat = column.filter(pa.array(good)).flatten().cast(pa.float64())
+    rows = flat.to_numpy(zero_copy_only=False).reshape(-1, dims).copy() if dims else np.zeros((good.sum(), 0))
+    holes = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dims).any(1) if flat.null_count else np.zeros(len(rows), bool)
+    rows[holes] = 0
+    out, usable = np.zeros((len(column), dims)), good.copy()
+    out[good], usable[good] = rows, ~holes
+    return out, np.sqrt(np.einsum("ij,ij->i", out, out)), usable
+
+
+def dense_top_k(queries: DataFrame, chunks: DataFrame, key: str, vec: str, k: int, keep: tuple[str, ...] = (), query_vec: str = "query_vec", out: str = "rank") -> DataFrame:
+    """(query_id, key, keep, dense, rank): each query's k chunks of the largest cosine, cut to six decimals, ties to the smaller key.
+
+    The cosine is that of dense_scores(). Blocks of queries and parts of the chunks meet in tasks of bounded size, in which tiles are
+    multiplied as matrices; a task sends on its k best a query. All pairs are compared, which is the product of both tables.
+    """
+    chunks = chunks.select(key, *keep, F.col(vec).cast("array<double>").alias("vec_"))
+    queries = queries.select("query_id", F.col(query_vec).cast("array<double>").alias("asked_"))
+    parts, blocks = max(1, -(-chunks.count() // PART_ROWS)), max(1, -(-queries.count() // PART_QUERIES))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = chunks.withColumn("part_", F.pmod(F.xxhash64(key), F.lit(parts))).withColumn("block_", each(blocks))
+    right = queries.withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part_", each(parts))
+    schema = T.StructType([queries.schema["query_id"], *[chunks.schema[c] for c in (key, *keep)], T.StructField("dense", T.DoubleType())])
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, asked = rows.sort_by(key).combine_chunks(), asked.combine_chunks()
+        vectors, wanted = rows["vec_"].combine_chunks(), asked["asked_"].combine_chunks()
+        lengths, found = np.asarray(pc.fill_null(pc.list_value_length(wanted), 0)), []
+        for dims in np.unique(lengths):
+            own = np.flatnonzero(lengths == dims)
+            x, x_norm, usable = _matrix(vectors, int(dims))
+            q, q_norm, _ = _matrix(wanted.take(pa.array(own)), int(dims))
+            for a in range(0, len(own), TILE):
+                n = len(own[a : a + TILE])
+                floor = np.full(n, -np.inf)  # the k-th best so far: later keys are greater, so ties with it lose
+                best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                for b in range(0, len(x), TILE):
+                    norms = q_norm[a : a + TILE, None] * x_norm[None, b : b + TILE]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        score = q[a : a + TILE] @ x[b : b + TILE].T / norms
+                    score[np.isnan(score)] = 1.0  # as least() of one and no number
+                    score[norms == 0] = 0.0
+                    score[:, ~usable[b : b + TILE]] = 0.0
+                    score = np.floor(np.clip(score, -1, 1) * 1e6 + 0.5) / 1e6
+                    if not b and score.shape[1] > k:
+                        at, col = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+                    else:
+                        at, col = np.nonzero(score > floor[:, None])
+                    best = [np.concatenate(p) for p in zip(best, (at, col + b, score[at, col]), strict=True)]
+                    order = np.lexsort((best[1], -best[2], best[0]))
+                    nth = np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order])
+                    best = [v[order][nth < k] for v in best]
+                    last = nth[nth < k] == k - 1
+                    floor[best[0][last]] = best[2][last]
+                found.append((own[a : a + TILE][best[0]], best[1], best[2]))
+        at, row, score = [np.concatenate(f) for f in zip(*found, strict=True)] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        held = rows.take(pa.array(row))
+        return pa.Table.from_arrays([asked["query_id"].take(pa.array(at)), *[held[c] for c in (key, *keep)], pa.array(score)], names=schema.names)
+
+    best = left.groupBy("part_", "block_").cogroup(right.groupBy("part_", "block_")).applyInArrow(meet, schema)
+    return top_k(best, "dense", key, k, out=out)
+
+
 def pool_size(k: int, filtered: bool) -> int:
     """How many candidates each leg brings: five times k if a filter narrows them, else k; 20 at least."""
     return max(5 * k if filtered else k, 20)

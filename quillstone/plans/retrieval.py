@@ -12,6 +12,7 @@ from quillstone.functions.vectors import hash_slot
 from quillstone.operators import answers, evals, retrieval
 from quillstone.operators.asof import SearchFilters
 from quillstone.plans import standins as S
+from quillstone.sources.scratch import kept
 
 Q: dict = {}
 O: dict[str, str] = {}
@@ -73,20 +74,28 @@ def _dense(spark: SparkSession, d: str, which: str = "vec_id in (0, 1, 2)") -> D
     return scored.select("query_id", "vec_id", "label", cut6(F.col("dense")).alias("dense"))
 
 
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth vector as a query, and all vectors."""
+    e = S.table(spark, d, "embeddings")
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e
+
+
 @query("dense_topk", f"WITH {_ASKED} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense) WHERE rank <= 10")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(_dense(spark, d, "vec_id % 100 = 0"), "dense", "vec_id", 10).select("query_id", "vec_id", F.col("dense").alias("score"), "rank")
+    return retrieval.dense_top_k(*_asked(spark, d), "vec_id", "embedding", 10).select("query_id", "vec_id", F.col("dense").alias("score"), "rank")
 
 
 @query("dense_topk_filtered", f"WITH {_ASKED} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dense WHERE label IN (1, 3, 5)) WHERE rank <= 10")
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(_dense(spark, d, "vec_id % 100 = 0").where(F.col("label").isin(1, 3, 5)), "dense", "vec_id", 10).select("query_id", "vec_id", F.col("dense").alias("score"), "rank")
+    asked, rows = _asked(spark, d)
+    return retrieval.dense_top_k(asked, rows.where(F.col("label").isin(1, 3, 5)), "vec_id", "embedding", 10).select("query_id", "vec_id", F.col("dense").alias("score"), "rank")
 
 
 @query("ann_first_postfilter", f"""WITH {_ASKED}, pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS pool_rank FROM dense) WHERE pool_rank <= 30)
 SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pool WHERE label IN (1, 3, 5)) WHERE rank <= 10""")
 def ann_first_postfilter(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.ann_first(_dense(spark, d, "vec_id % 100 = 0"), "vec_id", 10, F.col("label").isin(1, 3, 5)).select("query_id", "vec_id", F.col("dense").alias("score"), "rank")
+    pool = retrieval.dense_top_k(*_asked(spark, d), "vec_id", "embedding", 30, ("label",), out="pool_rank")
+    return retrieval.top_k(pool.where(F.col("label").isin(1, 3, 5)), "dense", "vec_id", 10).select("query_id", "vec_id", F.col("dense").alias("score"), "rank")
 
 
 _POOL = f"""{_LEX}, {_DENSE},
@@ -294,7 +303,7 @@ def evidence_quotes(spark: SparkSession, d: str) -> DataFrame:
 @query("ann_vs_exact", None)
 def ann_vs_exact(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the post-filtered ANN list against the exact filtered one; pytest compares it with sets."""
-    return evals.ann_recall(dense_topk_filtered(spark, d), ann_first_postfilter(spark, d), "vec_id", 10)
+    return evals.ann_recall(kept(dense_topk_filtered(spark, d), "exact"), kept(ann_first_postfilter(spark, d), "found"), "vec_id", 10)
 
 
 @query("latency_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events)

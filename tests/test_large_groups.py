@@ -114,3 +114,21 @@ def test_listed_quotes_are_not_shuffled(spark):
     got = evals.holding(docs, "id", quotes, "item")
     assert "Join" not in plan(got) and "xplode" not in plan(got)
     assert sorted((r["id"], r["item"]) for r in got.collect()) == sorted([(1, 10)] * 2 + [(1, 11)] * 2 + [(2, 11), (4, 12), (4, 13)] + [(i, 14) for i in (1, 1, 2, 4)])
+
+
+def test_dense_top_k_against_all_scores(spark, monkeypatch):
+    from quillstone.functions.numbers import cut6
+    from quillstone.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PART_ROWS", 40)
+    monkeypatch.setattr(retrieval, "PART_QUERIES", 9)
+    rng = random.Random(3)
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 1.0]]
+    vectors = odd + [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in range(200)]
+    chunks = spark.createDataFrame(list(enumerate(vectors)), "id int, v array<double>").withColumn("label", F.col("id") % 5)
+    asked = chunks.where("id < 30").select(F.col("id").alias("query_id"), F.col("v").alias("query_vec"))
+    got = retrieval.dense_top_k(asked.where("query_vec is not null and query_id <> 3"), chunks, "id", "v", 6, ("label",))
+    scored = retrieval.dense_scores(asked.where("query_vec is not null and query_id <> 3"), chunks, "id", "v").withColumn("dense", cut6(F.col("dense")))
+    want = retrieval.top_k(scored, "dense", "id", 6)
+    row = lambda r: (r["query_id"], r["rank"], r["id"], r["label"], r["dense"])
+    assert sorted(map(row, got.collect())) == sorted(map(row, want.collect()))
