@@ -248,3 +248,20 @@ def test_quality(spark):
     out = {r["id"]: r for r in quality.backfill_availability(b).collect()}
     assert out[1]["is_amendment"] and out[1]["available_at"] == datetime(2024, 1, 3, 6, 1, 26) and out[2]["available_at"] == datetime(2024, 1, 2)
     assert math.isclose(spark.range(1).select(quality.share(F.lit(0), F.lit(0)).alias("s")).first()["s"], 1.0)
+
+
+def test_counts_of_changes_need_no_character_ratio(spark):
+    """Two passages that share no line, of 40,000 characters each: their ratio takes minutes, their count none."""
+    import time
+
+    rng = random.Random(3)
+    text = lambda: "".join(chr(rng.randrange(0x4E00, 0x4E00 + 200)) for _ in range(40_000))
+    p = spark.createDataFrame([(i, "S", 0, text()) for i in range(1, 9)], "id int, section string, reading_order int, text string")
+    pairs = spark.createDataFrame([(i, i - 1) for i in range(2, 9)], "id int, prior_id int")
+    began = time.monotonic()
+    counts = passages.diff_counts(passages.filing_diff(pairs, p)).collect()
+    assert len(counts) == 7 and all((r["added"], r["removed"], r["materially_changed"]) == (0, 0, 1) for r in counts)
+    assert time.monotonic() - began < 30
+    short = spark.createDataFrame([(1, "S", 0, "old words here"), (2, "S", 0, "old words there"), (2, "S", 1, "new")], p.schema)
+    rows = {r["change"]: r["similarity"] for r in passages.filing_diff(pairs.where("id = 2"), short).collect()}
+    assert rows == {"materially_changed": pytest.approx(28 / 29), "added": None}
