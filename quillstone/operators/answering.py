@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from quillstone.functions import text as X
 from quillstone.operators import answers, retrieval
+from quillstone.sources.scratch import kept
+
+#: Chunks and questions that meet in one task of _best_lexical(), and chunks that are counted at a time.
+PART_ROWS, PART_QUESTIONS, SLICE = 4_096, 1_024, 128
 
 
 @dataclass(frozen=True)
@@ -47,19 +56,74 @@ def prepared(questions: DataFrame, chunks: DataFrame, companies: DataFrame, as_o
     return rows.withColumns({"filed_from": F.coalesce("newest", "filed_from"), "filed_to": F.coalesce("newest", "filed_to")}).drop("newest")
 
 
-def candidates(asked: DataFrame, chunks: DataFrame, config: AnswerConfig = AnswerConfig(), as_of: Column | None = None, dense: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, dense, sparse, hybrid, rank, legs): what the text leg and, where asked for, the table leg bring, once each.
+def _best_lexical(asked: DataFrame, chunks: DataFrame, n: int, tables: list[str]) -> DataFrame:
+    """(query_id, chunk_id, leg, sparse): each question's n best chunks that pass its filters, by retrieval.lexical_scores() of its best variant.
 
-    Every variant of a question is searched; a chunk's score is the best of them. Filters are the question's own. dense, if
-    given, has (query_id, chunk_id, dense) and is filtered alike; legs tell which searches brought a chunk.
+    The table leg has those of tables, for questions that are routed to them. Blocks of questions and parts of the chunks meet in tasks of
+    bounded size; a task counts the questions' tokens in its chunks and sends on its n best a question and leg, so scores of pairs
+    are never shuffled. What is shuffled are the chunks' tokens, once a block. Logarithms are rounded to 2^-40, so that sums are exact
+    in any order and ties are ties.
     """
+    terms = answers.variants(asked).groupBy("query_id").agg(F.collect_list(X.distinct_tokens(F.col("query"))).alias("terms"))
+    day = lambda c: F.unix_date(F.col(c).cast("date"))
+    questions = asked.select("query_id", "tickers", "forms", F.array_contains("routes", "tables").alias("tables"), day("filed_from").alias("low"), day("filed_to").alias("high")).join(terms, "query_id")
+    rows = chunks.select("chunk_id", "ticker", "form_type", day("filing_date").alias("day"), F.coalesce(F.col("element_type").isin(tables), F.lit(False)).alias("table"), X.tokens(F.col("text")).alias("tokens"))
+    parts, blocks = max(1, -(-chunks.count() // PART_ROWS)), max(1, -(-asked.count() // PART_QUESTIONS))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    left = rows.withColumn("part_", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("block_", each(blocks))
+    right = questions.withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part_", each(parts))
+    schema = T.StructType([asked.schema["query_id"], chunks.schema["chunk_id"], T.StructField("leg", T.StringType()), T.StructField("sparse", T.DoubleType())])
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        column = lambda t, c: t[c].combine_chunks()
+        lengths = lambda lists: np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        rows = rows.sort_by("chunk_id")  # so that ties go to the smaller key
+        variants = column(asked, "terms").flatten()
+        of_variant, n_terms, words = lengths(column(asked, "terms")), lengths(variants), variants.flatten()
+        wanted = pc.unique(words)
+        code = np.asarray(pc.index_in(words, value_set=wanted)).astype(np.int64)
+        by_code = np.argsort(code, kind="stable")
+        holders, starts = np.repeat(np.arange(len(variants)), n_terms)[by_code], np.searchsorted(code[by_code], np.arange(len(wanted) + 1))
+        score, tokens = np.zeros((len(rows), len(asked))), column(rows, "tokens")
+        for a in range(0, len(rows) if len(wanted) and len(asked) else 0, SLICE):
+            some = tokens.slice(a, SLICE)
+            found = pc.index_in(some.flatten(), value_set=wanted)
+            hit = np.asarray(pc.is_valid(found))
+            pairs = np.repeat(np.arange(len(some)), lengths(some))[hit] * len(wanted) + np.asarray(found.drop_null()).astype(np.int64)
+            pairs, tf = np.unique(pairs, return_counts=True)
+            row, token = pairs // len(wanted), pairs % len(wanted)
+            m = starts[token + 1] - starts[token]
+            at = np.repeat(starts[token] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            sums = np.bincount(np.repeat(row, m) * len(variants) + holders[at], np.repeat(np.rint(np.log1p(tf) * 2**40) / 2**40, m), len(some) * len(variants))
+            score[a : a + SLICE] = np.maximum.reduceat(sums.reshape(len(some), -1) / np.maximum(n_terms, 1), np.cumsum(of_variant) - of_variant, axis=1)
+        ticker, form, days = column(rows, "ticker"), column(rows, "form_type"), np.asarray(pc.cast(column(rows, "day"), pa.float64()).fill_null(np.nan))
+        table, out = np.asarray(column(rows, "table").cast(pa.int8())).astype(bool), []
+        among = lambda c, names: np.asarray(pc.is_in(c, value_set=pa.array(names, c.type)).cast(pa.int8())).astype(bool)
+        for i, q in enumerate(asked.select(["tickers", "forms", "tables", "low", "high"]).to_pylist()):
+            ok = score[:, i] > 0
+            for c, names in ((ticker, q["tickers"]), (form, q["forms"])):
+                ok &= among(c, names) if names else True
+            ok &= (days >= q["low"]) if q["low"] is not None else True
+            ok &= (days <= q["high"]) if q["high"] is not None else True
+            for leg, held in (("text", ok), ("table", ok & table if q["tables"] else None)):
+                if held is not None:
+                    best = np.flatnonzero(held)
+                    best = best[np.argsort(-score[best, i], kind="stable")[:n]]
+                    out.append((np.full(len(best), i), best, [leg] * len(best), score[best, i]))
+        q, r, legs, s = [np.concatenate(c) for c in zip(*out, strict=True)] if out else ([], [], [], [])
+        take = lambda t, c, at: t[c].take(pa.array(at, pa.int64()))
+        return pa.Table.from_arrays([take(asked, "query_id", q), take(rows, "chunk_id", r), pa.array(list(legs), pa.string()), pa.array(s, pa.float64())], names=schema.names)
+
+    met = left.groupBy("part_", "block_").cogroup(right.groupBy("part_", "block_")).applyInArrow(meet, schema)
+    return retrieval.top_k(met, "sparse", "chunk_id", n, ["query_id", "leg"]).drop("rank")
+
+
+def _best_of_both(asked: DataFrame, chunks: DataFrame, n: int, config: AnswerConfig, as_of: Column | None, dense: DataFrame) -> DataFrame:
+    """As _best_lexical(), by the larger of the lexical and the given dense score; lexical scores of all pairs are joined to the dense ones."""
     v = answers.variants(asked).select(F.struct("query_id", "variant_no").alias("query_id"), "query")
     sparse = retrieval.lexical_scores(v, chunks.select("chunk_id", "text"), "chunk_id", "text")
     scored = sparse.groupBy(F.col("query_id.query_id").alias("query_id"), "chunk_id").agg(F.max("sparse").alias("sparse"))
-    if dense is not None:
-        scored = scored.join(dense.select("query_id", "chunk_id", "dense"), ["query_id", "chunk_id"], "full")
-    else:
-        scored = scored.withColumn("dense", F.lit(None).cast("double"))
+    scored = scored.join(dense.select("query_id", "chunk_id", "dense"), ["query_id", "chunk_id"], "full")
     about = _known(chunks, as_of).select("chunk_id", "ticker", "form_type", "filing_date", "element_type")
     wants = asked.select("query_id", "tickers", "forms", "routes", "filed_from", "filed_to")
     rows = scored.join(about, "chunk_id").join(wants, "query_id")
@@ -67,20 +131,37 @@ def candidates(asked: DataFrame, chunks: DataFrame, config: AnswerConfig = Answe
     rows = rows.where(within("tickers", "ticker") & within("forms", "form_type"))
     rows = rows.where((F.col("filed_from").isNull() | (F.col("filing_date") >= F.col("filed_from"))) & (F.col("filed_to").isNull() | (F.col("filing_date") <= F.col("filed_to"))))
     rows = rows.withColumn("score_", F.greatest(F.coalesce("sparse", F.lit(0.0)), F.coalesce("dense", F.lit(0.0))))
-    n = retrieval.pool_size(config.top_k, True)
     text = retrieval.top_k(rows, "score_", "chunk_id", n).withColumn("leg", F.lit("text"))
     table = rows.where(F.col("element_type").isin(list(config.tables)) & F.array_contains("routes", "tables"))
-    both = text.unionByName(retrieval.top_k(table, "score_", "chunk_id", n).withColumn("leg", F.lit("table")))
+    return text.unionByName(retrieval.top_k(table, "score_", "chunk_id", n).withColumn("leg", F.lit("table")))
+
+
+def candidates(asked: DataFrame, chunks: DataFrame, config: AnswerConfig = AnswerConfig(), as_of: Column | None = None, dense: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, dense, sparse, hybrid, rank, legs): what the text leg and, where asked for, the table leg bring, once each.
+
+    Every variant of a question is searched; a chunk's score is the best of them. Filters are the question's own. dense, if
+    given, has (query_id, chunk_id, dense) and is filtered alike; legs tell which searches brought a chunk.
+    """
+    n = retrieval.pool_size(config.top_k, True)
+    if dense is None:
+        both = _best_lexical(asked, _known(chunks, as_of), n, list(config.tables)).withColumn("dense", F.lit(None).cast("double"))
+    else:
+        both = _best_of_both(asked, chunks, n, config, as_of, dense)
     pool = both.groupBy("query_id", "chunk_id").agg(F.max("dense").alias("dense"), F.max("sparse").alias("sparse"), F.array_sort(F.collect_set("leg")).alias("legs"))
     return retrieval.rank(retrieval.fuse_weighted(pool), "hybrid", "chunk_id")
 
 
 def facts_for(asked: DataFrame, facts: DataFrame, config: AnswerConfig = AnswerConfig(), as_of: Column | None = None) -> DataFrame:
-    """(query_id, ticker, concept, value, filed_at): the newest facts of the companies of questions that are routed to facts."""
+    """(query_id, ticker, concept, value, filed_at): the newest facts of the companies of questions that are routed to facts.
+
+    A company's newest facts are taken before questions meet them, so no question meets all of a company's.
+    """
     routed = asked.where(F.array_contains("routes", "financial_facts")).select("query_id", F.explode("tickers").alias("ticker"))
-    rows = routed.join(_known(facts, as_of), "ticker")
-    w = Window.partitionBy("query_id").orderBy(F.desc("filed_at"), "concept", "ticker", F.desc("value"))
-    return rows.withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= config.max_facts).select("query_id", "ticker", "concept", "value", "filed_at")
+    order = [F.desc("filed_at"), F.asc("concept"), F.asc("ticker"), F.desc("value")]
+    newest = _known(facts, as_of).select("ticker", "concept", "value", "filed_at").where("ticker is not null")
+    newest = newest.withColumn("n_", F.row_number().over(Window.partitionBy("ticker").orderBy(*order))).where(F.col("n_") <= config.max_facts).drop("n_")
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return routed.join(newest, "ticker").withColumn("n_", F.row_number().over(w)).where(F.col("n_") <= config.max_facts).select("query_id", "ticker", "concept", "value", "filed_at")
 
 
 def answer(questions: DataFrame, chunks: DataFrame, companies: DataFrame, facts: DataFrame, config: AnswerConfig = AnswerConfig(), as_of: Column | None = None, dense: DataFrame | None = None, generated: DataFrame | None = None) -> DataFrame:
@@ -90,12 +171,12 @@ def answer(questions: DataFrame, chunks: DataFrame, companies: DataFrame, facts:
     filed_at, available_at. Claims are sentences of the evidence, or `generated` (query_id, claim_no, claim, chunk_ids). A question
     whose gate fails, that has no claim, or of which a citation isn't in its evidence or doesn't bear out the claim, is abstained from, with no answer.
     """
-    asked = prepared(questions, chunks, companies, as_of)
+    asked = kept(prepared(questions, chunks, companies, as_of), "asked")  # each of the kept has several readers
     pool = candidates(asked, chunks, config, as_of, dense).where(F.col("rank") <= config.top_k)
     said = pool.join(chunks.select("chunk_id", "text", "element_type"), "chunk_id").join(questions, "query_id")
     ranked = retrieval.score_floor(retrieval.rerank_lexical(said, "chunk_id", "text", config.top_k), config.min_rerank)
-    evidence = ranked.select("query_id", "query", "chunk_id", "text", "element_type", "legs", F.col("final_rank").alias("rank"), "rerank")
-    found = facts_for(asked, facts, config, as_of)
+    evidence = kept(ranked.select("query_id", "query", "chunk_id", "text", "element_type", "legs", F.col("final_rank").alias("rank"), "rerank"), "evidence")
+    found = kept(facts_for(asked, facts, config, as_of), "facts")
     graded = evidence.select("query_id", F.col("rerank").alias("score"), F.lit(False).alias("is_fact")).unionByName(found.select("query_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("is_fact")))
     gate = answers.evidence_gate(questions, graded, config.min_evidence, config.min_score)
     passed = gate.where("reason is null").select("query_id")

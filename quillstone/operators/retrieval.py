@@ -31,12 +31,12 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return chunks.select(key, F.explode(X.tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def rank(df: DataFrame, score: str, key: str, query: str = "query_id", out: str = "rank") -> DataFrame:
+def rank(df: DataFrame, score: str, key: str, query: str | list[str] = "query_id", out: str = "rank") -> DataFrame:
     """Rank by (-score, key) within the query; Spark limits groups early when the rank is filtered."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), F.asc(key))))
 
 
-def top_k(df: DataFrame, score: str, key: str, k: int, query: str = "query_id", out: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, score: str, key: str, k: int, query: str | list[str] = "query_id", out: str = "rank") -> DataFrame:
     return rank(df, score, key, query, out).where(F.col(out) <= k)
 
 

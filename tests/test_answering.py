@@ -1,6 +1,7 @@
 """The answer plan: what is retrieved, routed, abstained from and cited."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +93,40 @@ def test_dense_leg_joins_and_scores_match_a_plain_count(spark, world):
     assert hits.where("query_id = 1 and chunk_id = 5").count() == 0  # of another company
     plain = retrieval.lexical_scores(questions, chunks.select("chunk_id", "text"), "chunk_id", "text").where("query_id = 1 and chunk_id = 1").first()["sparse"]
     assert hits.where("query_id = 1 and chunk_id = 1").first()["sparse"] >= plain
+
+
+def test_best_chunks_by_parts_are_those_of_all_pairs(spark, monkeypatch):
+    """Many small parts and blocks bring what scoring and joining all pairs brings; ties, null texts and filters included."""
+    rng = random.Random(11)
+    words = "supply risk revenue table growth Orchard Harbor margin of the and 10-k latest 2024".split()
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, None if i % 37 == 0 else say(rng.randrange(9)), rng.choice(["text", "table", None]), rng.choice(["ORCH", "HARB", None]), rng.choice(["10-K", "10-Q", None]), rng.choice([NEW, OLD, D(2024, 5, 5), None]), None) for i in range(400)]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    companies = spark.createDataFrame([("ORCH", "Orchard Inc."), ("HARB", "Harbor Corp")], "ticker string, name string")
+    asked = answering.prepared(spark.createDataFrame([(i, say(rng.randrange(7))) for i in range(60)], "query_id long, query string"), chunks, companies)
+    monkeypatch.setattr(answering, "PART_ROWS", 50)
+    monkeypatch.setattr(answering, "PART_QUESTIONS", 20)
+    none = spark.createDataFrame([], "query_id long, chunk_id long, dense double")
+    config = answering.AnswerConfig(top_k=2)
+    every = lambda df: [(r["query_id"], leg, round(r["sparse"], 9), r["chunk_id"]) for r in df.collect() for leg in r["legs"]]
+    got, want = every(answering.candidates(asked, chunks, config)), every(answering.candidates(asked, chunks, config, dense=none))
+    assert len(got) > 300 and sorted(r[:3] for r in got) == sorted(r[:3] for r in want)  # sums of pairs may break ties otherwise
+    last = {}
+    for q, leg, s, _ in got:
+        last[q, leg] = min(s, last.get((q, leg), s))
+    assert {r for r in got if r[2] > last[r[:2]]} == {r for r in want if r[2] > last[r[:2]]}
+    assert answering.candidates(asked, chunks.where("false"), config).count() == 0 and answering.candidates(asked.where("false"), chunks, config).count() == 0
+
+
+def test_a_question_meets_the_newest_facts_of_its_companies_alone(spark):
+    asked = spark.createDataFrame([(1, ["A", "B"], ["text", "financial_facts"]), (2, ["B"], ["financial_facts"]), (3, ["A"], ["text"])], "query_id long, tickers array<string>, routes array<string>")
+    facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("ticker"), F.concat(F.lit("c"), F.col("id") % 5).alias("concept"), (F.col("id") % 7).cast("double").alias("value"), F.date_add(F.lit(NEW), (F.col("id") % 11).cast("int")).alias("filed_at"), F.lit(None).cast("timestamp").alias("available_at"))
+    config = answering.AnswerConfig(max_facts=7)
+    found = answering.facts_for(asked, facts, config)
+    key = lambda r: (-r["filed_at"].toordinal(), r["concept"], r["ticker"], -r["value"])
+    every = facts.collect()
+    for q, tickers in ((1, "AB"), (2, "B")):
+        assert sorted(map(key, found.where(F.col("query_id") == q).collect())) == sorted(key(r) for r in every if r["ticker"] in tickers)[:7]
+    assert found.where("query_id = 3").count() == 0
+    groups = found._jdf.queryExecution().optimizedPlan().toString()
+    assert groups.count("WindowGroupLimit") == 2  # a company's facts are limited before questions are joined
