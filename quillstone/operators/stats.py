@@ -112,11 +112,14 @@ def winsorise(df: DataFrame, value: str, p: float, keys: list[str], out: str = "
 
 
 def zscore(df: DataFrame, value: str, cell: list[str], sign: Column | float = 1.0, out: str = "z") -> DataFrame:
-    """Sign-aligned population z-scores within cells; rows of cells under 2 or without spread go."""
+    """Sign-aligned population z-scores within cells; rows of cells under 2 or without spread go.
+
+    The cells' sums are written first, so that their size is known when the join is planned and few cells don't gather all rows by cell.
+    """
     s = F.lit(sign) if isinstance(sign, float) else sign
     rows = df.where(F.col(value).isNotNull()).withColumn("key_", _key(cell))
     cells = rows.groupBy("key_").agg(F.avg(value).alias("mean_"), F.stddev_pop(value).alias("sd_"), F.count("*").alias("n_")).where("n_ >= 2 and sd_ > 0")
-    return rows.join(cells, "key_").withColumn(out, s * (F.col(value) - F.col("mean_")) / F.col("sd_")).drop("key_", "mean_", "sd_", "n_")
+    return rows.join(kept(cells, "cells"), "key_").withColumn(out, s * (F.col(value) - F.col("mean_")) / F.col("sd_")).drop("key_", "mean_", "sd_", "n_")
 
 
 def sector_neutral_zscore(df: DataFrame, value: str, period: str, signal: str, sector: str, min_group: int = 4, sign: Column | float = 1.0) -> DataFrame:
@@ -132,6 +135,20 @@ def composite(zs: DataFrame, entity: str, z: str = "z") -> DataFrame:
     return zs.groupBy(entity).agg(F.avg(z).alias("composite"), F.count("*").alias("n_signals"))
 
 
+def with_composite(zs: DataFrame, entity: str, signal: str, beside: DataFrame, z: str = "z", name: str = "composite") -> DataFrame:
+    """zs (entity, signal, z) joined to beside by entity, and a row of each entity with the mean of its z-scores as the signal `name`.
+
+    Scores are shuffled and sorted once: the mean stands in an entity's first row through the join, and becomes a row after it.
+    """
+    own = Window.partitionBy(entity).orderBy(signal)
+    mean = F.avg(z).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = zs.select(entity, signal, z, F.row_number().over(own).alias("nth_"), mean.alias("mean_")).join(beside, entity)
+    scored = F.struct(F.col(signal).alias(signal), F.col(z).alias(z))
+    both = F.array(scored, F.struct(F.lit(name).alias(signal), F.col("mean_").alias(z)))
+    rows = rows.withColumn("s_", F.explode(F.when(F.col("nth_") == 1, both).otherwise(F.array(scored))))
+    return rows.select(entity, "s_.*", *[c for c in beside.columns if c != entity])
+
+
 def signal_correlations(zs: DataFrame, entity: str, signal: str, order: list[str], z: str = "z") -> DataFrame:
     """(signal_a, signal_b, n, ic, t_stat) over entities that have both, a before b in `order`."""
     at = F.element_at(F.create_map(*[x for i, s in enumerate(order) for x in (F.lit(s), F.lit(i))]), F.col(signal))

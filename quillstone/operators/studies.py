@@ -42,11 +42,21 @@ def event_returns(events: DataFrame, bars: DataFrame, config: StudyConfig = Stud
     Windows are positions in the asset's own bars; the benchmark needs bars on exactly the two dates. Windows are exploded
     and joined by position, so each leg is an equi-join. Fails on leakage if events have max_source_available_at.
     """
+    rows = window_returns(placed_events(events, bars, config), bars, config)
+    return rows.select(key, "ticker", "window", "session", "session_date", "feature_value", "asset_return", "benchmark_return", "abnormal_return")
+
+
+def placed_events(events: DataFrame, bars: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
+    """events with session and session_date among the positive bars of their ticker; fails on leakage if they have max_source_available_at."""
     if "max_source_available_at" in events.columns:
         events = guard_leakage(events)
+    return event_sessions(events, bars.where((F.col("adjusted_close") > 0) & (F.col("ticker") != config.benchmark)), config.zone, config.close)
+
+
+def window_returns(placed: DataFrame, bars: DataFrame, config: StudyConfig = StudyConfig()) -> DataFrame:
+    """placed_events() or some columns of it (ticker and session at least), a row for each window whose bars exist: window, asset, benchmark and abnormal return."""
     bars = bars.where(F.col("adjusted_close") > 0)  # sessions and prices are numbered over the same bars
     indexed = session_index(bars)
-    placed = event_sessions(events, bars.where(F.col("ticker") != config.benchmark), config.zone, config.close)
     wins = F.explode(F.array(*[F.struct(F.lit(window_name(w)).alias("window"), F.lit(w[0]).alias("s"), F.lit(w[1]).alias("e")) for w in config.windows]))
     rows = placed.withColumn("w_", wins).select("*", "w_.*").drop("w_")
     leg = lambda n: indexed.select(F.col("ticker").alias(f"t_{n}"), F.col("session").alias(f"i_{n}"), F.col("date").alias(f"date_{n}"), F.col("adjusted_close").alias(f"close_{n}"))
@@ -55,7 +65,7 @@ def event_returns(events: DataFrame, bars: DataFrame, config: StudyConfig = Stud
     bench = lambda n: bars.where(F.col("ticker") == config.benchmark).select(F.col("date").alias(f"b_date_{n}"), F.col("adjusted_close").alias(f"b_close_{n}"))
     rows = rows.join(bench("s"), F.col("date_s") == F.col("b_date_s")).join(bench("e"), F.col("date_e") == F.col("b_date_e"))
     asset, market = F.col("close_e") / F.col("close_s") - 1, F.col("b_close_e") / F.col("b_close_s") - 1
-    return rows.select(key, "ticker", "window", "session", "session_date", "feature_value", asset.alias("asset_return"), market.alias("benchmark_return"), (asset - market).alias("abnormal_return"))
+    return rows.select(*placed.columns, "window", asset.alias("asset_return"), market.alias("benchmark_return"), (asset - market).alias("abnormal_return"))
 
 
 def window_summary(returns: DataFrame, windows: tuple[tuple[int, int], ...]) -> DataFrame:

@@ -64,6 +64,22 @@ def test_scores_without_windows(spark):
     assert "Window" not in plan(stats.sector_neutral_zscore(df, "x", "period", "signal", "sector"))
 
 
+def test_rows_are_not_gathered_by_their_cell(spark):
+    df = spark.createDataFrame([(f"p{i % 3}", "s", float(i)) for i in range(30)], "period string, signal string, x double")
+    got = stats.zscore(df, "x", ["period", "signal"])
+    joins = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in joins and "SortMergeJoin" not in joins and got.count() == 30
+
+
+def test_means_of_scores_beside_events(spark):
+    zs = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.5), (2, "b", 4.0), (3, "a", 9.0), (None, "a", 9.0)], "id int, signal string, z double")
+    events = spark.createDataFrame([(1, "T"), (2, "U"), (2, "V"), (4, "W")], "id int, ticker string")
+    got = stats.with_composite(zs, "id", "signal", events)
+    want = [(1, "a", 1.0, "T"), (1, "b", 2.5, "T"), (1, "composite", 1.75, "T")] + [(2, s, 4.0, t) for s in ("b", "composite") for t in "UV"]
+    assert got.columns == ["id", "signal", "z", "ticker"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Union" not in plan(got)
+
+
 def test_events_meet_days_not_each_other(spark):
     from quillstone.operators import asof
 
